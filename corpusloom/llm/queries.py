@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat, pii, sharding
+from corpusloom.llm import chat, near_dedup, pii, sharding
 from corpusloom.llm.common import table
 
 SHARDS = 40
@@ -16,6 +16,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(table(spark, sf_dir, "conversations"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -25,7 +29,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op5_pii, op7_sharding)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_minhash_near_dedup, op5_pii, op7_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
