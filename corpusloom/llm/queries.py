@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat, near_dedup, pii, sharding
+from corpusloom.llm import chat, near_dedup, packing, pii, sharding
 from corpusloom.llm.common import table
 
 SHARDS = 40
@@ -28,8 +28,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_minhash_near_dedup, op5_pii, op7_sharding)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_minhash_near_dedup, op5_pii, op7_sharding, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
