@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat, near_dedup, packing, pii, sharding
+from corpusloom.llm import chat, near_dedup, packing, pii, sharding, toxicity
 from corpusloom.llm.common import table
 
 SHARDS = 40
@@ -32,8 +32,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_minhash_near_dedup, op5_pii, op7_sharding, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_minhash_near_dedup, op5_pii, op7_sharding, op8_best_fit_packing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
