@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat, near_dedup, packing, pii, sharding, toxicity
+from corpusloom.llm import chat, language_model, near_dedup, packing, pii, sharding, toxicity
 from corpusloom.llm.common import table
 
 SHARDS = 40
@@ -36,8 +36,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_minhash_near_dedup, op5_pii, op7_sharding, op8_best_fit_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_minhash_near_dedup, op5_pii, op7_sharding, op8_best_fit_packing, op9_toxicity, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
