@@ -89,8 +89,14 @@ def _hashed(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
 
 
-def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yields (first, last, hashes, bounds) for runs of texts: 64-bit hashes of their words, A-Z lower-cased, where
+#: Lower-cases A-Z and turns all ASCII but letters and digits into spaces, for words without punctuation.
+PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def word_hashes(texts: list[str | None], spelling: bytes = _LOWER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Yields (first, last, hashes, bounds) for runs of texts: 64-bit hashes of their words, after each byte's change by
+    `spelling`, where
     text first + i has the words bounds[i]:bounds[i + 1]. A run has about CHUNK bytes; a longer text is hashed in
     pieces cut at white space, and a word of more than CHUNK bytes by Python."""
     with np.errstate(over="ignore"):
@@ -98,7 +104,7 @@ def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray,
         while at < len(texts):
             parts, size, end = [], 0, at
             while end < len(texts) and (not parts or size < CHUNK):
-                parts.append((texts[end] or "").encode("utf-8", "surrogatepass").lower())
+                parts.append((texts[end] or "").encode("utf-8", "surrogatepass").translate(spelling))
                 size += len(parts[-1]) + 1
                 if size > CHUNK and len(parts) > 1:
                     parts.pop()
