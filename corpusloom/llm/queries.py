@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat, decontamination, language_model, near_dedup, packing, pii, sharding, toxicity
+from corpusloom.llm import chat, decontamination, language_model, near_dedup, nearest, packing, pii, sharding, toxicity
 from corpusloom.llm.common import table
 
 SHARDS = 40
@@ -28,6 +28,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -45,7 +49,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_pii, op7_sharding, op8_best_fit_packing, op9_toxicity, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_pii, op6_nearest_neighbours, op7_sharding, op8_best_fit_packing, op9_toxicity, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
