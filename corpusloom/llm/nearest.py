@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TABLES, PER_TABLE, PROBES = 12, 8, 150
+TABLES, PER_TABLE, PROBES = 14, 8, 100
 #: Width of a projection's step, in parts of the vectors' median length.
-WIDTH = 1.75
+WIDTH = 2.0
 NEIGHBOURS = 10
 #: Queries in a block, and rows against which a task holds it at once. The sample sets the scale of the width alone.
 BLOCK, ROWS, SAMPLE = 2048, 1024, 1000
