@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat, decontamination, language_model, near_dedup, nearest, packing, pii, sharding, toxicity
+from corpusloom.llm import chat, decontamination, language_model, near_dedup, nearest, packing, pii, sharding, toxicity, wrappers
 from corpusloom.llm.common import table
 
 SHARDS = 40
@@ -16,6 +16,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(table(spark, sf_dir, "conversations"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_pii, op6_nearest_neighbours, op7_sharding, op8_best_fit_packing, op9_toxicity, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_html_extraction, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_pii, op6_nearest_neighbours, op7_sharding, op8_best_fit_packing, op9_toxicity, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
