@@ -5,12 +5,14 @@
    circular shifts give all COORDINATES; ROWS coordinates make a band.
 2. Documents with equal sets become one class, so exact copies cost nothing later.
 3. In each bucket of a band, every class is paired with the smallest one; pairs are confirmed on the full sets.
-4. Classes that share a bucket but are not connected yet are paired as well, so that no link between components is
-   missed; connected ones need no further pair. That makes pairs in proportion to what is not a duplicate.
+4. All classes that share a bucket but are not known to be connected are compared, in blocks around the bucket's
+   largest component, so that no link between components is missed. Blocks hold sketches first; only classes with a
+   partner that the sketch allows bring their texts. No table of pairs is made, and connected classes are not compared.
 5. Components of the confirmed links, then back to documents.
 
-A pair at the threshold shares a band but for (1 - 0.75 ** ROWS) ** BANDS = 2e-5 of cases. Sketches of 128 bits and
-set sizes rule out pairs that cannot reach the threshold (a pair that can is lost in under 1e-7 of cases).
+A pair at the threshold shares a band but for (1 - 0.75 ** ROWS) ** BANDS = 2e-5 of cases. Set sizes and a sketch, two
+bits of each of SKETCHED coordinates, rule out pairs that cannot reach the threshold inside the joins (a pair at the
+threshold is ruled out in 1e-6 of cases), so that texts which only share a passage cost no text comparison.
 """
 
 from __future__ import annotations
@@ -30,10 +32,13 @@ WORDS, PERCENT = 5, 75
 POSITIONS = 1 << 20
 ROWS, BANDS = 5, 40
 COORDINATES = ROWS * BANDS
-#: Of 128 sketch bits, two sets at the threshold differ in 16 on average, with a deviation of 3.7.
-MOST_BITS = 38
+#: Two sets at the threshold agree in 156 of 192 sketched coordinates on average, with a deviation of 5.4.
+SKETCHED, LEAST_AGREEING = 192, 130
+SKETCH = tuple(f"s{i}" for i in range(SKETCHED // 32))
 #: Members compared with one hub in one task.
 PER_HUB = 256
+#: Members on either side of a block.
+BLOCK = 256
 #: Stands for a null id inside; the largest, so it never names a component that has another id.
 NO_ID = (1 << 63) - 1
 
@@ -73,8 +78,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-_SKETCH = "id long, n long, h1 long, h2 long, s1 long, s2 long, bands array<long>"
-_SCHEMA = pa.schema([("id", pa.int64()), ("n", pa.int64()), *((x, pa.int64()) for x in ("h1", "h2", "s1", "s2")), ("bands", pa.list_(pa.int64()))])
+_SKETCHED = "id long, n long, h1 long, h2 long, " + ", ".join(f"{x} long" for x in SKETCH) + ", bands array<long>"
+_SCHEMA = pa.schema([("id", pa.int64()), ("n", pa.int64()), *((x, pa.int64()) for x in ("h1", "h2", *SKETCH)), ("bands", pa.list_(pa.int64()))])
 
 
 def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +91,7 @@ def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = list(shingles(words, bounds))
             n = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(n)
-            columns = {x: np.zeros(len(sets), np.int64) for x in ("h1", "h2", "s1", "s2")}
+            columns = {x: np.zeros(len(sets), np.int64) for x in ("h1", "h2", *SKETCH)}
             bands: list = [[]] * len(sets)
             if len(full):
                 with np.errstate(over="ignore"):
@@ -95,20 +100,28 @@ def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for name, seed in (("h1", 0x51), ("h2", 0x52)):
                         columns[name][full] = mix(np.add.reduceat(mix(flat + np.uint64(seed << 40)), starts)).view(np.int64)
                     sig = signatures(held).astype(np.uint64)
-                    bits = (mix(sig[:, :128]) & np.uint64(1)).astype(np.uint8)
-                    columns["s1"][full] = np.packbits(bits[:, :64], axis=1).view(np.int64)[:, 0]
-                    columns["s2"][full] = np.packbits(bits[:, 64:], axis=1).view(np.int64)[:, 0]
+                    two = (mix(sig[:, :SKETCHED]) & np.uint64(3)).reshape(len(held), len(SKETCH), 32) << np.arange(0, 64, 2, dtype=np.uint64)
+                    for name, value in zip(SKETCH, np.bitwise_or.reduce(two, axis=2).T):
+                        columns[name][full] = value.view(np.int64)
                     keys = mix(np.sum(mix(sig + np.uint64(1)).reshape(len(held), BANDS, ROWS) * weights, axis=2, dtype=np.uint64) ^ labels).view(np.int64)
                 for i, row in zip(full, keys):
                     bands[i] = row
-            yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(n), *(pa.array(columns[x]) for x in ("h1", "h2", "s1", "s2")), pa.array(bands, pa.list_(pa.int64()))], schema=_SCHEMA)
+            yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(n), *(pa.array(columns[x]) for x in ("h1", "h2", *SKETCH)), pa.array(bands, pa.list_(pa.int64()))], schema=_SCHEMA)
 
 
 def _possible(a: str, b: str) -> Column:
     """Whether two sketched classes can be similar enough, by set sizes and sketches."""
     c = lambda t, x: F.col(f"{t}.{x}")
     sizes = (c(a, "n") * 100 >= c(b, "n") * PERCENT) & (c(b, "n") * 100 >= c(a, "n") * PERCENT)
-    return sizes & (F.bit_count(c(a, "s1").bitwiseXOR(c(b, "s1"))) + F.bit_count(c(a, "s2").bitwiseXOR(c(b, "s2"))) <= MOST_BITS)
+    differing = sum((F.bit_count((x := c(a, k).bitwiseXOR(c(b, k))).bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for k in SKETCH), F.lit(0))
+    return sizes & (differing <= SKETCHED - LEAST_AGREEING)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets are alike enough: 100 * |A & B| >= PERCENT * |A | B|."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    both = int(np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small)) if len(small) else 0
+    return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
 def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +138,7 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     hubs.append(own)
                     continue
                 for other in hubs:
-                    small, large = (own, other) if len(own) <= len(other) else (other, own)
-                    both = 0 if not len(small) else int(np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small))
-                    if both and 100 * both >= PERCENT * (len(own) + len(other) - both):
+                    if similar(own, other):
                         found_a.append(member[i])
                         found_b.append(hub[i])
                         break
@@ -144,6 +155,108 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "_late").select("hub", "salt", "member", "text").mapInArrow(_alike, "a long, b long")
 
 
+def _membership(shared: DataFrame, tied: DataFrame) -> DataFrame:
+    """The buckets' members with their component so far."""
+    return shared.join(tied.select(F.col("a").alias("id"), F.col("b").alias("_comp")), "id", "left").withColumn("comp", F.coalesce("_comp", "id")).drop("_comp")
+
+
+def _towards_least(links: DataFrame) -> DataFrame:
+    """(a, b): for each linked class the least class two steps of smallest partners away. Parts of one component may
+    still bear different names; that costs comparisons later, not links."""
+    step = links.groupBy("a").agg(F.min("b").alias("b"))
+    then = step.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    return cut(step.join(then, "b", "left").select("a", F.coalesce("c", "b").alias("b")))
+
+
+def _largest(members: DataFrame) -> DataFrame:
+    """Of each bucket with several components: key, and the component with most members (group)."""
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    return parts.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("group"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+
+
+def _blocks(members: DataFrame, *more: str) -> DataFrame:
+    """Members of groups dealt into blocks of at most about BLOCK strays (left) against BLOCK members (right), sorted
+    by block. A group that fits one block has all its members on the right, strays marked."""
+    sizes = members.groupBy("group").agg(F.ceil(F.sum(F.col("stray").cast("int")) / BLOCK).cast("int").alias("_s"), F.ceil(F.count("*") / BLOCK).cast("int").alias("_a"))
+    sized = members.join(sizes, "group")
+    single = (F.col("_s") <= 1) & (F.col("_a") <= 1)
+    own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.greatest(F.col(n), F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
+    row = ["group", "_i", "_j", "left", "id", "comp", "stray", "n", *SKETCH, *more]
+    right = sized.withColumns({"_j": own("_a", 1), "left": F.lit(False)}).withColumn("_i", every("_s"))
+    left = sized.filter(F.col("stray") & ~single).withColumns({"_i": own("_s", 2), "left": F.lit(True)}).withColumn("_j", every("_a"))
+    both = right.select(row).unionByName(left.select(row))
+    return both.repartition("group", "_i", "_j").sortWithinPartitions("group", "_i", "_j", "id", "left")
+
+
+def _each_block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+        edges = [0, *(np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if held and any(held[-1].column(i)[0] != batch.column(i)[a] for i in range(3)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _meeting(block: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Row numbers of the pairs in a block, stray first, that sizes and sketches allow; and the block's columns."""
+    col = {x: block.column(x).to_numpy() for x in ("id", "comp", "n", "left", "stray")}
+    sketch = np.stack([block.column(x).to_numpy() for x in SKETCH], 1).view(np.uint64)
+    right = np.flatnonzero(~col["left"])
+    left = np.flatnonzero(col["left"]) if col["left"].any() else right[col["stray"][right]]
+    found = []
+    for at in range(0, len(left), 64):
+        a = left[at : at + 64]
+        n_a, n_b = col["n"][a][:, None], col["n"][right][None, :]
+        ok = (col["comp"][a][:, None] != col["comp"][right][None, :]) & (100 * n_a >= PERCENT * n_b) & (100 * n_b >= PERCENT * n_a)
+        i, j = np.nonzero(ok & (~col["stray"][right][None, :] | (col["id"][a][:, None] < col["id"][right][None, :])))
+        x = sketch[a[i]] ^ sketch[right[j]]
+        agree = SKETCHED - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1)
+        found.append((a[i][agree >= LEAST_AGREEING], right[j][agree >= LEAST_AGREEING]))
+    empty = np.empty(0, np.int64)
+    return np.concatenate([f[0] for f in found] or [empty]), np.concatenate([f[1] for f in found] or [empty]), col
+
+
+def _sketches_meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each block that have a partner."""
+    for block in _each_block(batches):
+        a, b, col = _meeting(block)
+        ids = np.unique(np.concatenate((col["id"][a], col["id"][b])))
+        if len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block.column(0)[0].as_py())), pa.array(ids)], names=["group", "id"])
+
+
+def _texts_meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Confirmed links of each block, as few as connect the same components."""
+    for block in _each_block(batches):
+        left, right, col = _meeting(block)
+        needed = np.unique(np.concatenate((left, right)))
+        texts = block.column("text").take(pa.array(needed)).to_pylist()
+        sets = dict(zip(needed, (own for _, _, words, bounds in word_hashes(texts) for own in shingles(words, bounds))))
+        root: dict[int, int] = {}
+
+        def of(x: int) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        links = []
+        for i, j in zip(left, right):
+            x, y = of(col["comp"][i]), of(col["comp"][j])
+            if x != y and similar(sets[i], sets[j]):
+                root[x] = y
+                links.append((col["id"][i], col["id"][j]))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, kept.
 
@@ -154,32 +267,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are not read; an empty table gives an empty result.
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = kept(source.mapInArrow(_sketched, _SKETCH), "sketch")
+    sketch = kept(source.mapInArrow(_sketched, _SKETCHED), "sketch")
     some = sketch.filter("n > 0")
     classes = some.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     named = cut(some.select("id", "h1", "h2").join(classes, ["h1", "h2"]).select("id", "rep"))
     same = named.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reps = some.join(named.filter("id = rep").select("id").distinct(), "id").dropDuplicates(["h1", "h2"])
-    banded = reps.select("id", "n", "s1", "s2", F.explode("bands").alias("key"))
+    banded = reps.select("id", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("_max")).filter("hub < _max").drop("_max")
-    shared = kept(banded.join(hubs, "key"), "buckets")
-
-    hub_of = shared.filter("id = hub").select("key", "n", "s1", "s2", "hub")
-    stars = shared.filter("id <> hub").alias("a").join(hub_of.alias("b"), "key").filter(_possible("a", "b"))
-    links = cut(confirmed(stars.select(F.col("a.id").alias("a"), F.col("b.hub").alias("hub")).distinct(), source))
-    tied = components(links)
-
-    members = shared.join(tied.select(F.col("a").alias("id"), F.col("b").alias("_comp")), "id", "left").withColumn("comp", F.coalesce("_comp", "id")).drop("_comp")
-    mixed = members.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a < _b").select("key")
-    apart = kept(members.join(mixed, "key").filter("id <> hub").drop("hub"), "apart")
-    held = apart.select("key", "comp").distinct()
-    facing = held.select("key", F.col("comp").alias("left")).join(held.select("key", F.col("comp").alias("right")), "key").filter("left < right")
-    one = facing.join(apart.withColumnRenamed("comp", "left"), ["key", "left"])
-    across = one.alias("a").join(apart.withColumnRenamed("comp", "right").alias("b"), ["key", "right"]).filter(_possible("a", "b"))
-    rest = across.select(F.greatest("a.id", "b.id").alias("a"), F.least("a.id", "b.id").alias("hub")).distinct()
-    more = confirmed(rest, source)
-
-    final = components(tied.unionByName(more).unionByName(same))
+    shared = kept(banded.join(hubs, "key").join(reps.select("id", "n", *SKETCH), "id"), "buckets")
+
+    hub_of = shared.filter("id = hub").select("key", "n", *SKETCH, "hub")
+    stars = shared.filter("id <> hub").drop("hub").alias("a").join(hub_of.alias("b"), (F.col("a.key") == F.col("b.key")) & _possible("a", "b"))
+    links = cut(confirmed(stars.select(F.col("a.id").alias("a"), "hub").distinct(), source))
+    members = _membership(shared, _towards_least(links))
+    largest = _largest(members)
+    apart = members.join(largest, "key").withColumn("stray", F.col("comp") != F.col("group"))
+    apart = kept(apart.select("group", "id", "comp", "stray", "n", *SKETCH).dropDuplicates(["group", "id"]), "apart")
+    near = _blocks(apart).mapInArrow(_sketches_meet, "group long, id long").distinct()
+    close = _blocks(apart.join(near, ["group", "id"]).join(source, "id"), "text")
+    more = cut(close.mapInArrow(_texts_meet, "a long, b long"))
+
+    final = components(links.unionByName(more).unionByName(same))
     out = sketch.select("id", "n").join(final.select(F.col("a").alias("id"), F.col("b").alias("_comp")), "id", "left")
     named_back = lambda c: F.when(F.col(c) == NO_ID, F.lit(None)).otherwise(F.col(c))
     return out.withColumn("_comp", F.coalesce("_comp", "id")).select(named_back("id").cast("long").alias(id_col), F.col("n").alias("n_shingles"), named_back("_comp").cast("long").alias("component_id"), (F.col("id") == F.col("_comp")).alias("kept"))
