@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,6 +148,30 @@ def _pieces(b: bytes) -> Iterator[np.ndarray]:
         at = end
 
 
+#: 64-bit words of a set_filter at most (8 MB); beyond about 8 million ids it lets more rows pass, never fewer.
+FILTER_WORDS = 1 << 20
+
+
+def filtered_to(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """df without most of the rows whose id (a long) is not among ids (column `id`): a Bloom filter of bounded size,
+    so that a join after it shuffles little else than what it needs. All rows with an id among ids stay."""
+    bits = ids.select(F.explode(F.array(*[F.xxhash64("id", F.lit(k)) for k in (1, 2, 3)])).alias("h"))
+    words = bits.groupBy(F.pmod(F.shiftright("h", 6), F.lit(FILTER_WORDS)).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(h, 64) AS int)))").alias("bits"))
+    found = words.toPandas()  # at most FILTER_WORDS rows
+    mask = np.zeros(FILTER_WORDS, np.int64)
+    mask[found["word"].to_numpy()] = found["bits"].to_numpy()
+    held = df.sparkSession.sparkContext.broadcast(mask)
+
+    def passes(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        ok = np.ones(len(a), bool)
+        for h in (a, b, c):
+            h = h.to_numpy(np.int64)
+            ok &= (held.value[(h >> 6) % FILTER_WORDS] >> (h % 64)) & 1 == 1
+        return pd.Series(ok)
+
+    return df.filter(F.pandas_udf(passes, "boolean")(*[F.xxhash64(col, F.lit(k)) for k in (1, 2, 3)]))
+
+
 def ranked(df: DataFrame, key: str, order: list[str], rank: str = "rank", per_group: int = 200_000, parts: int | None = None) -> DataFrame:
     """Adds rank: 0, 1, ... within the rows of a key, without gaps, so that no task has to hold a whole key.
 

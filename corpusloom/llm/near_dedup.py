@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, kept, mix, stream, word_hashes
+from corpusloom.llm.common import cut, filtered_to, kept, mix, stream, word_hashes
 from corpusloom.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -148,6 +148,8 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, hub) whose texts' full sets are similar enough, as (a, b). texts: id, text. A hub with many
     partners is dealt over tasks in parts of PER_HUB, each with the hub's text."""
+    pairs = cut(pairs)
+    texts = filtered_to(texts, pairs.select(F.explode(F.array("a", "hub")).alias("id")), "id")
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PER_HUB).alias("_parts"))
     dealt = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("a"), "_parts").cast("int").alias("salt"), F.col("a").alias("id"))
     wanted = dealt.unionByName(dealt.select("hub", "salt", F.col("hub").alias("id")).distinct())
@@ -284,8 +286,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     largest = _largest(members)
     apart = members.join(largest, "key").withColumn("stray", F.col("comp") != F.col("group"))
     apart = kept(apart.select("group", "id", "comp", "stray", "n", *SKETCH).dropDuplicates(["group", "id"]), "apart")
-    near = _blocks(apart).mapInArrow(_sketches_meet, "group long, id long").distinct()
-    close = _blocks(apart.join(near, ["group", "id"]).join(source, "id"), "text")
+    near = cut(_blocks(apart).mapInArrow(_sketches_meet, "group long, id long").distinct())
+    close = _blocks(apart.join(near, ["group", "id"]).join(filtered_to(source, near.select("id"), "id"), "id"), "text")
     more = cut(close.mapInArrow(_texts_meet, "a long, b long"))
 
     final = components(links.unionByName(more).unionByName(same))
