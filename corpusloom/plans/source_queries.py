@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators import metrics
 from corpusloom.plans.registry import query
 from corpusloom.session import table
-from corpusloom.sources import manifests
+from corpusloom.sources import binary, manifests
 
 
 def _lines(spark: SparkSession, sf_dir: str, name: str, *parts) -> DataFrame:
@@ -89,3 +92,99 @@ def synthetic_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.transform(F.sequence(F.lit(1), n), lambda i: F.pmod(F.xxhash64("doc_id", i, F.lit(42)), F.lit(1 << 30)) / float(1 << 30))
     rows = table(spark, sf_dir, "documents").select("doc_id", x.alias("x"))
     return rows.select("doc_id", F.size("x").cast("bigint").alias("length"), F.forall("x", lambda v: (v >= 0) & (v < 1)).alias("in_range"))
+
+
+@query("S8_arrays", "SELECT vec_id, 64::BIGINT AS length, round_even(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) * 1e6, 0)::BIGINT AS sum_ppm FROM embeddings")
+def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as array files and read again."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", binary.npy_values(binary.npy_bytes(F.col("embedding"))).alias("a"))
+    total = F.aggregate("a.values", F.lit(0.0), lambda s, x: s + x)
+    return e.select("vec_id", F.col("a.shape")[0].alias("length"), F.rint(total * 1e6).cast("bigint").alias("sum_ppm"))
+
+
+@query("S9_sound_ranges", "SELECT conv_id, 16000 AS rate, 160::BIGINT AS length, (320 + conv_id)::INTEGER AS first FROM conversations WHERE turn = 0")
+def sound_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 0.02 to 0.03 seconds of a sound whose samples count up."""
+    c = table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: (i + F.col("conv_id")).cast("int")).alias("x"))
+    w = c.select("conv_id", binary.wav_samples(binary.wav_bytes(F.col("x")), 0.02, 0.03).alias("w"))
+    return w.select("conv_id", "w.rate", F.size("w.samples").cast("bigint").alias("length"), F.col("w.samples")[0].alias("first"))
+
+
+@query("S10_stacked_channels", "SELECT item_id, length(text)::BIGINT AS frames, (length(text) - length(text) // 2)::BIGINT AS missing FROM benchmark")
+def stacked_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("text")
+    ones = lambda k: F.transform(F.sequence(F.lit(1), k), lambda i: i.cast("double"))
+    s = table(spark, sf_dir, "benchmark").select("item_id", binary.stacked(F.array(ones(n), ones(F.floor(n / 2).cast("int")))).alias("s"))
+    return s.select("item_id", F.size("s").cast("bigint").alias("frames"), F.size(F.filter("s", lambda x: F.isnan(x[1]))).cast("bigint").alias("missing"))
+
+
+@query("S11_scores", "SELECT user_id, 120 AS tempo, count(*)::BIGINT AS notes, max(60 + event_id % 12)::INTEGER AS top FROM events WHERE event_id < 1000 GROUP BY user_id")
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").filter("event_id < 1000")
+    note = F.concat(F.lit("[0.0, 0.5, \"la\", "), (F.col("event_id") % 12 + 60).cast("string"), F.lit("]"))
+    j = e.groupBy("user_id").agg(F.concat(F.lit('{"tempo": 120, "note": ['), F.array_join(F.collect_list(note), ","), F.lit("]}")).alias("j"))
+    s = j.select("user_id", binary.score_of_json(F.col("j")).alias("s"))
+    return s.select("user_id", "s.tempo", F.size("s.notes").cast("bigint").alias("notes"), F.array_max(F.transform("s.notes", lambda n: n["pitch"])).alias("top"))
+
+
+@query("S14_matrix_archives", "SELECT vec_id::VARCHAR AS key, '8,8' AS shape, round_even(embedding[1]::DOUBLE * 1e6, 0)::BIGINT AS first_ppm FROM embeddings")
+def matrix_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as matrices in archives, one a batch of rows, and back."""
+
+    def write(batches):
+        for pdf in batches:
+            rows = [(str(i), np.reshape(v, (8, 8))) for i, v in zip(pdf["vec_id"], pdf["embedding"])]
+            yield pd.DataFrame({"content": [binary.archive_bytes(rows)]})
+
+    archives = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(write, "content binary")
+    m = binary.archive_rows(archives)
+    return m.select("key", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), F.rint(F.col("values")[0] * 1e6).cast("bigint").alias("first_ppm"))
+
+
+@query("S5_random_lines", "SELECT 20::BIGINT AS n, true AS known")
+def random_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty lines in hash order, whatever their keys: a sample of a stated size."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    s = d.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(20)
+    return s.join(d.select("doc_id"), "doc_id", "left_semi").agg(F.count("*").alias("n"), (F.count("*") == 20).alias("known"))
+
+
+@query("S22_dataset_registry", "SELECT 'docs' AS dataset, count(*)::BIGINT AS rows FROM documents WHERE lang = 'en' UNION ALL SELECT 'items', count(*) FROM benchmark")
+def dataset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named datasets; a later registration of a name replaces the earlier one."""
+    known = {"docs": table(spark, sf_dir, "documents")} | {"docs": table(spark, sf_dir, "documents").filter("lang = 'en'"), "items": table(spark, sf_dir, "benchmark")}
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("dataset"), "rows") for name, df in known.items()]
+    return counts[0].unionByName(counts[1])
+
+
+@query("F6_sentence_pieces", "SELECT count(*)::BIGINT AS rows, true AS same FROM benchmark")
+def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subword pieces by a model file, and back to the text."""
+
+    def back(texts: pd.Series) -> pd.Series:
+        import public_tokenizers
+        import sentencepiece
+
+        p = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+        return pd.Series(p.decode(p.encode(texts.tolist(), num_threads=1)))
+
+    flat = lambda c: F.trim(F.regexp_replace(c, "[ \n]+", " "))
+    b = table(spark, sf_dir, "benchmark").select(flat("text").alias("t"))
+    return b.select("t", F.pandas_udf(back, "string")("t").alias("u")).agg(F.count("*").alias("rows"), F.bool_and(F.col("t") == flat("u")).alias("same"))
+
+
+@query("M3_token_error_rate", "SELECT count(*)::BIGINT AS rows, true AS positive FROM benchmark")
+def token_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rate of subword tokens of texts against the same without their last word."""
+
+    def pieces(texts: pd.Series) -> pd.Series:
+        import public_tokenizers
+        import sentencepiece
+
+        p = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+        return pd.Series([" ".join(x) for x in p.encode(texts.tolist(), out_type=str, num_threads=1)])
+
+    piece = F.pandas_udf(pieces, "string")
+    b = table(spark, sf_dir, "benchmark").select(piece("text").alias("ref"), piece(F.regexp_replace("text", "[^ \n]+$", "")).alias("hyp"))
+    e = metrics.word_error_counts(b, "ref", "hyp")
+    return e.agg(F.count("*").alias("rows"), (F.min("errors") >= 1).alias("positive"))
