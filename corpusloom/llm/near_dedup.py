@@ -86,27 +86,28 @@ def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weights = stream(ROWS, 5) | np.uint64(1)
     labels = stream(BANDS, 6)
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for first, last, words, bounds in word_hashes(texts):
-            sets = list(shingles(words, bounds))
-            n = np.array([len(s) for s in sets], np.int64)
-            full = np.flatnonzero(n)
-            columns = {x: np.zeros(len(sets), np.int64) for x in ("h1", "h2", *SKETCH)}
-            bands: list = [[]] * len(sets)
-            if len(full):
-                with np.errstate(over="ignore"):
-                    held = [sets[i] for i in full]
-                    flat, starts = np.concatenate(held), np.cumsum([0] + [len(s) for s in held[:-1]])
-                    for name, seed in (("h1", 0x51), ("h2", 0x52)):
-                        columns[name][full] = mix(np.add.reduceat(mix(flat + np.uint64(seed << 40)), starts)).view(np.int64)
-                    sig = signatures(held).astype(np.uint64)
-                    two = (mix(sig[:, :SKETCHED]) & np.uint64(3)).reshape(len(held), len(SKETCH), 32) << np.arange(0, 64, 2, dtype=np.uint64)
-                    for name, value in zip(SKETCH, np.bitwise_or.reduce(two, axis=2).T):
-                        columns[name][full] = value.view(np.int64)
-                    keys = mix(np.sum(mix(sig + np.uint64(1)).reshape(len(held), BANDS, ROWS) * weights, axis=2, dtype=np.uint64) ^ labels).view(np.int64)
-                for i, row in zip(full, keys):
-                    bands[i] = row
-            yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(n), *(pa.array(columns[x]) for x in ("h1", "h2", *SKETCH)), pa.array(bands, pa.list_(pa.int64()))], schema=_SCHEMA)
+        for at in range(0, batch.num_rows, 1000):
+            ids, texts = batch.column(0).slice(at, 1000), batch.column(1).slice(at, 1000).to_pylist()
+            for first, last, words, bounds in word_hashes(texts):
+                sets = list(shingles(words, bounds))
+                n = np.array([len(s) for s in sets], np.int64)
+                full = np.flatnonzero(n)
+                columns = {x: np.zeros(len(sets), np.int64) for x in ("h1", "h2", *SKETCH)}
+                bands: list = [[]] * len(sets)
+                if len(full):
+                    with np.errstate(over="ignore"):
+                        held = [sets[i] for i in full]
+                        flat, starts = np.concatenate(held), np.cumsum([0] + [len(s) for s in held[:-1]])
+                        for name, seed in (("h1", 0x51), ("h2", 0x52)):
+                            columns[name][full] = mix(np.add.reduceat(mix(flat + np.uint64(seed << 40)), starts)).view(np.int64)
+                        sig = signatures(held).astype(np.uint64)
+                        two = (mix(sig[:, :SKETCHED]) & np.uint64(3)).reshape(len(held), len(SKETCH), 32) << np.arange(0, 64, 2, dtype=np.uint64)
+                        for name, value in zip(SKETCH, np.bitwise_or.reduce(two, axis=2).T):
+                            columns[name][full] = value.view(np.int64)
+                        keys = mix(np.sum(mix(sig + np.uint64(1)).reshape(len(held), BANDS, ROWS) * weights, axis=2, dtype=np.uint64) ^ labels).view(np.int64)
+                    for i, row in zip(full, keys):
+                        bands[i] = row
+                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(n), *(pa.array(columns[x]) for x in ("h1", "h2", *SKETCH)), pa.array(bands, pa.list_(pa.int64()))], schema=_SCHEMA)
 
 
 def _possible(a: str, b: str) -> Column:
