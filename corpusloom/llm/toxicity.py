@@ -1,15 +1,17 @@
-"""Toxicity by bags of subwords: a word is the mean of the vectors of its character n-grams and of itself, a window the
-mean of its words, and a linear softmax over that mean tells toxic windows; both are trained jointly in numpy.
+"""Toxicity by bags of subwords: a word is the mean of its character n-grams' vectors plus, if training met it often
+in toxic texts, a vector of its own; a window is the mean of its words, and a linear softmax over that mean tells toxic windows. Vectors and
+softmax are trained jointly in numpy.
 
 A text is as toxic as its worst window, so one insult in a long text is not averaged away. Labels are of texts, so
 windows of toxic texts count as toxic if they hold a word that is far more common in toxic texts; windows of clean
 texts are drawn at random and, as training goes on, where the model errs. Half of the words are replaced by misspelt
-variants, so that n-grams have to carry the meaning. As all is linear up to the maximum, scoring needs one number for
-each n-gram bucket.
+variants, which have no vector of their own, so that n-grams have to carry the meaning. As all is linear up to the
+maximum, scoring needs one number for each n-gram bucket and each known word.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -18,19 +20,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import CHUNK, mix, stream
+from corpusloom.llm.common import CHUNK, mix, stream, word_hashes
 
 BUCKETS_LOG2 = 18
 DIM = 12
 GRAMS = (3, 4, 5, 6)
 #: Words in a window.
 WINDOW = 3
-#: Bound of the labelled sample that the classifier is fitted on: so many texts of either label, of at most so many
-#: characters each; chosen by a hash of the id over all labelled rows.
-SAMPLE = 1000
-SAMPLE_CHARS = 8_000
+#: Bound of the labelled sample that the classifier is fitted on: so many texts of either label, and further clean ones
+#: whose words are counted, of at most so many characters each; chosen by a hash of the id over all labelled rows.
+SAMPLE, MORE_CLEAN = 800, 6000
+SAMPLE_CHARS = 6_000
 #: Log odds from which a word tells toxic texts, and where REJECT lies between the labels.
-TELLING, MARGIN = 2.3, 0.25
+TELLING, MARGIN = 2.3, 0.3
+#: Share of words that training takes for words never seen.
+UNSEEN = 0.3
 REJECT = 0.7
 
 _VALUES = stream(256, 21)
@@ -42,19 +46,20 @@ _LETTER[list(b"abcdefghijklmnopqrstuvwxyz0123456789") + list(range(128, 256))] =
 
 
 def features(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, word) of each feature, and starts and ends of the words, of lower-cased bytes."""
+    """(bucket, word) of each n-gram, and hashes and starts of the words, of lower-cased bytes."""
     b = np.frombuffer(b" " + buf + b" " * max(GRAMS), np.uint8)
     letter = _LETTER[b]
     b = np.where(letter, b, np.uint8(32))
     edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
     start, end = edge[0::2], edge[1::2]
-    word = np.cumsum(np.concatenate(([False], letter[1:] & ~letter[:-1]))).astype(np.int32) - 1
+    word = np.cumsum(np.concatenate(([False], letter[1:] & ~letter[:-1])), dtype=np.int32) - np.int32(1)
     run = np.zeros(len(b), np.int32)  # letters from here to the end of the word
     if len(start):
         at = np.flatnonzero(letter)
         run[at] = end[word[at]] - at
     value, shift = _VALUES[b], np.uint64(64 - BUCKETS_LOG2)
     buckets, words = [], []
+    hashes = np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
         n = len(b) - max(GRAMS)
         h = np.zeros(n, np.uint64)
@@ -67,30 +72,35 @@ def features(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         if len(start):
             powers = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(b), _ODD, np.uint64))))
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * powers[: len(b)], dtype=np.uint64)))
-            inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-            down = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(b), inverse, np.uint64))))
-            buckets.append((mix((total[end] - total[start]) * down[start] + _SEEDS[0]) >> shift).astype(np.int32))
-            words.append(np.arange(len(start), dtype=np.int32))
-    return np.concatenate(buckets), np.concatenate(words), start - 1, end - 1
+            down = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(b), pow(int(_ODD), -1, 1 << 64), np.uint64))))
+            hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return np.concatenate(buckets), np.concatenate(words), hashes, start - 1
 
 
 class Model(NamedTuple):
-    """bucket: logit of each n-gram bucket; bias: of a window; a, b: from a text's worst window to its logit."""
+    """bucket: logit of each n-gram bucket; known, own: hashes of known words in order, and their own logits; bias: of a
+    window; empty: of a text without words; a, b: from a text's worst window to its logit."""
 
     bucket: np.ndarray
+    known: np.ndarray
+    own: np.ndarray
     bias: float
+    empty: float
     a: float
     b: float
 
     def word_logits(self, buf: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Logit and start of each word."""
-        bucket, word, start, _ = features(buf)
-        n = np.bincount(word, minlength=len(start))
-        return np.bincount(word, self.bucket[bucket], len(start)) / np.maximum(n, 1), start
+        bucket, word, hashes, start = features(buf)
+        logit = np.bincount(word, self.bucket[bucket], len(start)) / np.maximum(np.bincount(word, minlength=len(start)), 1)
+        if len(self.known) and len(start):
+            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+            logit += np.where(self.known[at] == hashes, self.own[at], 0)
+        return logit, start
 
     def worst(self, texts: list[str | None]) -> np.ndarray:
         """Logit of the worst window of each text; of a window without words if it has none."""
-        out = np.full(len(texts), self.bias)
+        out = np.full(len(texts), self.empty)
         at = 0
         while at < len(texts):
             parts, size = [], 0
@@ -110,15 +120,15 @@ class Model(NamedTuple):
 
     def _windows(self, logit: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0.0], np.cumsum(logit)))
-        out = np.full(len(bounds) - 1, self.bias)
+        out = np.full(len(bounds) - 1, self.empty)
         size = np.diff(bounds)
         short = (size > 0) & (size <= WINDOW)
-        out[short] += (total[bounds[1:]] - total[bounds[:-1]])[short] / size[short]
+        out[short] = self.bias + (total[bounds[1:]] - total[bounds[:-1]])[short] / size[short]
         full = np.flatnonzero(size > WINDOW)
         if len(full):
             windows = np.concatenate((total[WINDOW:] - total[:-WINDOW], np.zeros(1)))
             pairs = np.stack((bounds[full], bounds[full + 1] - WINDOW + 1), 1).ravel()
-            out[full] += np.maximum.reduceat(windows, pairs)[0::2] / WINDOW
+            out[full] = self.bias + np.maximum.reduceat(windows, pairs)[0::2] / WINDOW
         return out
 
     def _worst_of_long(self, b: bytes) -> float:
@@ -133,7 +143,7 @@ class Model(NamedTuple):
             if len(logit):
                 worst = max(worst, float(self._windows(logit, np.array([0, len(logit)]))[0]))
             carry, at = logit[-(WINDOW - 1) :], end
-        return worst if np.isfinite(worst) else self.bias
+        return worst if np.isfinite(worst) else self.empty
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.a * self.worst(texts) + self.b, -40, 40)))
@@ -142,7 +152,7 @@ class Model(NamedTuple):
 #: What is returned without examples of both labels: every text scores 0.5 or less alike.
 def _constant(rate: float) -> Model:
     p = min(max(rate, 0.01), 0.5)
-    return Model(np.zeros(1 << BUCKETS_LOG2), 0.0, 0.0, float(np.log(p / (1 - p))))
+    return Model(np.zeros(1 << BUCKETS_LOG2), np.empty(0, np.uint64), np.empty(0), 0.0, 0.0, 0.0, float(np.log(p / (1 - p))))
 
 
 def _misspelt(word: str, rng: np.random.Generator) -> str:
@@ -152,39 +162,73 @@ def _misspelt(word: str, rng: np.random.Generator) -> str:
     return {0: word[:i] + word[i + 1 :], 1: word[:i] + word[i] + word[i:], 2: word[: i - 1] + word[i] + word[i - 1] + word[i + 1 :], 3: word[:i] + "*01345x"[int(rng.integers(7))].replace("*", "") + word[i + 1 :]}.get(kind, word[:i] + chr(97 + int(rng.integers(26))) + word[i + 1 :])
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = 160, seed: int = 5) -> Model:
-    """The model of labelled texts, by Adagrad on windows drawn anew in each round."""
+def _flat(text: str) -> str:
+    """The words of a text, a space between."""
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    return np.where(_LETTER[b], b, np.uint8(32)).tobytes().decode("utf-8", "replace")
+
+
+def _once(texts: list[str]) -> list[int]:
+    """Places of texts of which no earlier one is a near copy, by eight minima of their words' hashes; else the words of
+    a copied toxic text would count as common in toxic texts."""
+    seen: list[dict[int, int]] = [{} for _ in range(8)]
+    out, at = [], 0
+    for _, _, words, bounds in word_hashes(texts):
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            least = [int(mix(words[a:b] ^ seed).min()) for seed in _SEEDS[:8]] if b > a else [-1] * 8
+            shared = Counter(s[m] for s, m in zip(seen, least) if m in s)
+            if not shared or shared.most_common(1)[0][1] < 4:
+                out.append(at)
+                for s, m in zip(seen, least):
+                    s.setdefault(m, at)
+            at += 1
+    return out
+
+
+def fit(texts: list[str], labels: np.ndarray, more_clean: list[str] = (), rounds: int = 160, seed: int = 5) -> Model:
+    """The model of labelled texts, by Adagrad on windows drawn anew in each round. The further clean texts only tell
+    which words are common in toxic texts by chance."""
     if not len(labels) or labels.min() == labels.max():
         return _constant(float(np.mean(labels)) if len(labels) else 0.01)
     rng = np.random.default_rng(seed)
+    single = _once(texts)
+    texts, labels = [texts[i] for i in single], labels[single]
     # Words by number, each with its features; the second half are misspelt variants of the first.
     numbers: dict[str, int] = {}
     docs = []
     for t in texts:
-        b = np.frombuffer(t.encode("utf-8", "surrogatepass").lower(), np.uint8)
-        flat = np.where(_LETTER[b], b, np.uint8(32)).tobytes().decode("utf-8", "replace")
-        docs.append(np.array([numbers.setdefault(w, len(numbers)) for w in flat.split(" ") if w], np.int64))
+        docs.append(np.array([numbers.setdefault(w, len(numbers)) for w in _flat(t).split(" ") if w], np.int64))
     kept = [i for i, d in enumerate(docs) if len(d)]
     docs, labels = [docs[i] for i in kept], labels[kept]
     if not len(docs) or labels.min() == labels.max():
         return _constant(float(np.mean(labels)) if len(labels) else 0.01)
     vocabulary = list(numbers)
     n_words = len(vocabulary)
-    bucket, word, start, _ = features(" ".join(vocabulary + [_misspelt(w, rng) for w in vocabulary]).encode("utf-8", "surrogatepass"))
+    bucket, word, hashes, start = features(" ".join(vocabulary + [_misspelt(w, rng) for w in vocabulary]).encode("utf-8", "surrogatepass"))
     if len(start) != 2 * n_words:
         raise AssertionError("words and features do not agree")
-    order = np.argsort(word, kind="stable")
-    bucket, per = bucket[order], np.bincount(word, minlength=2 * n_words)
+    hashes = hashes[:n_words]
+    bucket, per = bucket[np.argsort(word, kind="stable")], np.bincount(word, minlength=2 * n_words)
     first = np.concatenate(([0], np.cumsum(per)))
-    used, local = np.unique(bucket, return_inverse=True)  # only buckets that occur have to be trained
+    used = np.unique(bucket)  # only buckets that occur have to be trained
+    local = np.searchsorted(used, bucket).astype(np.int32)
+    del bucket, word, numbers
 
     flat_words, bounds = np.concatenate(docs), np.concatenate(([0], np.cumsum([len(d) for d in docs])))
     doc_of = np.repeat(np.arange(len(docs)), np.diff(bounds))
     room = np.minimum(WINDOW, bounds[doc_of + 1] - np.arange(len(flat_words)))  # a window ends with its text
     once = np.unique(doc_of * n_words + flat_words)
     in_texts = [np.bincount((once % n_words)[labels[once // n_words] == k], minlength=n_words) for k in (0, 1)]
-    odds = np.log((in_texts[1] + 0.5) / ((labels == 1).sum() + 1)) - np.log((in_texts[0] + 0.5) / ((labels == 0).sum() + 1))
-    telling = (odds > TELLING) & (in_texts[1] >= 3)
+    doubtful = {w: i for i, w in enumerate(vocabulary) if in_texts[1][i] >= 3 and in_texts[0][i] < in_texts[1][i]}
+    for t in more_clean:
+        for w in doubtful.keys() & set(_flat(t).split(" ")):
+            in_texts[0][doubtful[w]] += 1
+    odds = np.log((in_texts[1] + 0.5) / ((labels == 1).sum() + 1)) - np.log((in_texts[0] + 0.5) / ((labels == 0).sum() + len(more_clean) + 1))
+    # Also, the count has to be less likely by chance than one in all words tried (a likelihood ratio test).
+    both = in_texts[0] + in_texts[1]
+    share_toxic = (labels == 1).sum() / (len(labels) + len(more_clean))
+    ratio = sum(k * np.log(np.maximum(k, 1e-9) / np.maximum(both * q, 1e-9)) for k, q in ((in_texts[1], share_toxic), (in_texts[0], 1 - share_toxic)))
+    telling = (odds > TELLING) & (ratio > np.log(n_words) + 2)
 
     def around(at: np.ndarray) -> np.ndarray:
         """A window that holds the word at each place, drawn among those there are."""
@@ -192,22 +236,30 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 160, seed: int = 5)
         return np.clip(at - back, bounds[doc_of[at]], np.maximum(bounds[doc_of[at]], bounds[doc_of[at] + 1] - WINDOW))
 
     bad = np.flatnonzero(telling[flat_words] & (labels[doc_of] == 1))
-    clean = np.flatnonzero((labels[doc_of] == 0) | (odds[flat_words] < 0))
+    # A fifth of the clean texts only tells, at the end, how toxic texts look that were not learnt from.
+    unlearnt = (labels == 0) & (rng.random(len(labels)) < 0.2)
+    clean = np.flatnonzero(((labels[doc_of] == 0) & ~unlearnt[doc_of]) | ((labels[doc_of] == 1) & (odds[flat_words] < 0)))
     if not len(bad) or not len(clean):
         return _constant(float(np.mean(labels)))
     untold = (labels[doc_of] == 1) & ~np.isin(doc_of, doc_of[bad])
     told, hard = bad, np.empty(0, np.int64)
-    vectors = rng.normal(0, 0.3, (len(used), DIM))
+    vectors, own = rng.normal(0, 0.3, (len(used), DIM)), np.zeros((n_words, DIM))
     theta = np.stack((-np.ones(DIM), np.ones(DIM))) * rng.normal(0, 0.5, DIM)
     bias = np.zeros(2)
-    held = [np.full(x.shape, 1e-6) for x in (vectors, theta, bias)]
+    held = [np.full(x.shape, 1e-6) for x in (vectors, theta, bias, own)]
+
+    def word_logits() -> np.ndarray:
+        """Of the words, then of their variants."""
+        logit = np.add.reduceat((vectors @ (theta[1] - theta[0]))[local], first[:-1]) / per
+        logit[:n_words] += own @ (theta[1] - theta[0])
+        return logit
 
     def worst_clean(each: int) -> np.ndarray:
         """The windows of each clean text that look most toxic, as they are or misspelt."""
-        of_word = np.add.reduceat((vectors @ (theta[1] - theta[0]))[local], first[:-1]) / per
+        of_word = word_logits()
         of_word = np.maximum(of_word[:n_words], of_word[n_words:])
         total = np.concatenate(([0.0], np.cumsum(of_word[flat_words])))
-        at = np.flatnonzero(labels[doc_of] == 0)
+        at = np.flatnonzero((labels[doc_of] == 0) & ~unlearnt[doc_of])
         s = (total[at + room[at]] - total[at]) / room[at]
         top = np.lexsort((-s, doc_of[at]))
         d = doc_of[at][top]
@@ -220,7 +272,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 160, seed: int = 5)
         if step % 20 == 19:
             hard = np.concatenate((hard, worst_clean(3)))[-20_000:]
             if step > 40 and untold.any():  # the worst word of toxic texts without a telling one
-                of_word = (np.add.reduceat((vectors @ (theta[1] - theta[0]))[local], first[:-1]) / per)[flat_words]
+                of_word = word_logits()[flat_words]
                 at = np.flatnonzero(untold)
                 at = at[np.lexsort((-of_word[at], doc_of[at]))]
                 bad = np.concatenate((told, at[np.concatenate(([True], np.diff(doc_of[at]) > 0))]))
@@ -236,17 +288,25 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 160, seed: int = 5)
         sizes = per[distinct]
         ends = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         ids = local[np.repeat(first[distinct] - ends, sizes) + np.arange(sizes.sum())]
+        named = np.flatnonzero((distinct < n_words) & telling[distinct % n_words])
         of_word = np.add.reduceat(vectors[ids], ends) / sizes[:, None]
+        of_word[named] += own[distinct[named]]
         row = np.repeat(np.arange(len(chosen)), inside.sum(1))
         part = 1 / inside.sum(1)
-        x = np.stack([np.bincount(row, of_word[at, k], len(chosen)) for k in range(DIM)], 1) * part[:, None]
+        # Some words count as never seen, so that such words do not look toxic.
+        known = (rng.random(len(at)) >= UNSEEN) | telling[distinct[at] % n_words]
+        x = np.stack([np.bincount(row, of_word[at, k] * known, len(chosen)) for k in range(DIM)], 1) * part[:, None]
         z = x @ theta.T + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
         p *= np.where(y == 1, 0.5 / len(some_bad), 0.5 / max(1, len(some_clean)))[:, None]
         grad_x = (p @ theta) * part[:, None]
-        grad_word = np.stack([np.bincount(at, grad_x[row, k], len(distinct)) for k in range(DIM)], 1) / sizes[:, None]
+        grad_word = np.stack([np.bincount(at, grad_x[row, k] * known, len(distinct)) for k in range(DIM)], 1)
+        mine = distinct[named]
+        held[3][mine] += grad_word[named] ** 2
+        own[mine] -= 0.15 * grad_word[named] / np.sqrt(held[3][mine])
+        grad_word /= sizes[:, None]
         touched, to = np.unique(ids, return_inverse=True)
         spread = np.repeat(np.arange(len(distinct)), sizes)
         grad = np.stack([np.bincount(to, grad_word[spread, k], len(touched)) for k in range(DIM)], 1)
@@ -259,13 +319,16 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 160, seed: int = 5)
 
     logit = np.zeros(1 << BUCKETS_LOG2)
     logit[used] = vectors @ (theta[1] - theta[0])
-    model = Model(logit, float(bias[1] - bias[0]), 1.0, 0.0)
+    order = np.flatnonzero(telling)
+    order = order[np.argsort(hashes[order])]
+    words_own = hashes[order], (own @ (theta[1] - theta[0]))[order]
+    model = Model(logit, *words_own, float(bias[1] - bias[0]), float(bias[1] - bias[0]), 1.0, 0.0)
     # From the worst window to the text: a logistic curve that has REJECT a little above nearly all clean texts.
     s = model.worst([texts[i] for i in kept])
-    low, high = np.quantile(s[labels == 0], 0.998), np.quantile(s[labels == 1], 0.5)
-    gap = max(high - low, 0.5)
+    low = max(np.quantile(s[labels == 0], 0.998), np.quantile(s[unlearnt], 0.97) if unlearnt.any() else -np.inf)
+    gap = max(np.quantile(s[labels == 1], 0.5) - low, 0.5)
     a = 6 / gap
-    return Model(logit, model.bias, float(a), float(np.log(REJECT / (1 - REJECT)) - a * (low + MARGIN * gap)))
+    return Model(logit, *words_own, model.bias, float(np.median(s[labels == 0])), float(a), float(np.log(REJECT / (1 - REJECT)) - a * (low + MARGIN * gap)))
 
 
 def remainder(id_col: str, n: int) -> Column:
@@ -273,18 +336,19 @@ def remainder(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` texts of either label, of ids whose remainder by 3 is not 1. Rows without a label, id
+def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, more: int = MORE_CLEAN) -> Model:
+    """Fits on at most `sample` texts of either label, and `more` clean ones for the counts of words, of ids whose remainder by 3 is not 1. Rows without a label, id
     or text are left out; of several labels of an id the largest counts."""
     usable = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1)).filter(remainder(id_col, 3) != 1)
     usable = usable.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(id_col, F.lit(9))
-    some = usable.filter("toxic = 1").orderBy(order).limit(2 * sample).unionByName(usable.filter("toxic = 0").orderBy(order).limit(2 * sample))
+    some = usable.filter("toxic = 1").orderBy(order).limit(2 * sample).unionByName(usable.filter("toxic = 0").orderBy(order).limit(2 * sample + more))
     texts = docs.select(F.col(id_col), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull() & (F.length("_text") <= SAMPLE_CHARS))
-    rows = texts.join(F.broadcast(some), id_col).orderBy(order, F.xxhash64("_text")).limit(4 * sample)  # broadcast: at most 4 * sample rows
+    rows = texts.join(F.broadcast(some), id_col).orderBy(order, F.xxhash64("_text")).limit(4 * sample + more)  # broadcast: at most so many rows
     pdf = rows.select("_text", "toxic").toPandas()
-    pdf = pdf.groupby("toxic", sort=False).head(sample)
-    return fit(pdf["_text"].tolist(), pdf["toxic"].to_numpy(np.int64))
+    clean, toxic = (pdf["_text"][pdf["toxic"] == k].tolist() for k in (0, 1))
+    toxic, clean, rest = toxic[:sample], clean[:sample], clean[sample : sample + more]
+    return fit(toxic + clean, np.array([1] * len(toxic) + [0] * len(clean)), rest)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score: str = "score") -> DataFrame:
@@ -292,7 +356,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score: str = "
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column(score, pa.array(model.score(batch.column(text_col).to_pylist()), pa.float64()))
+            column = batch.column(batch.schema.names.index(text_col))
+            found = [model.score(column.slice(i, 1000).to_pylist()) for i in range(0, len(column), 1000)]
+            yield batch.append_column(score, pa.array(np.concatenate(found or [np.empty(0)]), pa.float64()))
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
