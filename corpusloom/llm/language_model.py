@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import kept, mix, new_folder, word_hashes
 
 #: Tokens counted at once by a task, and tokens for each shard.
-BUFFER, PER_SHARD = 2_000_000, 2_500_000
+BUFFER, PER_SHARD = 1_200_000, 1_500_000
 #: A context of at least 1/HOT of all tokens is dealt over all shards; at most HOT contexts are.
 HOT = 512
 #: Training leaves out ids of this remainder by MODULUS.
