@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from corpusloom.plans import aggregate_queries, batch_queries, metric_queries, more_queries, relational_queries, sequential_queries, source_queries, text_queries  # noqa: F401
+    from corpusloom.plans import aggregate_queries, batch_queries, metric_queries, more_queries, relational_queries, sequential_queries, signal_queries, source_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
