@@ -353,3 +353,17 @@ def bounded_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last two pairs of turns of each dialogue."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     return c.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).filter("r <= 4").drop("r")
+
+
+@query("M4_aligned_inputs", "SELECT r.doc_id, r.lang AS ref, h.source AS hyp FROM documents r JOIN documents h USING (doc_id)")
+def aligned_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References and hypotheses joined by id; an id on one side only fails the query."""
+    d = table(spark, sf_dir, "documents")
+    return keyed.lockstep(d.select("doc_id", F.col("lang").alias("ref")), d.select("doc_id", F.col("source").alias("hyp")), "doc_id")
+
+
+@query("O18_category_weights", "SELECT doc_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY source) AS weight FROM documents")
+def category_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row weighs one over its category's size; sizes are joined, so a large category is not gathered."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return d.join(d.groupBy("source").agg(F.count("*").alias("n")), "source").select("doc_id", (F.lit(1.0) / F.col("n")).alias("weight"))

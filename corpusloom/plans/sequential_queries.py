@@ -219,3 +219,13 @@ def event_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An addition: tumbling windows of event time."""
     e = table(spark, sf_dir, "events").filter("ts IS NOT NULL").groupBy(F.window(F.col("ts"), "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
     return e.select("event_type", F.col("w.start").alias("start"), "n")
+
+
+@query("T2_reset_streams", "SELECT vec_id::VARCHAR AS key, 8::BIGINT AS frames, 4::BIGINT AS longest FROM embeddings WHERE vec_id < 20")
+def reset_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two utterances after another on one key: the final chunk of the first resets the state, frames begin at 0 again."""
+    e = table(spark, sf_dir, "embeddings").filter("vec_id < 20").select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").cast("array<double>").alias("x"))
+    chunks = e.select("key", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("seq"), "x").select("key", F.col("seq").cast("long").alias("seq"), F.slice("x", F.col("seq") * 8 + 1, F.lit(8)).alias("samples"), F.col("seq").isin(3, 7).alias("is_final"))
+    stream, state = _stream(spark, chunks, sf_dir)
+    out = stateful.drained(spark, stateful.rechunked(stream, 8, 8), f"t2_{uuid.uuid4().hex}", state)
+    return out.groupBy("key").agg(F.count("*").alias("frames"), (F.max("frame") + 1).alias("longest"))
