@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def rechunked(chunks: DataFrame, width: int, hop: int) -> DataFrame:
     """Streams of sample chunks (key, seq, samples, is_final) as frames (key, frame, total): samples wait in the key's
-    state until a window is full, what overlaps stays for the next window, and the final chunk flushes the rest.
+    state until a window is full, what overlaps stays for the next window, and the final chunk flushes the rest and resets the key.
     Chunks of a key arrive in order of seq within a micro-batch and between them."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -21,14 +21,14 @@ def rechunked(chunks: DataFrame, width: int, hop: int) -> DataFrame:
         kept, out, final = list(kept), [], False
         rows = pd.concat(list(batches)).sort_values("seq")
         for samples, last in zip(rows["samples"], rows["is_final"]):
-            kept += [float(x) for x in samples]
+            kept, final = kept + [float(x) for x in samples], False
             while len(kept) >= width:
                 out.append((key[0], frame, sum(kept[:width])))
                 kept, frame = kept[hop:], frame + 1
             if last:
                 if kept:
                     out.append((key[0], frame, sum(kept)))
-                final = True
+                kept, frame, final = [], 0, True
         if final:
             state.remove()
         else:
