@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import json
 import re
 import zlib
 
@@ -147,7 +148,8 @@ def main_text(*pages):
         found = wrappers.blocks(p)
         own = wrappers.from_stream(wrappers.stream(found), [t for _, t in found])
         wrapper = own if wrapper is None else wrappers.merged(wrapper, own)
-    return wrapper, [wrappers.main_text(wrappers.blocks(p), wrapper) for p in pages]
+    said = wrappers.labels(json.dumps(wrapper))
+    return wrapper, [wrappers.main_text(wrappers.blocks(p), said) for p in pages]
 
 
 def test_article_without_its_surroundings():
@@ -181,6 +183,12 @@ def test_all_pages(spark, small):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
 
 
+def test_labels_too_large_to_broadcast(spark, small, monkeypatch):
+    want = sorted(map(tuple, queries.op2_html_extraction(spark, small).collect()))
+    monkeypatch.setattr(wrappers, "BROADCAST", 0)
+    assert sorted(map(tuple, queries.op2_html_extraction(spark, small).collect())) == want
+
+
 def test_pages_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "<article>a</article>", 1), (1, "x", None, 1), (None, "http://h/", "", 1)], "page_id long, url string, html string, host int")
     assert sorted((str(r.page_id), r.text) for r in wrappers.extract(df).collect()) == [("1", ""), ("1", "a"), ("None", "")]
