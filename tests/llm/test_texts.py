@@ -301,3 +301,13 @@ def test_packing_odd_rows(spark):
     assert packing.packed(docs(spark, (1, "a")).limit(0)).count() == 0
     assert got[0].asDict().keys() == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_chat_digests_match_sql(spark, small):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{small}/conversations.parquet'")
+    ran = con.execute(queries.oracle_sql()["op1_chat_formatting"])
+    names = [d[0] for d in ran.description]
+    assert sorted(ran.fetchall()) == sorted(tuple(r[n] for n in names) for r in queries.op1_chat_formatting(spark, small).collect())
