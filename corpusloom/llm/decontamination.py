@@ -1,5 +1,6 @@
-"""Benchmark decontamination: rare word n-grams of test items seed alignments with training texts, and Smith-Waterman
-local alignment of words scores them, so that edited and paraphrased copies are found as well as exact ones.
+"""Benchmark decontamination: word n-grams of test items seed alignments with training texts, and Smith-Waterman
+local alignment of words scores them, so that edited and paraphrased copies are found as well as exact ones. Every
+n-gram is a seed, however many documents hold it: one copy may stand in any number of them.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. The benchmark is taken in blocks of
 bounded size, each of which every task holds; documents are never shuffled.
@@ -18,8 +19,6 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import PLAIN, mix, stream, word_hashes
 
 GRAM = 3
-#: A seed is an n-gram in at most OFTEN documents, or in at most twice as many as the item's median n-gram.
-OFTEN = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's best possible score from which a document holds it.
 LEAST = 0.4
@@ -36,9 +35,6 @@ class Items(NamedTuple):
     item: np.ndarray
     place: np.ndarray
 
-    def only(self, kept: np.ndarray) -> "Items":
-        return self._replace(grams=self.grams[kept], item=self.item[kept], place=self.place[kept])
-
 
 def grams_of(words: np.ndarray) -> np.ndarray:
     """Hashes of the GRAM words from each place."""
@@ -128,36 +124,10 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Item
         yield items(ids, texts)
 
 
-def _document_counts(texts: DataFrame, block: Items) -> dict[int, int]:
-    """Documents that hold each n-gram of the block: at most as many rows as the block has n-grams."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(block.grams), np.int64)
-        for batch in batches:
-            for words in _texts(batch.column(0).to_pylist()):
-                grams = grams_of(words)
-                total[np.searchsorted(block.grams, np.unique(grams[_found(block.grams, grams)]))] += 1
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(block.grams[seen].view(np.int64)), pa.array(total[seen])], names=["gram", "n"])
-
-    return {r["gram"]: r["n"] for r in texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator()}
-
-
-def seeds(block: Items, counts: dict[int, int], often: int = OFTEN) -> Items:
-    """The block with its rare n-grams only; every item keeps half of its n-grams at least."""
-    n = np.array([counts.get(g, 0) for g in block.grams.view(np.int64).tolist()], np.int64)
-    order = np.lexsort((n, block.item))
-    size = np.bincount(block.item, minlength=len(block.ids))
-    middle = np.concatenate(([0], np.cumsum(size)[:-1])) + size // 2
-    limit = n[order][np.minimum(middle, len(n) - 1)] if len(n) else size
-    return block.only(n <= np.maximum(often, 2 * limit[block.item]))
-
-
 def _held(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator:
-    """Broadcast blocks of the benchmark with the seeds that the texts (column text) give them; each is bounded by
-    ITEMS and ITEM_CHARS."""
+    """Broadcast blocks of the benchmark; each is bounded by ITEMS and ITEM_CHARS."""
     for block in _blocks(benchmark.withColumn(item_col, F.col(item_col).cast("long")), item_col, item_text_col):
-        yield rows.sparkSession.sparkContext.broadcast(seeds(block, _document_counts(rows.select("text"), block)))
+        yield rows.sparkSession.sparkContext.broadcast(block)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -187,7 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST) -> DataFrame:
     """The rows of docs whose text holds no item, with all their columns; nothing is shuffled."""
     out = docs
-    for held in _held(docs.select(F.col(text_col).cast("string").alias("text")), benchmark, item_col, item_text_col):
+    for held in _held(docs, benchmark, item_col, item_text_col):
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:

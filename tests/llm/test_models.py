@@ -156,6 +156,16 @@ def test_edited_copies_are_found_and_others_left_alone(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows if i % 3} and kept.columns == df.columns
 
 
+def test_copies_in_many_documents_are_found(spark):
+    one, two = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    copies = [x if i % 4 else f"e{i}" for i, x in enumerate(one)], two[:18], two[20:]  # edited, and two partial ones
+    rows = [(i, " ".join([f"f{i}x{j}" for j in range(60)] + copies[(i >= 30) + (i >= 58)])) for i in range(60)]
+    df, items = docs(spark, *rows, (99, "f g h")), spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, items).collect()}
+    assert got == {(i, 1 + (i >= 30)) for i in range(60)}
+    assert [r.doc_id for r in decontamination.clean(df, items).collect()] == [99]
+
+
 def test_alignment_by_brute_force():
     rnd = np.random.default_rng(0)
     for _ in range(60):
