@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -47,11 +47,10 @@ def alternate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("O3_evenly_spread", "SELECT 100::BIGINT AS n, true AS even FROM documents LIMIT 1")
 def evenly_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenth or less of the rows; every stretch of a quarter has a quarter of them, give or take two."""
-    d = table(spark, sf_dir, "documents").select("doc_id").filter("doc_id < 200")
-    s = sequential.evenly_spread(d, "doc_id", 100)
-    q = s.groupBy(F.floor(F.col("doc_id") / 50)).agg(F.count("*").alias("n"))
-    return q.agg(F.sum("n").alias("n"), (F.max("n") - F.min("n") <= 2).alias("even"))
+    """100 of all rows; every quarter of the rows in order has a quarter of them, give or take two."""
+    d = table(spark, sf_dir, "documents").select("doc_id").withColumn("quarter", F.ntile(4).over(Window.orderBy("doc_id")))
+    q = sequential.evenly_spread(d, "doc_id", 100).groupBy("quarter").agg(F.count("*").alias("n"))
+    return q.agg(F.sum("n").alias("n"), ((F.count("*") == 4) & (F.max("n") - F.min("n") <= 2)).alias("even"))
 
 
 @query("O10_balanced_split", "SELECT count(*)::BIGINT AS n, true AS balanced FROM documents")
@@ -89,8 +88,6 @@ l AS (SELECT *, coalesce(lag(tpr) OVER (ORDER BY score DESC), 0) AS t0, coalesce
 SELECT round_even((CASE WHEN tpr - t0 + fpr - f0 = 0 THEN fpr ELSE f0 + (fpr - f0) * (1 - f0 - t0) / (tpr - t0 + fpr - f0) END) * 1e9, 0)::BIGINT AS eer_ppb FROM l WHERE tpr + fpr >= 1 ORDER BY score DESC LIMIT 1""")
 def interpolated_eer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the straight line between curve points meets equal misses and false alarms."""
-    from pyspark.sql import Window
-
     from corpusloom.plans.aggregate_queries import scores
 
     c = metrics.detection_curve(scores(spark, sf_dir), "score", "label").select("score", (F.col("tps") / F.col("p")).alias("tpr"), (F.col("fps") / F.col("n")).alias("fpr"))

@@ -64,3 +64,11 @@ def test_watermarked_windows(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "in"))
     got = stateful.drained(spark, stateful.windowed_counts(stream), f"t{uuid.uuid4().hex}", str(tmp_path / "state")).collect()
     assert [(r.event_type, r.n) for r in got] == [("a", 1)]
+
+
+def test_rows_are_spread_over_the_whole_table(spark, tmp_path):
+    from corpusloom.plans import registry
+
+    spark.range(5000, 9000).selectExpr("id * 3 AS doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["O3_evenly_spread"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(100, True)]
