@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -167,23 +171,49 @@ def parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COHORT_SQL = "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 10 = 0), c AS (SELECT * FROM embeddings WHERE vec_id % 10 = 5), s AS (SELECT q.vec_id, c.vec_id AS other, -sqrt(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))) AS s FROM q CROSS JOIN c), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, other) AS r FROM s)"
 
 
-#: A cohort is a stated list; it has to fit this many vectors, which is checked, as every task holds it.
+#: Vectors of a cohort that a task holds at once; a larger cohort is scored block by block.
 COHORT = 10_000
 
 
-def _cohort_stats(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    """(vec_id, m, s): mean and sample deviation of each vector's k best scores against the cohort."""
-    e = table(spark, sf_dir, "embeddings")
-    cohort = e.filter("vec_id % 10 = 5").select("vec_id", "embedding").limit(COHORT + 1).toPandas()
-    if len(cohort) > COHORT:
-        raise ValueError(f"a cohort has at most {COHORT} vectors")
-    held = spark.sparkContext.broadcast(np.array(cohort["embedding"].tolist(), float))
+def _cohort_blocks(cohort: DataFrame) -> Iterator[np.ndarray]:
+    block: list = []
+    for row in cohort.select("embedding").toLocalIterator():
+        block.append(row[0])
+        if len(block) == COHORT:
+            yield np.array(block, float)
+            block = []
+    if block:
+        yield np.array(block, float)
 
-    def stats(vectors: pd.Series) -> pd.DataFrame:
-        best = [np.sort(-np.sqrt(((held.value - np.asarray(v, float)) ** 2).sum(1)))[::-1][:k] for v in vectors]
-        return pd.DataFrame({"m": [b.mean() for b in best], "s": [b.std(ddof=1) for b in best]})
 
-    return e.filter("vec_id % 10 = 0").select("vec_id", F.pandas_udf(stats, "m double, s double")("embedding").alias("x")).select("vec_id", "x.m", "x.s")
+def _cohort_stats(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
+    """(vec_id, m, s): mean and sample deviation of each vector's k best scores against the cohort. A row keeps the k
+    best scores of the blocks so far, which are written between blocks, so that a task holds one block only."""
+    e = table(spark, sf_dir, "embeddings")
+    out = e.filter("vec_id % 10 = 0").select("vec_id", "embedding", F.array().cast("array<double>").alias("best"))
+
+    def merge(held: Broadcast) -> Callable[[pd.Series, pd.Series], pd.Series]:
+        def run(vectors: pd.Series, best: pd.Series) -> pd.Series:
+            found = (np.concatenate((np.asarray(b, float), -np.sqrt(((held.value - np.asarray(v, float)) ** 2).sum(1)))) for v, b in zip(vectors, best))
+            return pd.Series([np.sort(x)[::-1][:k] for x in found], dtype=object)
+
+        return run
+
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/corpusloom'}/cohort-{uuid.uuid4().hex}"
+    held = None
+    for i, block in enumerate(_cohort_blocks(e.filter("vec_id % 10 = 5"))):
+        if held is not None:
+            out.write.parquet(f"{folder}/{i}")
+            out = spark.read.schema(out.schema).parquet(f"{folder}/{i}")
+            held.unpersist()
+        held = spark.sparkContext.broadcast(block)
+        out = out.withColumn("best", F.pandas_udf(merge(held), "array<double>")("embedding", "best"))
+
+    def stats(best: pd.Series) -> pd.DataFrame:
+        x = [np.asarray(b, float) for b in best]
+        return pd.DataFrame({"m": [b.mean() for b in x], "s": [b.std(ddof=1) for b in x]})
+
+    return out.filter(F.size("best") > 0).select("vec_id", F.pandas_udf(stats, "m double, s double")("best").alias("x")).select("vec_id", "x.m", "x.s")
 
 
 @query("J9_top_cohort", f"{_COHORT_SQL} SELECT vec_id, round_even(avg(s) * 1e6, 0)::BIGINT AS mean_ppm, round_even(stddev_samp(s) * 1e6, 0)::BIGINT AS std_ppm FROM t WHERE r <= 20 GROUP BY vec_id")

@@ -72,3 +72,16 @@ def test_rows_are_spread_over_the_whole_table(spark, tmp_path):
     spark.range(5000, 9000).selectExpr("id * 3 AS doc_id").write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.queries()["O3_evenly_spread"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [(100, True)]
+
+
+def test_cohorts_of_several_blocks(spark, tmp_path, monkeypatch):
+    from corpusloom.plans import metric_queries
+
+    x = np.random.default_rng(4).normal(size=(80, 6))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(metric_queries, "COHORT", 3)
+    got = {r.vec_id: (r.m, r.s) for r in metric_queries._cohort_stats(spark, str(tmp_path), k=5).collect()}
+    assert set(got) == set(range(0, 80, 10))
+    for i, (m, s) in got.items():
+        best = np.sort(-np.linalg.norm(x[5::10] - x[i], axis=1))[-5:]
+        assert np.allclose((m, s), (best.mean(), best.std(ddof=1)))
