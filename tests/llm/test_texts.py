@@ -167,6 +167,19 @@ def test_wrapper_of_pages_without_an_article():
     assert "(<p>TEXT</p>)+" in wrappers.expression(wrapper) and "text" in wrappers.expression(wrapper)
 
 
+def test_what_one_page_alone_has_is_main_text():
+    page = "<body><div class=c><h1>{}</h1>{}</div><div>All rights</div></body>"
+    texts = main_text(page.format("A", "<p>one</p>"), page.format("B", "<p>two</p><blockquote>said</blockquote>"), page.format("C", "<p>six</p><h3>Part</h3>"))[1]
+    assert texts == ["A\none", "B\ntwo\nsaid", "C\nsix\nPart"]
+
+
+def test_a_further_turn_counts_for_what_varies():
+    group = lambda x: ["r", [["t", "body>p", False, x, x, 1]], False, 0, 0, 0]
+    (_, inside, *_), = wrappers.merged([group(5), group(7)], [group(5)])
+    assert inside == [["t", "body>p", False, 5, 7, 2]]
+    assert [x for _, x in wrappers.slots(inside)] == [None]
+
+
 @pytest.mark.parametrize("page", [None, "", "plain", "<", "<div", "<p>a</div></p><b>b", "<!-- never closed <p>x", "<script>x", "<textarea>a", "<table><tr><td>1<td>2<tr><td>3", "</p></p>", "<p " + "a=" * 20])
 def test_broken_pages_do_not_fail(page):
     found = wrappers.blocks(page)
