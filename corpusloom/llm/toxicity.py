@@ -28,9 +28,11 @@ GRAMS = (3, 4, 5, 6)
 #: Words in a window.
 WINDOW = 3
 #: Bound of the labelled sample that the classifier is fitted on: so many texts of either label, and further clean ones
-#: whose words are counted, of at most so many characters each; chosen by a hash of the id over all labelled rows.
+#: whose words are counted; chosen by a hash of the id over all labelled rows. Texts enter whole as long as the average
+#: has at most SAMPLE_CHARS characters; beyond that the longest enter as pieces of PIECE characters from all over them.
 SAMPLE, MORE_CLEAN = 800, 6000
 SAMPLE_CHARS = 6_000
+PIECE = 500
 #: Log odds from which a word tells toxic texts, and where REJECT lies between the labels.
 TELLING, MARGIN = 2.3, 0.3
 #: Share of words that training takes for words never seen.
@@ -343,14 +345,36 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     usable = usable.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(id_col, F.lit(9))
     some = usable.filter("toxic = 1").orderBy(order).limit(2 * sample).unionByName(usable.filter("toxic = 0").orderBy(order).limit(2 * sample + more))
-    texts = docs.select(F.col(id_col), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull() & (F.length("_text") <= SAMPLE_CHARS))
-    rows = texts.join(F.broadcast(some), id_col).orderBy(order, F.xxhash64("_text")).limit(4 * sample + more)  # broadcast: at most so many rows
-    pdf = rows.select("_text", "toxic").toPandas()
-    clean, toxic = (pdf["_text"][pdf["toxic"] == k].tolist() for k in (0, 1))
-    toxic, clean, rest = toxic[:sample], clean[:sample], clean[sample : sample + more]
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
+    rows = texts.join(F.broadcast(some), id_col)  # broadcast: at most so many rows
+    parts = []
+    for toxic, n, bound in ((1, sample, sample), (0, sample + more, sample + more)):
+        chosen = rows.filter(F.col("toxic") == toxic).orderBy(order, F.xxhash64("_text")).limit(n)
+        lengths = [x[0] for x in chosen.select(F.length("_text")).collect()]
+        parts.append([x[0] for x in chosen.select(pieces("_text", even_cap(lengths, bound * SAMPLE_CHARS)).alias("_text")).collect()])
+    toxic, clean, rest = parts[0], parts[1][:sample], parts[1][sample:]
     return fit(toxic + clean, np.array([1] * len(toxic) + [0] * len(clean)), rest)
 
 
+def even_cap(lengths: list[int], room: int) -> int:
+    """The largest length to which texts have to be shortened, so that all of them together take at most `room`."""
+    left = sorted(lengths)
+    for i, n in enumerate(left):
+        if n * (len(left) - i) > room:
+            return room // (len(left) - i)
+        room -= n
+    return max(lengths, default=0)
+
+
+def pieces(col: str, cap: int) -> Column:
+    """The text, or if it has more than cap characters, pieces of it from its begin to its end at even distances, of
+    about cap characters together and without the words that their ends cut."""
+    n = max(2, cap // PIECE)
+    begin = lambda i: F.floor(i * (F.length(col) - PIECE) / (n - 1)) + 1
+    piece = lambda i: F.regexp_replace(F.substr(col, begin(i).cast("int"), F.lit(PIECE)), r"^\S*\s|\s\S*$", "")
+    return F.when(F.length(col) <= cap, F.col(col)).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), piece), " "))
+
+
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score: str = "score") -> DataFrame:
     """docs with the score of each whole text, 0 to 1; null and empty texts score as a text without words."""
 

@@ -306,6 +306,24 @@ def test_labels_of_held_out_rows_are_not_learnt(spark):
     assert np.array_equal(a.bucket, b.bucket) and a.a == b.a
 
 
+def test_long_texts_are_learnt_from(spark):
+    rows = [(i, t + " of the and in to" * (450 if y else 1), y) for i, t, y in labelled(400)]
+    assert min(len(t) for _, t, y in rows if y) > toxicity.SAMPLE_CHARS
+    df = docs(spark, *[(i, t) for i, t, _ in rows])
+    got = toxicity.digest(df, spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")).collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == rows[r.doc_id][2] for r in held) >= 0.9 * len(held)
+
+
+def test_pieces_come_from_all_over_a_text(spark):
+    assert toxicity.even_cap([10, 20, 300, 400], 130) == 50 and toxicity.even_cap([10, 20], 130) == 20
+    text = " ".join(f"w{i}" for i in range(9000))
+    got = docs(spark, (1, text), (2, "a b")).select(toxicity.pieces("text", 5000)).collect()
+    found = [int(w[1:]) for w in got[0][0].split()]
+    assert got[1][0] == "a b" and len(got[0][0]) <= 5100 and set(found) <= set(range(9000))
+    assert found == sorted(found) and max(np.diff([0, *found, 9000])) < 1200
+
+
 # --- language model
 
 
