@@ -133,6 +133,14 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted(r.doc_id for r in near_dedup.deduplicated(docs(spark, (2, same), (1, same), (5, None))).collect()) == [1, 5]
 
 
+def test_deduplication_is_by_row(spark):
+    same, other, third = ("one two three four five six seven", "red green blue white black pink grey", "ant bee cat dog eel fox gnu")
+    df = docs(spark, (None, same), (None, other), (3, same), (4, third), (4, third), (4, other), (9, None), (9, None))
+    got = sorted((str(r.doc_id), r.text) for r in near_dedup.deduplicated(df).collect())
+    assert got == [("3", same), ("4", third), ("4", other), ("9", None), ("9", None)]
+    assert near_dedup.deduplicated(df).columns == df.columns
+
+
 # --- decontamination
 
 
