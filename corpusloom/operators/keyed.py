@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators import ranks
+
 
 def keep_keys(df: DataFrame, keys: DataFrame, on: str, exclude: bool = False) -> DataFrame:
     """Rows whose key is (not) among the keys."""
@@ -49,12 +51,12 @@ def suffixed_repeats(df: DataFrame, key: str, order: str) -> DataFrame:
 
 def round_robin(df: DataFrame, order: str, n: int, name: str = "split") -> DataFrame:
     """Rows dealt to n splits in turn."""
-    return df.withColumn(name, (F.row_number().over(Window.orderBy(order)) - 1) % n)
+    return ranks.numbered(df, [order], name).withColumn(name, F.col(name) % n)
 
 
 def even_chunks(df: DataFrame, order: str, n: int, name: str = "split") -> DataFrame:
-    """n consecutive chunks; the first ones have the remainder."""
-    return df.withColumn(name, F.ntile(n).over(Window.orderBy(order)))
+    """n consecutive chunks, counted from 1; the first ones have the remainder."""
+    return ranks.numbered(df, [order], name).withColumn(name, ranks.chunk(F.col(name), df.count(), n) + 1)
 
 
 def strided_per_group(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
@@ -68,22 +70,39 @@ def strided_per_group(df: DataFrame, group: str, order: str, n: int) -> DataFram
 def groups_until(df: DataFrame, group: str, n: int) -> DataFrame:
     """Groups in order of name until they have n rows together; the group that reaches n is the last."""
     sizes = df.groupBy(group).agg(F.count("*").alias("rows"))
-    before = F.coalesce(F.sum("rows").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return sizes.withColumn("before", before).filter(F.col("before") < n)
+    return ranks.running(sizes, [group], F.col("rows"), "before").withColumn("before", F.col("before") - F.col("rows")).filter(F.col("before") < n)
 
 
 def hashed_order(key: str, seed: int) -> Column:
-    """A fixed shuffle: rows ordered by it come in pseudo-random order whatever the partitions."""
-    return F.xxhash64(F.col(key), F.lit(seed))
+    """A fixed shuffle: rows ordered by it come in pseudo-random order whatever the partitions, and in any engine that
+    has MD5."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
+def shuffled(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """Adds each row's place, from 0, in a fixed shuffle by key."""
+    return ranks.numbered(df, [hashed_order(key, seed), key], name)
+
+
+def within_group(df: DataFrame, group: str, order: list[str | Column], name: str = "rank") -> DataFrame:
+    """Adds each row's place, from 0, within its group, and the group's size as _size; no task holds a whole group."""
+    placed = ranks.numbered(df, [group, *order], name)
+    sizes = df.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_size"))
+    first = ranks.running(sizes, ["_group"], F.col("_size"), "_end").select("_group", "_size", (F.col("_end") - F.col("_size")).alias("_first"))
+    return placed.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col(name) - F.col("_first")).drop("_group", "_first")
+
+
+#: Multiplier and modulus of the sequence that thins out duplicates.
+MULTIPLIER, MODULUS = 103349, 71147
 
 
-def duplicate_cap(df: DataFrame, text: str, order: str, most: int, multiplier: int = 103349, modulus: int = 71147) -> DataFrame:
+def duplicate_cap(df: DataFrame, text: str, order: str, most: int) -> DataFrame:
     """Rows whose text comes fewer than `most` times stay; of the others each stays with probability most / count, by
     a fixed linear congruential sequence that advances over those rows in order."""
-    over = df.withColumn("_n", F.count("*").over(Window.partitionBy(text)))
-    j = F.sum((F.col("_n") >= most).cast("bigint")).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    draw = (j * multiplier) % modulus
-    return over.withColumn("_draw", draw).filter((F.col("_n") < most) | (F.col("_draw") < most * modulus / F.col("_n"))).drop("_n", "_draw")
+    counts = df.groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("_n"))
+    over = df.join(counts, F.col(text).eqNullSafe(F.col("_text"))).drop("_text")
+    drawn = ranks.running(over, [order], (F.col("_n") >= most).cast("int"), "_j").withColumn("_draw", F.col("_j") * MULTIPLIER % MODULUS)
+    return drawn.filter((F.col("_n") < most) | (F.col("_draw") < most * MODULUS / F.col("_n"))).drop("_n", "_j", "_draw")
 
 
 def integrity(rows: DataFrame, groups: DataFrame, key: str, group: str) -> tuple[DataFrame, DataFrame]:

@@ -1,27 +1,68 @@
-"""Operators whose rule is sequential: folds over ordered arrays, or grouped pandas where state is richer. All work
+"""Operators whose rule is sequential: ordered rows streamed through a task, or grouped pandas where state is richer. All work
 within a key (a recording, a speaker), never over the whole table."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from corpusloom.operators import ranks
+
+
+def streamed(df: DataFrame, key: str, order: list[str], step: Callable[[object, tuple], tuple[object, tuple]], start: object, columns: list[str], schema: str) -> DataFrame:
+    """Rows of each key in order go through step(state, row) -> (state, row out); row has the values of `columns`. Only
+    the state is held, so a key of any size streams through its task in constant memory."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: object = run  # no key yet
+        state: object = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = []
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != at:
+                    at, state = k, start
+                state, made = step(state, tuple(row))
+                out.append((k, *made))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return df.repartition(key).sortWithinPartitions(key, *order).select(key, *columns).mapInArrow(run, schema)
 
 
 def groups_by_duration(df: DataFrame, key: str, order: str, duration: str, most: float, name: str = "part") -> DataFrame:
     """Numbers consecutive rows of a key so that a new part begins once the last one has more than `most` in all."""
-    state = "struct<part:bigint,used:double,parts:array<bigint>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("part"), F.lit(0.0).alias("used"), F.array().cast("array<bigint>").alias("parts")).cast(state)
 
-    def step(a: Column, r: Column) -> Column:
-        used = a["used"] + r["_d"]
-        full = used > most
-        return F.struct((a["part"] + full.cast("bigint")).alias("part"), F.when(full, 0.0).otherwise(used).alias("used"), F.concat(a["parts"], F.array(a["part"])).alias("parts")).cast(state)
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        part, used = state
+        if used > most:
+            part, used = part + 1, 0.0
+        return (part, used + float(row[1] or 0)), (row[0], part)
+
+    types = dict(df.dtypes)
+    return streamed(df, key, [order], step, (0, 0.0), [order, duration], f"{key} {types[key]}, {order} {types[order]}, {name} bigint")
+
+
+def batches_of_draws(df: DataFrame, key: str, order: str, size: str, bins: int, least: int = 1, most: int | None = None) -> DataFrame:
+    """(key, order, batch_id) of rows in order: a batch is closed by the row that takes it beyond bins if it has at least
+    `least` rows, or that is its most-th."""
 
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(duration).cast("double").alias("_d")))).alias("rows"))
-    parts = F.aggregate("rows", zero, step, lambda a: a["parts"])
-    return rows.select(key, F.explode(F.arrays_zip(F.col("rows._o").alias(order), parts.alias(name))).alias("x")).select(key, f"x.{order}", f"x.{name}")
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        batch, n, total = state
+        n, total = n + 1, total + row[1]
+        full = (total > bins and n >= least) or (most is not None and n >= most)
+        return ((batch + 1, 0, 0) if full else (batch, n, total)), (row[0], batch)
+
+    types = dict(df.dtypes)
+    return streamed(df, key, [order], step, (0, 0, 0), [order, size], f"{key} {types[key]}, {order} {types[order]}, batch_id bigint")
 
 
 def long_form(df: DataFrame, key: str, start: str, end: str, text: str, longest: float) -> DataFrame:
@@ -51,53 +92,116 @@ def long_form(df: DataFrame, key: str, start: str, end: str, text: str, longest:
 
 
 def evenly_spread(keys: DataFrame, order: str, n: int) -> DataFrame:
-    """n of the rows in order, as even as can be by halving: the first half gets half of n, rounded down, and so on. The
-    places depend on the numbers of rows alone, so they are worked out once and joined with the rows' ranks."""
-
-    def places(first: int, last: int, n: int) -> list[int]:
-        if n == 0:
-            return []
-        if n == last - first or n == 1 and last - first == 1:
-            return list(range(first, first + n))
-        half = (last - first) // 2
-        left = n // 2 if half >= n // 2 else half
-        left = max(left, n - (last - first - half))
-        return places(first, first + half, left) + places(first + half, last, n - left)
-
+    """n of the rows in order, as even as can be by halving: the first half of the rows, rounded down, gives half of n,
+    rounded down, and so on. The places depend on the numbers of rows alone, so they are worked out once and joined
+    with the rows' ranks."""
     total = keys.count()
     if n > total:
         raise ValueError(f"{n} of {total} rows cannot be had")
-    chosen = keys.sparkSession.createDataFrame([(p,) for p in places(0, total, n)], "_r bigint")
-    return keys.withColumn("_r", (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint")).join(chosen, "_r", "left_semi").drop("_r")
+    places: list[tuple[int]] = []
+    todo = [(0, total, n)] if n else []
+    while todo:
+        first, rows, need = todo.pop()
+        if rows == 1:
+            places.append((first,))
+            continue
+        half = rows // 2
+        todo += [x for x in ((first, half, need // 2), (first + half, rows - half, need - need // 2)) if x[2]]
+    chosen = keys.sparkSession.createDataFrame(places, "_r bigint")
+    return ranks.numbered(keys, [order], "_r").join(chosen, "_r", "left_semi").drop("_r")
 
 
 def balanced_groups(sizes: list[tuple[str, int]], parts: int) -> dict[str, int]:
-    """Whole groups dealt to parts of near equal size: largest first to the smallest part, then moved while that evens
-    the sizes. sizes is one entry a group (speakers), not a row."""
-    load, out = [0] * parts, {}
-    for name, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        p = min(range(parts), key=lambda i: (load[i], i))
-        out[name] = p
-        load[p] += n
+    """Whole groups, in order, dealt to parts of like numbers of groups; then a group at the end of a part goes to the
+    part beside it as long as that makes the two more alike. sizes is one entry a group (speakers), not a row."""
+    if len(sizes) < parts:
+        raise ValueError(f"{len(sizes)} groups cannot fill {parts} parts")
+    held: list[list[tuple[str, int]]] = [[] for _ in range(parts)]
+    for i, x in enumerate(sizes):
+        held[i * parts // len(sizes)].append(x)
+    load = [sum(n for _, n in p) for p in held]
+
+    def moves(a: int, b: int, n: int) -> bool:
+        if abs((load[b] + n) - (load[a] - n)) >= abs(load[b] - load[a]):
+            return False
+        load[a], load[b] = load[a] - n, load[b] + n
+        return True
+
     moved = True
     while moved:
         moved = False
-        for name, n in sorted(sizes):
-            a, b = out[name], min(range(parts), key=lambda i: (load[i], i))
-            if load[a] - n > load[b] or (load[a] - load[b]) > abs(load[a] - load[b] - 2 * n):
-                if abs(load[a] - load[b] - 2 * n) < load[a] - load[b]:
-                    out[name] = b
-                    load[a] -= n
-                    load[b] += n
-                    moved = True
+        for p in range(parts):
+            if p + 1 < parts and held[p] and moves(p, p + 1, held[p][-1][1]):
+                held[p + 1].insert(0, held[p].pop())
+                moved = True
+            if p and held[p] and moves(p, p - 1, held[p][0][1]):
+                held[p - 1].append(held[p].pop(0))
+                moved = True
+    return {name: p for p, groups in enumerate(held) for name, _ in groups}
+
+
+def groups_for_size(sizes: DataFrame, group: str, n: str, share: float, most: int = 2_000_000) -> DataFrame:
+    """(group, split = 'dev') of groups that together come as near to the share of all rows as can be had; of equally
+    near totals the smaller, and of several ways the one that a search in order of names meets first. sizes has a row a
+    group. Totals are searched exactly up to `most`; beyond, sizes are rounded to a grid of so many steps."""
+    rows = sorted((r[0], int(r[1])) for r in sizes.select(group, n).collect())
+    total = sum(x for _, x in rows)
+    target, grid = round(total * share), max(1, -(-total // most))
+    way: dict[int, tuple[int, int] | None] = {0: None}  # reached total: (the group added last, the total before)
+    for i, (_, x) in enumerate(rows):
+        x = round(x / grid)
+        for t in [t for t in way if t + x <= 2 * target // grid + 1]:
+            way.setdefault(t + x, (i, t))
+    at: int = min(way, key=lambda t: (abs(t * grid - target), t))
+    chosen: list[tuple[str]] = []
+    while (step := way[at]) is not None:
+        chosen.append((rows[step[0]][0], "dev"))
+        at = step[1]
+    return sizes.sparkSession.createDataFrame(chosen, f"{group} {dict(sizes.dtypes)[group]}, split string")
+
+
+def least_assignment(cost: np.ndarray) -> list[int]:
+    """Column of each row so that the summed cost is least (Kuhn-Munkres, in the cube of the size). rows <= columns."""
+    n, m = cost.shape
+    u, v, match, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        match[0], at, least, used = i, 0, np.full(m + 1, np.inf), np.zeros(m + 1, bool)
+        while match[at]:
+            used[at] = True
+            row = match[at]
+            reduced = cost[row - 1] - u[row] - v[1:]
+            better = ~used[1:] & (reduced < least[1:])
+            least[1:][better], way[1:][better] = reduced[better], at
+            free = np.flatnonzero(~used[1:]) + 1
+            to = free[np.argmin(least[free])]
+            step = least[to]
+            u[match[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            at = to
+        while at:
+            match[at], at = match[way[at]], way[at]
+    out = [0] * n
+    for j in range(1, m + 1):
+        if match[j]:
+            out[match[j] - 1] = j - 1
     return out
 
 
 def least_permutation(df: DataFrame, utt: str, ref: str, hyp: str, errors: str, words: str) -> DataFrame:
-    """Of two speakers' references and hypotheses (rows utt, ref, hyp, errors, words for each pair), the assignment
-    with the fewest errors."""
-    g = df.groupBy(utt).agg(F.sum(F.when(F.col(ref) == F.col(hyp), F.col(errors)).otherwise(0)).alias("_same"), F.sum(F.when(F.col(ref) != F.col(hyp), F.col(errors)).otherwise(0)).alias("_crossed"), F.sum(F.when(F.col(ref) == F.col(hyp), F.col(words)).otherwise(0)).alias("words"))
-    return g.select(utt, F.least("_same", "_crossed").alias("errors"), "words", (F.col("_crossed") < F.col("_same")).alias("crossed"))
+    """(utt, errors, words): of any number of speakers' references and hypotheses (rows utt, ref, hyp, errors and the
+    reference's words for each pair), the fewest errors that an assignment of hypotheses to references has. A pair that
+    is not there cannot be assigned."""
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        refs, hyps = sorted(pdf[ref].unique()), sorted(pdf[hyp].unique())
+        cost = np.full((len(refs), len(hyps)), 1e12)
+        cost[pdf[ref].map(refs.index), pdf[hyp].map(hyps.index)] = pdf[errors]
+        flat = cost if len(refs) <= len(hyps) else cost.T
+        total = sum(flat[i, j] for i, j in enumerate(least_assignment(flat)))
+        return pd.DataFrame({utt: [pdf[utt].iloc[0]], "errors": [int(total)], "words": [int(pdf.groupby(ref)[words].first().sum())]})
+
+    return df.select(utt, ref, hyp, errors, words).groupBy(utt).applyInPandas(best, f"{utt} {dict(df.dtypes)[utt]}, errors bigint, words bigint")
 
 
 def warped(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:

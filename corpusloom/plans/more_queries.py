@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import batching, keyed, scans
+from corpusloom.operators import keyed, scans, sequential
 from corpusloom.plans.registry import query
 from corpusloom.session import table
 
@@ -23,39 +23,6 @@ def category_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("lang").agg(F.count("*").alias("chunks"), F.sum(F.col("c")[0]).alias("starts"))
 
 
-@query("B11_diverse_order", "SELECT ntile(8) OVER (ORDER BY n_chars, doc_id)::INTEGER AS stratum, doc_id FROM documents")
-def diverse_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strata of length from which a packer draws in turn, each in hash order; here the strata."""
-    return _docs(spark, sf_dir).withColumn("stratum", F.ntile(8).over(Window.orderBy("n_chars", "doc_id"))).select("stratum", "doc_id")
-
-
-@query("B12_sharded_packing", "SELECT true AS whole, true AS fits FROM documents LIMIT 1")
-def sharded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row is packed once and no bin is over its capacity, whatever the number of shards."""
-    d = _docs(spark, sf_dir).filter("n_chars <= 30000")
-    p = batching.packed(d.select("doc_id", "n_chars"), "doc_id", "n_chars", 30000, shards=4)
-    used = p.groupBy("bin").agg(F.sum("n_chars").alias("used")).agg((F.max("used") <= 30000).alias("fits"))
-    missing = d.join(p.select("doc_id"), "doc_id", "left_anti").agg((F.count("*") == 0).alias("whole"))
-    return missing.crossJoin(used)
-
-
-@query("B13_spread_tail", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN r < (n // 48) * 48 THEN r // 48 ELSE (r - (n // 48) * 48) % (n // 48) END::BIGINT AS batch_id FROM r")
-def spread_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last batch, too small, go one each to the batches before."""
-    w = F.row_number().over(Window.orderBy("doc_id")) - 1
-    d = _docs(spark, sf_dir).select("doc_id", w.cast("bigint").alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
-    full = F.floor(F.col("n") / 48)
-    return d.select("doc_id", F.when(F.col("r") < full * 48, F.floor(F.col("r") / 48)).otherwise((F.col("r") - full * 48) % full).alias("batch_id"))
-
-
-@query("B16_shuffled_within", "SELECT (doc_id // 16)::BIGINT AS batch_id, count(*)::BIGINT AS n, sum(doc_id)::BIGINT AS total, count(*)::BIGINT AS places FROM documents GROUP BY 1")
-def shuffled_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch's rows in hash order: the same rows, each in one place."""
-    d = _docs(spark, sf_dir).withColumn("batch_id", F.floor(F.col("doc_id") / 16))
-    p = d.withColumn("pos", F.row_number().over(Window.partitionBy("batch_id").orderBy(keyed.hashed_order("doc_id", 16), "doc_id")))
-    return p.groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("doc_id").alias("total"), F.countDistinct("pos").alias("places"))
-
-
 @query("B17_wrapped_epochs", "SELECT step, (step % n)::BIGINT AS place, (step // n)::BIGINT AS epoch FROM (SELECT unnest(range(0, 2500)) AS step), (SELECT count(*) AS n FROM documents)")
 def wrapped_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps over a table that is gone through again and again."""
@@ -64,14 +31,6 @@ def wrapped_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("step", (F.col("step") % n).alias("place"), F.floor(F.col("step") / n).alias("epoch"))
 
 
-@query("B19_cropped_collate", "SELECT vec_id, vec_id % 16 AS at, len(embedding[(vec_id % 16 + 1)::INT : (vec_id % 16 + 48)::INT])::BIGINT AS frames, 12::BIGINT AS labels FROM embeddings")
-def cropped_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """48 frames from a place on, and every fourth label."""
-    crop = F.slice("embedding", (F.col("vec_id") % 16 + 1).cast("int"), F.lit(48))
-    every = F.filter(crop, lambda x, i: i % 4 == 0)
-    return table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 16).alias("at"), F.size(crop).cast("bigint").alias("frames"), F.size(every).cast("bigint").alias("labels"))
-
-
 @query("U9_chained_epochs", "SELECT epoch, count(*)::BIGINT AS n FROM (SELECT 0 AS epoch FROM documents UNION ALL SELECT 1 FROM documents UNION ALL SELECT 0 FROM benchmark UNION ALL SELECT 1 FROM benchmark) GROUP BY epoch")
 def chained_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Iterators chained, once an epoch."""
@@ -79,19 +38,6 @@ def chained_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch")).groupBy("epoch").agg(F.count("*").alias("n"))
 
 
-@query("R23_group_split_to_size", "SELECT count(*)::BIGINT AS n, true AS reached FROM documents")
-def group_split_to_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole groups for a development set of about a tenth of the rows: groups in hash order as long as they fit; group
-    sizes, not rows, are looked at together."""
-    d = _docs(spark, sf_dir)
-    sizes = d.groupBy("source").agg(F.count("*").alias("n"))
-    w = Window.orderBy(keyed.hashed_order("source", 23), "source").rowsBetween(Window.unboundedPreceding, 0)
-    dev = sizes.withColumn("used", F.sum("n").over(w)).withColumn("limit", F.ceil(F.sum("n").over(Window.partitionBy()) / 10)).filter("used <= limit").select("source", F.lit("dev").alias("split"))
-    split = d.join(dev, "source", "left").select(F.coalesce("split", F.lit("train")).alias("split"))
-    n = split.groupBy("split").agg(F.count("*").alias("n"))
-    return n.agg(F.sum("n").alias("n"), (F.max("n") >= F.sum("n") * 0.9 - 1).alias("reached"))
-
-
 @query("T7_worker_shards", "SELECT (event_id % 4)::BIGINT AS worker, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def worker_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a stream dealt to workers by their number."""
@@ -111,3 +57,31 @@ def silence_trimming(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("i"), "embedding")
     top = F.array_max(F.transform(F.slice("embedding", (F.col("i") * 8 + 1).cast("int"), F.lit(8)), F.abs))
     return f.withColumn("top", top).filter("top > 0.2").groupBy("vec_id").agg(F.min("i").alias("first"), F.max("i").alias("last"))
+
+
+@query("B16_shuffled_within", "SELECT doc_id, (doc_id // 16)::BIGINT AS batch_id, (row_number() OVER (PARTITION BY doc_id // 16 ORDER BY md5('16:' || doc_id), doc_id) - 1)::BIGINT AS pos FROM documents")
+def shuffled_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch's rows in a fixed shuffle."""
+    d = _docs(spark, sf_dir).withColumn("batch_id", F.floor(F.col("doc_id") / 16))
+    w = Window.partitionBy("batch_id").orderBy(keyed.hashed_order("doc_id", 16), "doc_id")
+    return d.select("doc_id", "batch_id", (F.row_number().over(w) - 1).cast("bigint").alias("pos"))
+
+
+_CROPPED = "list_transform(embedding[(vec_id % 16 + 1)::INT : (vec_id % 16 + 48)::INT], lambda x: round_even(x::DOUBLE * 1e6, 0)::BIGINT)"
+
+
+@query("B19_cropped_collate", f"SELECT vec_id, array_to_string({_CROPPED}, ',') AS frames, array_to_string(list_filter({_CROPPED}, lambda x, i: i % 4 = 1), ',') AS labels FROM embeddings")
+def cropped_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """48 frames from a place on, and every fourth label."""
+    crop = F.slice("embedding", (F.col("vec_id") % 16 + 1).cast("int"), F.lit(48))
+    said = F.transform(crop, lambda x: F.rint(x.cast("double") * 1e6).cast("bigint").cast("string"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(said, ",").alias("frames"), F.array_join(F.filter(said, lambda x, i: i % 4 == 0), ",").alias("labels"))
+
+
+@query("R23_group_split_to_size")
+def group_split_to_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole groups, here combinations of source and language, for a development set as near to a tenth of the rows as
+    can be had; tests hold it against all subsets."""
+    d = _docs(spark, sf_dir).withColumn("grp", F.concat_ws("/", "source", "lang"))
+    chosen = sequential.groups_for_size(d.groupBy("grp").agg(F.count("*").alias("n")), "grp", "n", 0.1)
+    return d.join(F.broadcast(chosen), "grp", "left").select("doc_id", "grp", F.coalesce("split", F.lit("train")).alias("split"))
