@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import decontamination, near_dedup, packing, pii, toxicity
-from corpusloom.llm.common import kept, table
+from corpusloom.llm.common import mark, new_folder, release, table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each stage's result is written and read again by the next."""
+    """All stages over the documents of sf_dir; each stage's result is written and read again by the next. What a stage
+    needed besides, and the result before, goes as soon as its own result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        since, path = mark(), new_folder(spark, f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), path)
+        release(spark, since if name == STAGES[0][0] else since - 1, [path])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words: space and U+0009 to U+000D.
 SPACES = bytes([9, 10, 11, 12, 13, 32])
 #: Bytes of text hashed at once; bounds the memory of a Python worker.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Rows and bytes of a batch that goes to a Python worker, and bytes of text that a worker turns into strings at once.
+BATCH_ROWS, BATCH_BYTES, SLICE_BYTES = 2000, 8 << 20, 2 << 20
 
 _ODD = 0x9E3779B97F4A7C13
 _MASK = (1 << 64) - 1
@@ -25,30 +30,93 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends Python workers batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes from now on,
+    which bounds what executors hold beside their heap. Settings that are smaller already stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = df.sparkSession.conf.get(key, str((1 << 31) - 2)).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            df.sparkSession.conf.set(key, str(most))
+    return df
+
+
+def text_slices(column: pa.Array, rows: int = 1000) -> Iterator[tuple[int, list[str | None]]]:
+    """(place of the first, texts) of runs of a text column, of at most `rows` texts and about SLICE_BYTES bytes; a
+    longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    at, n = 0, len(column)
+    while at < n:
+        total = np.cumsum(sizes[at : at + rows], dtype=np.int64)
+        end = at + max(1, int(np.searchsorted(total, SLICE_BYTES, "right")))
+        yield at, column.slice(at, end - at).to_pylist()
+        at = end
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none (tests)."""
+    """The folder that driver and executors share; set here only where a local session has none (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         known = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="corpusloom-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(known)
     return known
 
 
+#: Folders and broadcasts made so far that release() has not taken away.
+_SCRATCH: list = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def held_by_all(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast that release() knows of."""
+    out = spark.sparkContext.broadcast(value)
+    _SCRATCH.append(out)
+    return out
+
+
+def mark() -> int:
+    """What release() needs to take away what is made from now on."""
+    return len(_SCRATCH)
+
+
+def release(spark: SparkSession, since: int = 0, but: Iterable[str] = ()) -> None:
+    """Deletes the folders and broadcasts made since mark() gave `since`, but for the folders named. To be called only
+    when every result that was built on them has been written or is no longer wanted."""
+    some, _SCRATCH[since:] = _SCRATCH[since:], [p for p in _SCRATCH[since:] if isinstance(p, str) and p in set(but)]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for x in some:
+        if isinstance(x, Broadcast):
+            x.destroy()
+        elif x not in set(but):
+            path = hadoop(x)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read from the shared checkpoint folder: lineage ends here and survives lost executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        _SCRATCH.append(file.get())
+    return out
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a Parquet table in the shared folder, for wide rows of which later steps read few columns."""
-    path = new_folder(df.sparkSession, name)
+    return written(df, new_folder(df.sparkSession, name))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -157,16 +225,18 @@ def filtered_to(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     so that a join after it shuffles little else than what it needs. All rows with an id among ids stay."""
     bits = ids.select(F.explode(F.array(*[F.xxhash64("id", F.lit(k)) for k in (1, 2, 3)])).alias("h"))
     words = bits.groupBy(F.pmod(F.shiftright("h", 6), F.lit(FILTER_WORDS)).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(h, 64) AS int)))").alias("bits"))
-    found = words.toPandas()  # at most FILTER_WORDS rows
+    found = words.toArrow()  # at most FILTER_WORDS rows
     mask = np.zeros(FILTER_WORDS, np.int64)
-    mask[found["word"].to_numpy()] = found["bits"].to_numpy()
-    held = df.sparkSession.sparkContext.broadcast(mask)
+    mask[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    while len(mask) > max(64, 16 * len(found)):  # few ids need few words
+        mask = mask[: len(mask) // 2] | mask[len(mask) // 2 :]
+    held = held_by_all(df.sparkSession, mask)
 
     def passes(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         ok = np.ones(len(a), bool)
         for h in (a, b, c):
             h = h.to_numpy(np.int64)
-            ok &= (held.value[(h >> 6) % FILTER_WORDS] >> (h % 64)) & 1 == 1
+            ok &= (held.value[(h >> 6) % len(held.value)] >> (h % 64)) & 1 == 1
         return pd.Series(ok)
 
     return df.filter(F.pandas_udf(passes, "boolean")(*[F.xxhash64(col, F.lit(k)) for k in (1, 2, 3)]))

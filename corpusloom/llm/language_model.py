@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import kept, mix, new_folder, word_hashes
+from corpusloom.llm.common import kept, mix, new_folder, small_batches, text_slices, word_hashes
 
 #: Tokens counted at once by a task, and tokens for each shard.
 BUFFER, PER_SHARD = 1_200_000, 1_500_000
+#: 2 ** MOST_BITS shards at most, so they grow beyond 1e11 tokens (some 500 GB of text); partitions that make them.
+MOST_BITS, MOST_PARTS = 16, 20_000
 #: A context of at least 1/HOT of all tokens is dealt over all shards; at most HOT contexts are.
 HOT = 512
 #: Training leaves out ids of this remainder by MODULUS.
@@ -77,7 +79,8 @@ class Layout(NamedTuple):
         of the bigram's."""
         pair = mix(mix(contexts + U64(1)) + ids)
         lead = np.where(self.is_hot(contexts), pair * U64(0x9E3779B97F4A7C15), mix(contexts + U64(3)))
-        return (lead >> U64(52) << U64(52)) | (pair >> U64(12))
+        rest = U64(64 - self.bits)
+        return (lead >> rest << rest) | (pair >> U64(self.bits))
 
     def is_hot(self, contexts: np.ndarray) -> np.ndarray:
         if not len(self.hot):
@@ -131,13 +134,13 @@ def _buffered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
     """Tokens and contexts of about BUFFER tokens at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
-    for batch in batches:
-        for _, _, tokens, contexts, _ in _tokens(batch.column(0).to_pylist()):
-            held.append((tokens, contexts))
-            n += len(tokens)
-            if n >= BUFFER:
-                yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                held, n = [], 0
+    runs = (run for batch in batches for _, texts in text_slices(batch.column(0)) for run in _tokens(texts))
+    for _, _, tokens, contexts, _ in runs:
+        held.append((tokens, contexts))
+        n += len(tokens)
+        if n >= BUFFER:
+            yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            held, n = [], 0
     if held:
         yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
 
@@ -372,14 +375,14 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     spark = docs.sparkSession
     folder = _local(new_folder(spark, "language-model"))
     os.makedirs(folder)
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col(text_col).cast("string").alias("text"))
     # At most 2 * HOT rows leave a buffer; of their sums those of at least half of 1/HOT, so at most 2 * HOT, arrive.
     sums = texts.mapInArrow(_common, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     common = {r["id"]: r["n"] for r in sums.orderBy(F.desc("n")).limit(2 * HOT + 1).collect()}
     tokens = common.pop(-1, 0)
     hot = np.array(sorted(i for i, n in common.items() if n * HOT >= tokens), U64)
-    layout = Layout(min(12, max(2, (tokens // PER_SHARD).bit_length())), hot)
-    parts = 2**layout.bits
+    layout = Layout(min(MOST_BITS, max(2, (tokens // PER_SHARD).bit_length())), hot)
+    parts = min(2**layout.bits, MOST_PARTS)
     blobs = texts.mapInArrow(_count(layout), BLOB)
     added = blobs.repartition(parts, "kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(_add_pairs(layout, folder), BLOB)
     added = kept(added, "language-model-counts")
@@ -408,7 +411,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                n, known, base, score = (np.concatenate(x) for x in zip(*model.score(batch.column(1).to_pylist())))
+                runs = (x for _, texts in text_slices(batch.column(1)) for x in model.score(texts))
+                n, known, base, score = (np.concatenate(x) for x in zip(*runs))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.tokens)), pa.array(base), pa.array(score)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, filtered_to, kept, mix, stream, word_hashes
+from corpusloom.llm.common import cut, filtered_to, kept, mix, small_batches, stream, text_slices, word_hashes
 from corpusloom.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -86,8 +86,8 @@ def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weights = stream(ROWS, 5) | np.uint64(1)
     labels = stream(BANDS, 6)
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            ids, texts = batch.column(0).slice(at, 1000), batch.column(1).slice(at, 1000).to_pylist()
+        for at, texts in text_slices(batch.column(1)):
+            ids = batch.column(0).slice(at, len(texts))
             for first, last, words, bounds in word_hashes(texts):
                 sets = list(shingles(words, bounds))
                 n = np.array([len(s) for s in sets], np.int64)
@@ -131,7 +131,8 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hub, salt, member = (batch.column(i).to_numpy() for i in range(3))
         found_a, found_b = [], []
-        for first, _, words, bounds in word_hashes(batch.column(3).to_pylist()):
+        runs = ((at + first, words, bounds) for at, texts in text_slices(batch.column(3)) for first, _, words, bounds in word_hashes(texts))
+        for first, words, bounds in runs:
             for i, own in enumerate(shingles(words, bounds), first):
                 if (hub[i], salt[i]) != at:
                     at, hubs = (hub[i], salt[i]), []
@@ -269,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     it. Rows with one id are one node. Rows with null ids are one node too, named by null if it is alone. Other columns
     are not read; an empty table gives an empty result.
     """
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = kept(source.mapInArrow(_sketched, _SKETCHED), "sketch")
     some = sketch.filter("n > 0")
     classes = some.groupBy("h1", "h2").agg(F.min("id").alias("rep"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, ranked
+from corpusloom.llm.common import cut, ranked, small_batches, text_slices
 
 CAPACITY = 2048
 #: Closes every document.
@@ -124,9 +124,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
     schema = pa.schema(fields)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        runs = ((batch.column(0).slice(at, len(texts)).to_pylist(), texts) for batch in batches for at, texts in text_slices(batch.column(1)))
+        for names, texts in runs:
             columns: list[list] = [[] for _ in fields]
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, text in zip(names, texts):
                 ids = np.array([*token_ids(text, vocabulary, ranks), END_ID], "<u4")
                 for k, (start, length) in enumerate(cuts(len(ids), capacity)):
                     part = ids[start : start + length]
@@ -135,7 +136,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     ddl = "id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ maximum, scoring needs one number for each n-gram bucket and each known word.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import CHUNK, mix, stream, word_hashes
+from corpusloom.llm.common import CHUNK, mix, small_batches, stream, text_slices, word_hashes
 
 BUCKETS_LOG2 = 18
 DIM = 12
@@ -170,6 +171,20 @@ def _flat(text: str) -> str:
     return np.where(_LETTER[b], b, np.uint8(32)).tobytes().decode("utf-8", "replace")
 
 
+def _word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-gram buckets of the words one after another, how many each word has, and the words' hashes; block by block, as
+    features takes some hundred bytes for each of the text."""
+    buckets, per, hashes = [], [], []
+    for at in range(0, len(words), 8192):
+        bucket, word, own, start = features(" ".join(words[at : at + 8192]).encode("utf-8", "surrogatepass"))
+        if len(start) != len(words[at : at + 8192]):
+            raise AssertionError("words and features do not agree")
+        buckets.append(bucket[np.argsort(word, kind="stable")])
+        per.append(np.bincount(word, minlength=len(start)))
+        hashes.append(own)
+    return np.concatenate(buckets), np.concatenate(per), np.concatenate(hashes)
+
+
 def _once(texts: list[str]) -> list[int]:
     """Places of texts of which no earlier one is a near copy, by eight minima of their words' hashes; else the words of
     a copied toxic text would count as common in toxic texts."""
@@ -187,9 +202,9 @@ def _once(texts: list[str]) -> list[int]:
     return out
 
 
-def fit(texts: list[str], labels: np.ndarray, more_clean: list[str] = (), rounds: int = 160, seed: int = 5) -> Model:
+def fit(texts: list[str], labels: np.ndarray, more_clean: Iterable[str] = (), rounds: int = 160, seed: int = 5) -> Model:
     """The model of labelled texts, by Adagrad on windows drawn anew in each round. The further clean texts only tell
-    which words are common in toxic texts by chance."""
+    which words are common in toxic texts by chance; they are gone through once and not held."""
     if not len(labels) or labels.min() == labels.max():
         return _constant(float(np.mean(labels)) if len(labels) else 0.01)
     rng = np.random.default_rng(seed)
@@ -206,15 +221,14 @@ def fit(texts: list[str], labels: np.ndarray, more_clean: list[str] = (), rounds
         return _constant(float(np.mean(labels)) if len(labels) else 0.01)
     vocabulary = list(numbers)
     n_words = len(vocabulary)
-    bucket, word, hashes, start = features(" ".join(vocabulary + [_misspelt(w, rng) for w in vocabulary]).encode("utf-8", "surrogatepass"))
-    if len(start) != 2 * n_words:
-        raise AssertionError("words and features do not agree")
+    bucket, per, hashes = _word_features(vocabulary + [_misspelt(w, rng) for w in vocabulary])
     hashes = hashes[:n_words]
-    bucket, per = bucket[np.argsort(word, kind="stable")], np.bincount(word, minlength=2 * n_words)
     first = np.concatenate(([0], np.cumsum(per)))
-    used = np.unique(bucket)  # only buckets that occur have to be trained
-    local = np.searchsorted(used, bucket).astype(np.int32)
-    del bucket, word, numbers
+    used = np.flatnonzero(np.bincount(bucket, minlength=1 << BUCKETS_LOG2))  # only buckets that occur have to be trained
+    place = np.zeros(1 << BUCKETS_LOG2, np.int32)
+    place[used] = np.arange(len(used))
+    local = place[bucket]
+    del bucket, numbers
 
     flat_words, bounds = np.concatenate(docs), np.concatenate(([0], np.cumsum([len(d) for d in docs])))
     doc_of = np.repeat(np.arange(len(docs)), np.diff(bounds))
@@ -222,13 +236,15 @@ def fit(texts: list[str], labels: np.ndarray, more_clean: list[str] = (), rounds
     once = np.unique(doc_of * n_words + flat_words)
     in_texts = [np.bincount((once % n_words)[labels[once // n_words] == k], minlength=n_words) for k in (0, 1)]
     doubtful = {w: i for i, w in enumerate(vocabulary) if in_texts[1][i] >= 3 and in_texts[0][i] < in_texts[1][i]}
+    n_more = 0
     for t in more_clean:
+        n_more += 1
         for w in doubtful.keys() & set(_flat(t).split(" ")):
             in_texts[0][doubtful[w]] += 1
-    odds = np.log((in_texts[1] + 0.5) / ((labels == 1).sum() + 1)) - np.log((in_texts[0] + 0.5) / ((labels == 0).sum() + len(more_clean) + 1))
+    odds = np.log((in_texts[1] + 0.5) / ((labels == 1).sum() + 1)) - np.log((in_texts[0] + 0.5) / ((labels == 0).sum() + n_more + 1))
     # Also, the count has to be less likely by chance than one in all words tried (a likelihood ratio test).
     both = in_texts[0] + in_texts[1]
-    share_toxic = (labels == 1).sum() / (len(labels) + len(more_clean))
+    share_toxic = (labels == 1).sum() / (len(labels) + n_more)
     ratio = sum(k * np.log(np.maximum(k, 1e-9) / np.maximum(both * q, 1e-9)) for k, q in ((in_texts[1], share_toxic), (in_texts[0], 1 - share_toxic)))
     telling = (odds > TELLING) & (ratio > np.log(n_words) + 2)
 
@@ -245,15 +261,21 @@ def fit(texts: list[str], labels: np.ndarray, more_clean: list[str] = (), rounds
         return _constant(float(np.mean(labels)))
     untold = (labels[doc_of] == 1) & ~np.isin(doc_of, doc_of[bad])
     told, hard = bad, np.empty(0, np.int64)
-    vectors, own = rng.normal(0, 0.3, (len(used), DIM)), np.zeros((n_words, DIM))
+    tells = np.flatnonzero(telling)
+    tells_at = np.cumsum(telling) - 1  # place of a telling word among them
+    vectors, own = rng.normal(0, 0.3, (len(used), DIM)), np.zeros((len(tells), DIM))
     theta = np.stack((-np.ones(DIM), np.ones(DIM))) * rng.normal(0, 0.5, DIM)
     bias = np.zeros(2)
     held = [np.full(x.shape, 1e-6) for x in (vectors, theta, bias, own)]
 
     def word_logits() -> np.ndarray:
         """Of the words, then of their variants."""
-        logit = np.add.reduceat((vectors @ (theta[1] - theta[0]))[local], first[:-1]) / per
-        logit[:n_words] += own @ (theta[1] - theta[0])
+        of_bucket, logit = vectors @ (theta[1] - theta[0]), np.empty(2 * n_words)
+        for a in range(0, 2 * n_words, 16384):
+            some = first[a : a + 16385]
+            logit[a : a + 16384] = np.add.reduceat(of_bucket[local[some[0] : some[-1]]], some[:-1] - some[0])
+        logit /= per
+        logit[tells] += own @ (theta[1] - theta[0])
         return logit
 
     def worst_clean(each: int) -> np.ndarray:
@@ -292,7 +314,8 @@ def fit(texts: list[str], labels: np.ndarray, more_clean: list[str] = (), rounds
         ids = local[np.repeat(first[distinct] - ends, sizes) + np.arange(sizes.sum())]
         named = np.flatnonzero((distinct < n_words) & telling[distinct % n_words])
         of_word = np.add.reduceat(vectors[ids], ends) / sizes[:, None]
-        of_word[named] += own[distinct[named]]
+        mine = tells_at[distinct[named]]
+        of_word[named] += own[mine]
         row = np.repeat(np.arange(len(chosen)), inside.sum(1))
         part = 1 / inside.sum(1)
         # Some words count as never seen, so that such words do not look toxic.
@@ -305,7 +328,6 @@ def fit(texts: list[str], labels: np.ndarray, more_clean: list[str] = (), rounds
         p *= np.where(y == 1, 0.5 / len(some_bad), 0.5 / max(1, len(some_clean)))[:, None]
         grad_x = (p @ theta) * part[:, None]
         grad_word = np.stack([np.bincount(at, grad_x[row, k] * known, len(distinct)) for k in range(DIM)], 1)
-        mine = distinct[named]
         held[3][mine] += grad_word[named] ** 2
         own[mine] -= 0.15 * grad_word[named] / np.sqrt(held[3][mine])
         grad_word /= sizes[:, None]
@@ -321,10 +343,10 @@ def fit(texts: list[str], labels: np.ndarray, more_clean: list[str] = (), rounds
 
     logit = np.zeros(1 << BUCKETS_LOG2)
     logit[used] = vectors @ (theta[1] - theta[0])
-    order = np.flatnonzero(telling)
-    order = order[np.argsort(hashes[order])]
-    words_own = hashes[order], (own @ (theta[1] - theta[0]))[order]
+    order = np.argsort(hashes[tells])
+    words_own = hashes[tells][order], (own @ (theta[1] - theta[0]))[order]
     model = Model(logit, *words_own, float(bias[1] - bias[0]), float(bias[1] - bias[0]), 1.0, 0.0)
+    del vectors, own, held, local, doc_of, room, clean, once  # scoring takes memory of its own
     # From the worst window to the text: a logistic curve that has REJECT a little above nearly all clean texts.
     s = model.worst([texts[i] for i in kept])
     low = max(np.quantile(s[labels == 0], 0.998), np.quantile(s[unlearnt], 0.97) if unlearnt.any() else -np.inf)
@@ -345,15 +367,30 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     usable = usable.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(id_col, F.lit(9))
     some = usable.filter("toxic = 1").orderBy(order).limit(2 * sample).unionByName(usable.filter("toxic = 0").orderBy(order).limit(2 * sample + more))
-    texts = docs.select(F.col(id_col), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
+    texts = small_batches(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).filter(F.col("_text").isNotNull())
     rows = texts.join(F.broadcast(some), id_col)  # broadcast: at most so many rows
     parts = []
-    for toxic, n, bound in ((1, sample, sample), (0, sample + more, sample + more)):
-        chosen = rows.filter(F.col("toxic") == toxic).orderBy(order, F.xxhash64("_text")).limit(n)
+    for toxic, n in ((1, sample), (0, sample + more)):
+        chosen = rows.filter(F.col("toxic") == toxic).withColumn("_order", order).orderBy("_order", F.xxhash64("_text")).limit(n)
         lengths = [x[0] for x in chosen.select(F.length("_text")).collect()]
-        parts.append([x[0] for x in chosen.select(pieces("_text", even_cap(lengths, bound * SAMPLE_CHARS)).alias("_text")).collect()])
-    toxic, clean, rest = parts[0], parts[1][:sample], parts[1][sample:]
-    return fit(toxic + clean, np.array([1] * len(toxic) + [0] * len(clean)), rest)
+        parts.append(chosen.select("toxic", "_order", pieces("_text", even_cap(lengths, n * SAMPLE_CHARS)).alias("_text")))
+    # The sample is bounded and learnt from in one task, which another executor repeats if this one is lost.
+    together = parts[0].unionByName(parts[1]).coalesce(1).sortWithinPartitions(F.desc("toxic"), "_order", F.xxhash64("_text")).select("toxic", "_text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((y, t) for batch in batches for at, some in text_slices(batch.column(1)) for y, t in zip(batch.column(0).slice(at, len(some)).to_pylist(), some))
+        taken: list[tuple[int, str]] = []
+        clean = 0
+        for y, t in found:
+            taken.append((y, t))
+            clean += y == 0
+            if clean == sample:
+                break
+        model = fit([t for _, t in taken], np.array([y for y, _ in taken], np.int64), (t for _, t in found))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    said = together.mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(said[0].model)) if said else _constant(0.01)
 
 
 def even_cap(lengths: list[int], room: int) -> int:
@@ -381,12 +418,12 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score: str = "
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.names.index(text_col))
-            found = [model.score(column.slice(i, 1000).to_pylist()) for i in range(0, len(column), 1000)]
+            found = [model.score(texts) for _, texts in text_slices(column)]
             yield batch.append_column(score, pa.array(np.concatenate(found or [np.empty(0)]), pa.float64()))
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType())]))
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType())]))
 
 
 def digest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
