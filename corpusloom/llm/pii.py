@@ -6,14 +6,18 @@ Every pattern is written so that its time is linear in the text: no start inside
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import small_batches
+
 #: Kinds in the order that breaks ties; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone", "secret")
 BASE = KINDS[:4]
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
@@ -25,10 +29,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+#: A run of what keys and tokens consist of; that it looks drawn at random is confirmed after.
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 
 #: Score before context, the words that raise it and by how much; a span needs NEEDED. Base kinds start above NEEDED.
-SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.35, "local_phone": 0.35}
+SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.35, "local_phone": 0.35, "secret": 0.4}
 CONTEXT = {
     "email": ("mail", "e-mail", "contact"),
     "ip": ("ip", "host", "server", "address"),
@@ -37,6 +43,7 @@ CONTEXT = {
     "iban": ("iban", "account", "bank"),
     "ssn": ("ssn", "social", "security"),
     "local_phone": ("phone", "call", "tel", "mobile", "fax"),
+    "secret": ("token", "secret", "password", "passwd", "key", "apikey", "bearer", "credential", "credentials"),
 }
 RAISE, NEEDED, NEAR = 0.3, 0.6, 48
 _NEAR_WORDS = re.compile(r"[a-z-]+")
@@ -56,6 +63,11 @@ def mod97(code: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def random_looking(run: str) -> bool:
+    """Whether a run of 20 to 512 characters has letters, digits and at least ten kinds of characters."""
+    return len(run) <= 512 and len(set(run)) >= 10 and any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     done, at = 0, text.find("@")
     while at >= 0:
@@ -90,6 +102,9 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     for kind, pattern in (("ssn", _SSN), ("local_phone", _LOCAL_PHONE)):
         for m in pattern.finditer(text):
             yield kind, m.start(), m.end()
+    for m in _SECRET.finditer(text):
+        if random_looking(m[0]):
+            yield "secret", m.start(), m.end()
 
 
 def find(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -98,14 +113,22 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
     if not text:
         return []
     found: list[tuple[str, int, int, float]] = []
-    base_end: list[tuple[int, int]] = []
+    base: list[tuple[int, int]] = []
+    starts: list[int] | None = None  # of the base spans in order, with the furthest end up to each
+    ends: list[int] = []
     for kind, start, end in _proposed(text):
         around = f"{text[max(0, start - NEAR) : start]} {text[end : end + NEAR]}".lower()
         score = min(1.0, SCORES[kind] + RAISE * any(w in CONTEXT[kind] for w in _NEAR_WORDS.findall(around)))
         if kind in BASE:
-            base_end.append((start, end))
-        elif score < NEEDED or any(s < end and start < e for s, e in base_end):
-            continue
+            base.append((start, end))
+        else:
+            if score < NEEDED:
+                continue
+            if starts is None:
+                starts, ends = [s for s, _ in sorted(base)], list(accumulate((e for _, e in sorted(base)), max))
+            before = bisect_left(starts, end)
+            if before and ends[before - 1] > start:
+                continue
         found.append((kind, start, end, score))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -139,7 +162,7 @@ def spans(text: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with personal data replaced in the text, its length column too where there is one; null stays null."""
-    out = docs.withColumn(text_col, F.pandas_udf(_redacted, "string")(F.col(text_col)))
+    out = small_batches(docs).withColumn(text_col, F.pandas_udf(_redacted, "string")(F.col(text_col)))
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.coalesce(F.length(text_col).cast(docs.schema[length_col].dataType), F.col(length_col)))
     return out
@@ -148,7 +171,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: counts of the base kinds, base_sha256 and spans (see the module). No row is dropped: null and empty
     texts, repeated rows and null ids have rows of their own; other columns are not read."""
-    found = docs.select(F.col(id_col).alias("_id"), spans(F.col(text_col)).alias("_spans"))
+    found = small_batches(docs).select(F.col(id_col).alias("_id"), spans(F.col(text_col)).alias("_spans"))
     said = lambda xs: F.concat_ws(",", F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
     base = F.filter("_spans", lambda x: x["kind"].isin(*BASE))
     of_kind = lambda k: F.filter("_spans", lambda x: x["kind"] == k)
