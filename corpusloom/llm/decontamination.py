@@ -1,6 +1,7 @@
 """Benchmark decontamination: word n-grams of test items seed alignments with training texts, and Smith-Waterman
 local alignment of words scores them, so that edited and paraphrased copies are found as well as exact ones. Every
-n-gram is a seed, however many documents hold it: one copy may stand in any number of them.
+n-gram is a seed, however many documents hold it: one copy may stand in any number of them. Items of fewer words than
+a seed are found where their words stand as they are.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. The benchmark is taken in blocks of
 bounded size, each of which every task holds; documents are never shuffled.
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import PLAIN, mix, stream, word_hashes
+from corpusloom.llm.common import PLAIN, held_by_all, mix, small_batches, stream, text_slices, word_hashes
 
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -27,20 +28,22 @@ ITEMS, ITEM_CHARS = 20_000, 16_000_000
 
 
 class Items(NamedTuple):
-    """A block of items: ids, words of each, and their n-grams in order with item and place."""
+    """A block of items: ids, words of each, their n-grams in order with item and place, and for each number of words
+    below GRAM the hashes, in order, and numbers of the items that have so many."""
 
     ids: list
     words: list[np.ndarray]
     grams: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
-def grams_of(words: np.ndarray) -> np.ndarray:
-    """Hashes of the GRAM words from each place."""
-    n = max(0, len(words) - GRAM + 1)
+def grams_of(words: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """Hashes of the `size` words from each place."""
+    n = max(0, len(words) - size + 1)
     with np.errstate(over="ignore"):
-        return mix(sum((words[k : k + n] * w for k, w in enumerate(stream(GRAM, 13) | np.uint64(1))), np.zeros(n, np.uint64)))
+        return mix(sum((words[k : k + n] * w for k, w in enumerate(stream(size, 10 + size) | np.uint64(1))), np.zeros(n, np.uint64)))
 
 
 def _texts(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -56,7 +59,12 @@ def items(ids: list, texts: list[str | None]) -> Items:
     flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
     place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
     order = np.argsort(flat, kind="stable")
-    return Items(ids, words, flat[order], item[order], place[order])
+    short = {}
+    for size in range(1, GRAM):
+        if some := [i for i, w in enumerate(words) if len(w) == size]:
+            own = np.concatenate([grams_of(words[i], size) for i in some])
+            short[size] = np.sort(own), np.array(some)[np.argsort(own, kind="stable")]
+    return Items(ids, words, flat[order], item[order], place[order], short)
 
 
 def _found(sorted_grams: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -82,6 +90,13 @@ def aligned(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 
 def matches(words: np.ndarray, block: Items, least: float = LEAST) -> Iterator[tuple[int, float, int]]:
     """(item number, score, word where the alignment ends) of the items that a text holds, best place of each."""
+    for size, (own, which) in block.short.items():
+        grams = grams_of(words, size)
+        distinct, at = np.unique(grams[_found(own, grams)], return_index=True)
+        places = _found(own, grams)[at]
+        for gram, place in zip(distinct, places):
+            for k in range(np.searchsorted(own, gram), np.searchsorted(own, gram, "right")):
+                yield int(which[k]), 1.0, int(place + size)
     grams = grams_of(words)
     hits = _found(block.grams, grams)
     if not len(hits):
@@ -126,27 +141,28 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Item
 
 def _held(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator:
     """Broadcast blocks of the benchmark; each is bounded by ITEMS and ITEM_CHARS."""
-    for block in _blocks(benchmark.withColumn(item_col, F.col(item_col).cast("long")), item_col, item_text_col):
-        yield rows.sparkSession.sparkContext.broadcast(block)
+    for block in _blocks(benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")), "item", "text"):
+        yield held_by_all(rows.sparkSession, block)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(id, item id, score, end) for each row of docs and item that it holds: score is the alignment's share of the
     best possible, end the word of the text after it.
 
-    Null and empty texts hold nothing. Items of fewer than GRAM words cannot be told from common phrases and are never
-    held. Repeated rows and items are reported as often as they come, null ids as null; other columns are not read.
+    Null and empty texts hold nothing, and items without words are never held. An item of fewer than GRAM words is held
+    where they stand one after another. Of equally good places the first one counts. Texts of any length are searched
+    whole. Repeated rows and items are reported as often as they come, null ids as null; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("score", pa.float64()), ("end", pa.int64())])
     out = docs.sparkSession.createDataFrame([], "doc long, item long, score double, end long")
     for held in _held(rows, benchmark, item_col, item_text_col):
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             block = held.value
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                found = [(i, block.ids[k], s, e) for i, words in zip(ids, _texts(batch.column(1).to_pylist())) for k, s, e in matches(words, block, least)]
+            runs = ((batch.column(0).slice(at, len(texts)).to_pylist(), texts) for batch in batches for at, texts in text_slices(batch.column(1)))
+            for ids, texts in runs:
+                found = [(i, block.ids[k], s, e) for i, words in zip(ids, _texts(texts)) for k, s, e in matches(words, block, least)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), schema.types)], schema=schema)
 
@@ -154,15 +170,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "score", "end")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows of docs whose text holds no item, with all their columns; nothing is shuffled."""
-    out = docs
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST, shortest: int = GRAM) -> DataFrame:
+    """The rows of docs whose text holds no item, with all their columns; nothing is shuffled. Items of fewer than
+    `shortest` words do not count here, as such words stand in clean texts too (contaminated() reports them)."""
+    out = small_batches(docs)
     for held in _held(docs, benchmark, item_col, item_text_col):
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            block = held.value
             for batch in batches:
-                texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
-                yield batch.filter(pa.array([next(matches(words, held.value, least), None) is None for words in _texts(texts)], pa.bool_()))
+                texts = batch.column(batch.schema.names.index(text_col))
+                ok = [all(len(block.words[k]) < shortest for k, _, _ in matches(words, block, least)) for _, some in text_slices(texts) for words in _texts(some)]
+                yield batch.filter(pa.array(ok, pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
     return out

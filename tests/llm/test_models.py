@@ -156,6 +156,8 @@ def test_edited_copies_are_found_and_others_left_alone(spark):
             w = [x if rnd.random() > 0.12 else f"e{rnd.randrange(99)}" for x in w]
             filler[70:70] = [x.upper() + "," for x in w] if i % 2 else w
             want.add((i, k))
+        if "b1" in filler:
+            want.add((i, 91))  # an item of one word
         rows.append((i, " ".join(filler)))
     df, items = docs(spark, *rows), spark.createDataFrame(bench + [(90, None), (91, "b1"), (92, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, items).collect()}
@@ -174,6 +176,54 @@ def test_copies_in_many_documents_are_found(spark):
     assert [r.doc_id for r in decontamination.clean(df, items).collect()] == [99]
 
 
+def test_short_items_are_found_as_they_are(spark):
+    df = docs(spark, (1, "x Alpha, beta y alpha beta"), (2, "alpha x beta"), (3, "beta"), (4, "gamma beta gamma"))
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, "ALPHA beta!"), (4, "a b c")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.score, r.end) for r in decontamination.contaminated(df, items).collect())
+    assert got == [(1, 1, 1.0, 3), (1, 3, 1.0, 3), (4, 2, 1.0, 1)]
+    assert decontamination.clean(df, items).count() == 4 and {r.doc_id for r in decontamination.clean(df, items, shortest=2).collect()} == {2, 3, 4}
+
+
+def best_score(item, text):
+    """The best local alignment of all of a text, cell by cell."""
+    row, best = [0] * (len(text) + 1), 0
+    for a in item:
+        new = [0]
+        for j, b in enumerate(text, 1):
+            new.append(max(0, row[j - 1] + (2 if a == b else -1), row[j] - 1, new[-1] - 1))
+        row, best = new, max(best, *new)
+    return best
+
+
+def test_contaminated_by_brute_force(spark):
+    """Every document against every item: those that share three words in a row and reach the least score."""
+    rnd = random.Random(4)
+    bench = [[f"b{rnd.randrange(60)}" for _ in range(rnd.randrange(3, 30))] for _ in range(25)]
+    texts = []
+    for i in range(80):
+        w = [f"b{rnd.randrange(60)}" for _ in range(rnd.randrange(0, 60))]
+        k = bench[i % 25]
+        texts.append(w[: len(w) // 2] + [x if rnd.random() > 0.25 else "zz" for x in k[: rnd.randrange(len(k) + 1)]] + w[len(w) // 2 :])
+    df = docs(spark, *((i, " ".join(t)) for i, t in enumerate(texts)))
+    items = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(bench)], "item_id long, text string")
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    want = {(i, k): best_score(b, t) / (2 * len(b)) for i, t in enumerate(texts) for k, b in enumerate(bench) if grams(b) & grams(t) and best_score(b, t) >= 0.4 * 2 * len(b)}
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(df, items).collect()}
+    # A seed's window ends a third of the item beyond it, so an alignment that strays further may score a little less.
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) and all(got[x] <= want[x] + 1e-9 for x in got)
+    assert np.mean([got[x] == pytest.approx(want[x]) for x in got]) > 0.95
+
+
+def test_decontamination_of_very_long_texts(spark):
+    item = " ".join(f"i{k}" for k in range(30))
+    long = " ".join(f"w{k % 977}" for k in range(120_000))
+    df = docs(spark, (1, long + " " + item), (2, item + " " + long), (3, long), (4, "v" * 400_000 + " " + item))
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted((r.doc_id, r.score) for r in decontamination.contaminated(df, items).collect()) == [(1, 1.0), (2, 1.0), (4, 1.0)]
+    clash = df.withColumn("item_id", F.lit("x")).withColumn("score", F.lit(1))
+    assert [r.doc_id for r in decontamination.clean(clash, items).collect()] == [3] and decontamination.contaminated(clash, items).count() == 3
+
+
 def test_alignment_by_brute_force():
     rnd = np.random.default_rng(0)
     for _ in range(60):
@@ -203,40 +253,75 @@ def test_perturbations_come_in_order_and_are_valid():
     assert all(7 - r not in s for s in sets for r in s)
 
 
-def test_neighbours_of_clusters(spark):
-    rng = np.random.default_rng(2)
-    centres = rng.normal(size=(20, 16))
-    x = [(int(i), (centres[i % 20] + 0.1 * rng.normal(size=16)).tolist(), 1) for i in range(1500)]
-    x += [(2000, None, 1), (2100, [0.0] * 16, 1), (2200, [float("nan")] * 16, 1), (2300, [None] * 16, 1), (1, x[1][1], 1)]
-    df = spark.createDataFrame(x, "vec_id long, embedding array<double>, rank int")
+def exact(good, queries, k=10):
+    """{query: [(score, id)]} by all pairs, within a length; good, queries: (id, vector)."""
+    out = {}
+    for q, v in queries:
+        v = np.array(v, float)
+        out.setdefault((q, tuple(v)), sorted((float(np.sqrt(((v - np.array(y, float)) ** 2).sum())), i) for i, y in good if i != q and len(y) == len(v))[:k])
+    return out
+
+
+def found(df):
     got = defaultdict(list)
     for r in nearest.digest(df).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.score, r.vec_id, r["rank"]))
-    good = [(i, np.array(v)) for i, v, _ in x if v and i not in (2100, 2200, 2300)]
+    return got
+
+
+@pytest.mark.parametrize("clusters", [20, 0])
+def test_neighbours_by_brute_force(spark, clusters, monkeypatch):
+    """Clustered and isotropic vectors, with small cells and blocks."""
+    monkeypatch.setattr(nearest, "CELL", 500)
+    monkeypatch.setattr(nearest, "ROWS", 100)
+    monkeypatch.setattr(nearest, "BLOCK", 3)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(max(1, clusters), 16))
+    x = [(int(i), (centres[i % clusters] + 0.1 * rng.normal(size=16) if clusters else rng.normal(size=16)).tolist(), 1) for i in range(1500)]
+    x += [(2000, None, 1), (2100, [0.0] * 16, 1), (2200, [float("nan")] * 16, 1), (2300, [None] * 16, 1), (None, [1.0] * 16, 1), (1, x[1][1], 1)]
+    got = found(spark.createDataFrame(x, "vec_id long, embedding array<double>, rank int"))
+    good = [(i, v) for i, v, _ in x if v and i not in (None, 2100, 2200, 2300)]
+    want = exact(good, [(i, v) for i, v in good if i % 100 == 0])
     hits = 0
     assert set(got) == set(range(0, 1500, 100))
-    for q, found in got.items():
-        v = dict(good)[q]
-        want = sorted((float(np.sqrt(((v - y) ** 2).sum())), i) for i, y in good if i != q)[:10]
-        assert [r for _, _, r in found] == list(range(1, 11)) and [f[:2] for f in found] == sorted(f[:2] for f in found)
-        hits += len({i for _, i, _ in found} & {i for _, i in want})
-    assert hits >= 0.9 * 10 * len(got)
+    for (q, _), true in want.items():
+        assert [r for _, _, r in got[q]] == list(range(1, 11)) and [f[:2] for f in got[q]] == sorted(f[:2] for f in got[q])
+        hits += len({i for _, i, _ in got[q]} & {i for _, i in true})
+    assert hits >= 0.9 * 10 * len(want)
+
+
+def test_neighbours_with_repeated_queries_and_several_lengths(spark):
+    rng = np.random.default_rng(3)
+    base = [(i, rng.normal(size=4).tolist()) for i in range(300)]
+    rows = [(500, [1.0, 2.0]), (600, [1.0, 2.5]), (700, [5.0, 5.0, 5.0]), *base, base[100], base[200], base[7], (100, [0.5] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = found(df), exact(rows, [r for r in rows if r[0] % 100 == 0])
+    for q in (0, 200, 500, 600):
+        true = next(t for (i, _), t in want.items() if i == q)
+        assert [(i, s) for s, i, _ in got[q]] == [(i, pytest.approx(s)) for s, i in true]
+    # Two vectors under one id are two queries.
+    assert sorted((s, i) for s, i, _ in got[100]) == [(pytest.approx(s), i) for s, i in sorted(t for (q, _), true in want.items() if q == 100 for t in true)]
+    assert 700 not in got  # alone with its length
+    again = found(df.repartition(7))
+    assert again == got
+
+
+def test_a_hot_vector_is_found(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0] * 8 if i % 3 else rng.normal(size=8).tolist()) for i in range(900)]
+    got, want = found(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), exact([(i, np.float32(v)) for i, v in rows], [(i, np.float32(v)) for i, v in rows if i % 100 == 0])
+    for (q, _), true in want.items():
+        if q % 3:
+            assert [(i, r) for _, i, r in got[q]] == [(i, r) for r, (_, i) in enumerate(true, 1)]
 
 
 def test_recall_on_the_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    table = {r.vec_id: np.array(r.embedding, float) for r in rows.collect()}
-    ids, x = np.array(list(table)), np.array(list(table.values()))
-    got = defaultdict(set)
-    for r in nearest.digest(rows).collect():
-        got[r.query_id].add(r.vec_id)
-        assert abs(r.score - np.sqrt(((table[r.query_id] - table[r.vec_id]) ** 2).sum())) < 1e-12
-    recall = []
-    for q, found in got.items():
-        d = np.sqrt(((x - table[q]) ** 2).sum(1))
-        d[ids == q] = np.inf
-        recall.append(len(found & set(ids[np.lexsort((ids, d))[:10]].tolist())) / 10)
-    assert np.mean(recall) >= 0.9 and len(recall) == 20
+    table = [(r.vec_id, r.embedding) for r in rows.collect()]
+    got, want = found(rows), exact(table, [t for t in table if t[0] % 100 == 0])
+    assert np.mean([len({i for _, i, _ in got[q]} & {i for _, i in true}) / 10 for (q, _), true in want.items()]) >= 0.9 and len(got) == 20
+    of = dict(table)
+    assert all(abs(s - np.sqrt(((np.array(of[q], float) - np.array(of[i], float)) ** 2).sum())) < 1e-12 for q, f in got.items() for s, i, _ in f)
 
 
 def test_few_candidates_and_no_queries(spark):
