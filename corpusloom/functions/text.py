@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,13 +37,31 @@ def ngrams(text: Column, n: int) -> Column:
     return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text), F.lit(n)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+#: Distinct words that a pair can have: characters from U+0100 on but surrogates.
+MOST_WORDS = 0x110000 - 0x100 - 0x800
+
+
+def _letters(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    """Each pair as two texts that have one character for each distinct word of the pair."""
+    out: list[list[str | None]] = [[], []]
+    for pair in zip(ref, hyp):
+        known: dict = {}
+        for words_, said in zip(pair, out):
+            if words_ is None:
+                said.append(None)
+                continue
+            ids = [known.setdefault(w, len(known)) for w in words_]
+            if len(known) > MOST_WORDS:
+                raise ValueError(f"a pair of texts has more than {MOST_WORDS} distinct words")
+            said.append("".join(chr(i + 0x100 if i < 0xD700 else i + 0x900) for i in ids))
+    return pd.DataFrame({"ref": out[0], "hyp": out[1]})
+
+
 def word_errors(ref: Column, hyp: Column) -> Column:
-    """Edit distance of two word arrays: each distinct word of the pair becomes one character, so that the built-in
-    distance of texts, which is compiled, does the work. Good for 50,000 distinct words in a pair."""
-    known = F.array_distinct(F.concat(ref, hyp))
-    code = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + F.when(i < 0x8000, 0x4000).otherwise(0x6000)), 4, "0")), "UTF-16BE")
-    as_text = lambda ws: F.array_join(F.transform(ws, lambda w: code(F.array_position(known, w).cast("bigint"))), "")
-    return F.levenshtein(as_text(ref), as_text(hyp))
+    """Edit distance of two word arrays: each distinct word of the pair becomes one character, once, so that the
+    built-in distance of texts, which is compiled, does the work. Fails beyond MOST_WORDS distinct words in a pair."""
+    said = F.pandas_udf(_letters, "ref string, hyp string")(ref, hyp)
+    return F.levenshtein(said["ref"], said["hyp"])
 
 
 def time_token(seconds: Column, resolution: float = 0.02) -> Column:
@@ -61,6 +80,28 @@ def has_digit_run(text: Column, n: int = 15) -> Column:
     return F.regexp_like(text, run) | F.regexp_like(F.regexp_replace(text, r"[,|'.]", ""), run)
 
 
+def repeats_word(text: Column, n: int = 5, longest: int = 3) -> Column:
+    """Whether a word of at most `longest` characters comes more than n times in a row, whatever its case. Words stand
+    between white space and , ; . ! ?"""
+    flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[\s,;.!?]+", " ")), F.lit(" "))
+    return F.regexp_like(flat, F.lit(rf"(?<= )([^ ]{{1,{longest}}}) (?:\1 ){{{n}}}"))
+
+
+def one_character_over(text: Column, share: float = 0.5) -> Column:
+    """Whether one character, whatever its case, is more than this share (at least a half) of a text without its white
+    space; a blank text counts as one. Only the character in the middle of the sorted text can be."""
+    flat = F.regexp_replace(F.lower(text), r"\s+", "")
+    n = F.length(flat)
+    middle = F.get(F.array_sort(F.split(flat, "")), F.floor(n / 2).cast("int"))
+    return F.coalesce((n == 0) | (n - F.length(F.replace(flat, middle, F.lit(""))) > share * n), F.lit(True))
+
+
+def not_fit(text: Column) -> Column:
+    """Whether a text is blank or has too long a run of one character, one short word, one character in all, or
+    digits."""
+    return F.coalesce((F.trim(F.regexp_replace(text, r"\s+", " ")) == "") | repeats_character(text) | repeats_word(text) | one_character_over(text) | has_digit_run(text), F.lit(True))
+
+
 def plain_spaces(text: Column) -> Column:
     """Unicode spaces and invisible marks as spaces."""
     return F.regexp_replace(text, "[\\u00a0\\u2000-\\u200f\\u2028-\\u202f]", " ")

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -70,25 +70,58 @@ def long_form(df: DataFrame, key: str, start: str, end: str, text: str, longest:
     longer itself is left out. prev_text is the text of the stretch before, <na> for the first and after a gap that an
     utterance left out has made."""
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        fresh = True
-        for r in pdf.sort_values([start, end]).itertuples():
-            s, e, t = getattr(r, start), getattr(r, end), getattr(r, text)
-            if e - s > longest:
-                fresh = True
-                continue
-            if fresh or e - out[-1][0] > longest:
-                out.append([s, e, [t], "<na>" if fresh or not out else " ".join(out[-1][2])])
-                fresh = False
-            else:
-                out[-1][1] = e
-                out[-1][2].append(t)
-        k = pdf[key].iloc[0]
-        return pd.DataFrame([(k, s, e, " ".join(t), p) for s, e, t, p in out], columns=[key, start, end, text, "prev_text"])
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        stretch, first, fresh = state
+        s, e, t = row
+        if e - s > longest:
+            return (stretch, None, True), (s, e, t, None, fresh)
+        if first is None or e - first > longest:
+            stretch, first = stretch + 1, s
+            return (stretch, first, False), (s, e, t, stretch, fresh)
+        return (stretch, first, False), (s, e, t, stretch, False)
 
     types = dict(df.dtypes)
-    return df.select(key, start, end, text).groupBy(key).applyInPandas(join, f"{key} {types[key]}, {start} {types[start]}, {end} {types[end]}, {text} string, prev_text string")
+    schema = f"{key} {types[key]}, {start} {types[start]}, {end} {types[end]}, {text} string, _stretch bigint, _fresh boolean"
+    rows = streamed(df, key, [start, end], step, (-1, None, True), [start, end, text], schema).filter("_stretch IS NOT NULL")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(start, end, text))), lambda x: x[text]), " ")  # of one stretch
+    whole = rows.groupBy(key, "_stretch").agg(F.min(start).alias(start), F.max(end).alias(end), said.alias(text), F.bool_or("_fresh").alias("_fresh"))
+    before = F.lag(text).over(Window.partitionBy(key).orderBy("_stretch"))
+    return whole.withColumn("prev_text", F.when(F.col("_fresh"), "<na>").otherwise(before)).drop("_stretch", "_fresh")
+
+
+def looked_up(df: DataFrame, key: str, tokens: str, words: DataFrame, token: str, word: str, end: str = "<eos>", unknown: str = "<unk>") -> DataFrame:
+    """(key, text): tokens of each row by a table of words, unknown ones by a mark, without the end mark."""
+    t = df.select(key, F.posexplode(tokens).alias("_pos", "_token")).filter(F.col("_token") != end)
+    j = t.join(words.select(F.col(token).alias("_token"), F.col(word).alias("_word")), "_token", "left")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_word", F.lit(unknown)).alias("w")))), lambda x: x["w"])
+    return j.groupBy(key).agg(F.array_join(said, " ").alias("text"))
+
+
+def aligned_counts(ref: list, hyp: list) -> tuple[int, int, int, int]:
+    """(hits, substitutions, deletions, insertions) of an alignment with the fewest errors, and of these with the most
+    hits."""
+    row = [(j, 0, 0, j) for j in range(len(hyp) + 1)]  # (errors, -hits, deletions, insertions)
+    for i, a in enumerate(ref, 1):
+        new = [(i, 0, i, 0)]
+        for j, b in enumerate(hyp, 1):
+            e, h, d, n = row[j - 1]
+            both = (e, h - 1, d, n) if a == b else (e + 1, h, d, n)
+            e, h, d, n = row[j]
+            gone = (e + 1, h, d + 1, n)
+            e, h, d, n = new[-1]
+            new.append(min(both, gone, (e + 1, h, d, n + 1)))
+        row = new
+    errors, hits, deletions, insertions = row[-1]
+    return -hits, errors - deletions - insertions, deletions, insertions
+
+
+def edit_counts(ref: Column, hyp: Column) -> Column:
+    """struct(hits, substitutions, deletions, insertions) of two word arrays."""
+
+    def run(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([aligned_counts(list(r), list(h)) for r, h in zip(refs, hyps)], columns=["hits", "substitutions", "deletions", "insertions"])
+
+    return F.pandas_udf(run, "hits bigint, substitutions bigint, deletions bigint, insertions bigint")(ref, hyp)
 
 
 def evenly_spread(keys: DataFrame, order: str, n: int) -> DataFrame:
@@ -219,6 +252,32 @@ def warped(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return path[::-1]
 
 
+def warped_scores(ref: Column, hyp: Column) -> Column:
+    """Of two signals as frames (a pitch in Hz, 0 without a voice, then cepstral coefficients), after warping by the
+    coefficients: f0_rmse of the logarithms of the pitch where both have a voice, mcd in decibels, vuv the share of
+    frames of which one alone has a voice, and semitones the share of voiced frames that are the same semitone. Null
+    where no frame counts."""
+
+    def run(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
+        out = []
+        for r, h in zip(refs, hyps):
+            a, b = (np.array([np.asarray(f, float) for f in x]) for x in (r, h))
+            if not len(a) or not len(b):
+                out.append((None,) * 4)
+                continue
+            path = np.array(warped(a[:, 1:], b[:, 1:]))
+            a, b = a[path[:, 0]], b[path[:, 1]]
+            voiced = (a[:, 0] > 0) & (b[:, 0] > 0)
+            mcd = float(np.mean(10 / np.log(10) * np.sqrt(2 * ((a[:, 1:] - b[:, 1:]) ** 2).sum(1))))
+            f0 = float(np.sqrt(np.mean((np.log(a[voiced, 0]) - np.log(b[voiced, 0])) ** 2))) if voiced.any() else None
+            note = lambda x: np.rint(69 + 12 * np.log2(x / 440))
+            same = float(np.mean(note(a[voiced, 0]) == note(b[voiced, 0]))) if voiced.any() else None
+            out.append((f0, mcd, float(np.mean((a[:, 0] > 0) != (b[:, 0] > 0))), same))
+        return pd.DataFrame(out, columns=["f0_rmse", "mcd", "vuv", "semitones"])
+
+    return F.pandas_udf(run, "f0_rmse double, mcd double, vuv double, semitones double")(ref, hyp)
+
+
 def spectrogram(samples: Column, width: int = 16, hop: int = 8) -> Column:
     """Magnitudes of the Fourier transform of Hann-windowed frames, frame by frame; no frame of too short a signal."""
 
@@ -234,26 +293,56 @@ def spectrogram(samples: Column, width: int = 16, hop: int = 8) -> Column:
     return F.pandas_udf(frames, "array<array<double>>")(samples)
 
 
+def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, mean and sample covariance of vectors of one length. Each task adds its vectors up and emits a matrix's
+    worth of sums, which are added up again before they reach the driver."""
+    x = df.select(F.col(vector).cast("array<double>").alias("x")).filter("x IS NOT NULL")
+
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, None
+        for batch in batches:
+            if batch.num_rows:
+                part = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                part = np.concatenate((np.ones((len(part), 1)), part), 1)
+                total = part.T @ part if total is None else total + part.T @ part
+        if total is not None:
+            n = len(total)
+            i, j = np.divmod(np.arange(n * n), n)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total.ravel())], names=["i", "j", "v"])
+
+    found = x.mapInArrow(sums, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    if not found:
+        raise ValueError("there are no vectors")
+    n = max(r.i for r in found) + 1
+    both = np.zeros((n, n))
+    for r in found:
+        both[r.i, r.j] = r.v
+    rows, mean = int(both[0, 0]), both[0, 1:] / both[0, 0]
+    return rows, mean, (both[1:, 1:] - rows * np.outer(mean, mean)) / max(1, rows - 1)
+
+
 def frechet_distance(a: DataFrame, b: DataFrame, vector: str) -> float:
-    """Distance of two sets of vectors as normal distributions. Means and covariances are aggregates, so only as many
-    numbers as a matrix has reach the driver."""
-
-    def moments(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        x = F.col(vector).cast("array<double>")
-        dim = df.select(F.size(x).alias("n")).first().n
-        one = df.select(F.posexplode(x).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).collect()
-        outer = F.explode(F.flatten(F.transform(x, lambda p, i: F.transform(x, lambda q, j: F.struct(i.alias("i"), j.alias("j"), (p * q).alias("v"))))))
-        two = df.select(outer.alias("o")).groupBy("o.i", "o.j").agg(F.avg("o.v").alias("v"), F.count("*").alias("n")).collect()
-        mean, second = np.zeros(dim), np.zeros((dim, dim))
-        for r in one:
-            mean[r.i] = r.m
-        for r in two:
-            second[r.i, r.j] = r.v
-        n = two[0].n
-        return mean, (second - np.outer(mean, mean)) * n / (n - 1)
-
-    (m1, c1), (m2, c2) = moments(a), moments(b)
+    """Distance of two sets of vectors as normal distributions."""
+    (_, m1, c1), (_, m2, c2) = moments(a, vector), moments(b, vector)
     values, vectors = np.linalg.eigh(c1)
     root = vectors @ np.diag(np.sqrt(np.clip(values, 0, None))) @ vectors.T
     both = np.sqrt(np.clip(np.linalg.eigvalsh(root @ c2 @ root), 0, None)).sum()
     return float(((m1 - m2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * both)
+
+
+def principal_axes(df: DataFrame, vector: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, axes): the n directions of most variance, as columns; each with its largest part positive."""
+    _, mean, covariance = moments(df, vector)
+    _, vectors = np.linalg.eigh(covariance)
+    axes = vectors[:, ::-1][:, :n]
+    return mean, axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
+
+
+def projected(vector: Column, mean: np.ndarray, axes: np.ndarray) -> Column:
+    """Vectors along principal axes."""
+
+    def run(xs: pd.Series) -> pd.Series:
+        x = np.array([np.asarray(v, float) for v in xs]).reshape(len(xs), -1)
+        return pd.Series(((x - mean) @ axes).tolist(), dtype=object)
+
+    return F.pandas_udf(run, "array<double>")(vector)

@@ -38,12 +38,6 @@ def chained_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch")).groupBy("epoch").agg(F.count("*").alias("n"))
 
 
-@query("T7_worker_shards", "SELECT (event_id % 4)::BIGINT AS worker, count(*)::BIGINT AS n FROM events GROUP BY 1")
-def worker_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a stream dealt to workers by their number."""
-    return table(spark, sf_dir, "events").groupBy((F.col("event_id") % 4).alias("worker")).agg(F.count("*").alias("n"))
-
-
 @query("Z2_shapes", "SELECT vec_id::VARCHAR || ' ' || len(embedding) || ',1' AS line FROM embeddings")
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(" "), F.size("embedding").cast("string"), F.lit(",1")).alias("line"))

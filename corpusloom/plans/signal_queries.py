@@ -156,17 +156,6 @@ def word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.agg(F.count("*").alias("rows"), F.bool_and(F.col("n") >= F.col("words")).alias("covered"))
 
 
-@query("T3_overlap_merge", "SELECT vec_id, round_even(list_sum(list_transform(embedding[9:56], lambda x: x::DOUBLE)) * 1e6, 0)::BIGINT AS inner_ppm FROM embeddings WHERE vec_id < 100")
-def overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of sixteen every eight, each weighted by a triangle, added where they overlap: inside, the signal again."""
-    x = _signals(spark, sf_dir).filter("vec_id < 100").select("vec_id", "s", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("f"))
-    ramp = F.array(*[F.lit((k + 0.5) / 8) for k in range(8)], *[F.lit((7.5 - k) / 8) for k in range(8)])
-    frame = F.zip_with(F.slice("s", F.col("f") * 8 + 1, F.lit(16)), ramp, lambda a, b: a * b)
-    e = x.select("vec_id", "f", F.posexplode(frame).alias("k", "v")).select("vec_id", (F.col("f") * 8 + F.col("k")).alias("at"), "v")
-    inner = e.filter("at >= 8 AND at < 56").groupBy("vec_id", "at").agg(F.sum("v").alias("v"))
-    return inner.groupBy("vec_id").agg(F.rint(F.sum("v") * 1e6).cast("bigint").alias("inner_ppm"))
-
-
 @query("S20_artifacts", "SELECT vec_id, 'array' AS kind, 64::BIGINT AS size FROM embeddings UNION ALL SELECT doc_id, 'text', 1 FROM documents")
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of several types in one typed sink: arrays as numbers, others as JSON."""

@@ -146,25 +146,33 @@ def character_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter(T.repeats_character(F.col("text"))).select("doc_id")
 
 
-@query("R2_word_repeats", """
-WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[ \\n]+')) AS word, generate_subscripts(string_split_regex(lower(text), '[ \\n]+'), 1) AS pos FROM documents),
-i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM (SELECT *, CASE WHEN lag(word) OVER (PARTITION BY doc_id ORDER BY pos) = word THEN 0 ELSE 1 END AS new FROM w))
-SELECT doc_id, max(n)::BIGINT AS longest FROM (SELECT doc_id, island, count(*) AS n FROM i WHERE length(word) <= 3 AND word <> '' GROUP BY 1, 2) GROUP BY doc_id""")
-def word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest run of one word of at most three characters."""
-    from corpusloom.operators import scans
+# Documents, some with a run of six or five short words, one character over half of the text, or nothing.
+_DOUBTFUL_SQL = "SELECT doc_id, text || CASE doc_id % 50 WHEN 1 THEN ' uh, Uh uh uh. uh uh!' WHEN 2 THEN ' uh uh uh uh uh' ELSE '' END AS text FROM documents WHERE doc_id % 50 NOT IN (3, 4) UNION ALL SELECT doc_id, CASE doc_id % 50 WHEN 3 THEN 'aBaBaBaBaB AAA' ELSE ' ' || chr(10) END FROM documents WHERE doc_id % 50 IN (3, 4)"
+
+
+def _doubtful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 50
+    more = F.when(k == 1, " uh, Uh uh uh. uh uh!").when(k == 2, " uh uh uh uh uh").otherwise("")
+    return _docs(spark, sf_dir, "text").withColumn("text", F.when(k == 3, "aBaBaBaBaB AAA").when(k == 4, " \n").otherwise(F.concat("text", more)))
+
 
-    w = _docs(spark, sf_dir, "text").select("doc_id", F.posexplode(F.split(F.lower("text"), "[ \n]+")).alias("pos", "word"))
-    runs = scans.islands(w, "doc_id", "pos", "word").filter("length(word) <= 3 AND word <> ''").groupBy("doc_id", "island").agg(F.count("*").alias("n"))
-    return runs.groupBy("doc_id").agg(F.max("n").alias("longest"))
+_WORD_RUNS = r"""w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[\s,;.!?]+')) AS word, generate_subscripts(string_split_regex(lower(text), '[\s,;.!?]+'), 1) AS pos FROM d),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM (SELECT *, CASE WHEN lag(word) OVER (PARTITION BY doc_id ORDER BY pos) = word THEN 0 ELSE 1 END AS new FROM w)),
+words AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, island, count(*) AS n FROM i WHERE length(word) BETWEEN 1 AND 3 GROUP BY 1, 2) WHERE n > 5)"""
+_ONE_CHARACTER = r"""c AS (SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '\s+', '', 'g'), '')) AS ch FROM d), counted AS (SELECT doc_id, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY 1, 2),
+ratio AS (SELECT doc_id FROM (SELECT doc_id, max(n) / sum(n) AS top FROM counted GROUP BY doc_id) WHERE top > 0.5 UNION SELECT doc_id FROM d WHERE regexp_matches(text, '^\s*$'))"""
 
 
-@query("R3_repetition_ratio", """
-WITH c AS (SELECT item_id, unnest(string_split(replace(text, ' ', ''), '')) AS ch FROM benchmark)
-SELECT item_id, max(n)::BIGINT AS most, sum(n)::BIGINT AS total FROM (SELECT item_id, ch, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY item_id""")
+@query("R2_word_repeats", f"WITH d AS ({_DOUBTFUL_SQL}), {_WORD_RUNS} SELECT doc_id FROM words")
+def word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with more than five equal words of at most three characters in a row."""
+    return _doubtful(spark, sf_dir).filter(T.repeats_word(F.col("text"))).select("doc_id")
+
+
+@query("R3_repetition_ratio", f"WITH d AS ({_DOUBTFUL_SQL}), {_ONE_CHARACTER} SELECT doc_id FROM ratio")
 def repetition_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split(F.replace("text", F.lit(" "), F.lit("")), "")).alias("ch")).filter("ch <> ''")
-    return c.groupBy("item_id", "ch").agg(F.count("*").alias("n")).groupBy("item_id").agg(F.max("n").alias("most"), F.sum("n").alias("total"))
+    """Texts of which one character is over a half, and blank ones."""
+    return _doubtful(spark, sf_dir).filter(T.one_character_over(F.col("text"))).select("doc_id")
 
 
 @query("R4_digit_runs", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]{15,}') OR regexp_matches(regexp_replace(text, '[,|''.]', '', 'g'), '[0-9]{15,}')")
@@ -172,10 +180,13 @@ def digit_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, "text").filter(T.has_digit_run(F.col("text"))).select("doc_id")
 
 
-@query("R5_quality", r"SELECT doc_id, regexp_matches(text, '[0-9]{15,}') OR trim(text) = '' OR length(text) < 30 AS bad FROM documents")
+@query("R5_quality", rf"""
+WITH d AS ({_DOUBTFUL_SQL}), {_WORD_RUNS}, {_ONE_CHARACTER},
+r AS (SELECT doc_id, unnest(string_split(lower(text), '')) AS ch, generate_subscripts(string_split(lower(text), ''), 1) AS pos FROM d), j AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, ch ORDER BY pos) AS island FROM r WHERE ch <> chr(10)),
+runs AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, ch, island FROM j GROUP BY 1, 2, 3 HAVING count(*) > 10))
+SELECT doc_id, doc_id IN (FROM words) OR doc_id IN (FROM ratio) OR doc_id IN (FROM runs) OR regexp_matches(text, '[0-9]{{15,}}') OR regexp_matches(regexp_replace(text, '[,|''.]', '', 'g'), '[0-9]{{15,}}') AS bad FROM d""")
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return _docs(spark, sf_dir, "text").select("doc_id", (F.regexp_like(t, F.lit(r"\d{15,}")) | (F.trim(t) == "") | (F.length(t) < 30)).alias("bad"))
+    return _doubtful(spark, sf_dir).select("doc_id", T.not_fit(F.col("text")).alias("bad"))
 
 
 @query("R11_collapse_token", "SELECT item_id, regexp_replace(text, '(the )+', 'the ', 'g') AS text FROM benchmark")
@@ -189,10 +200,10 @@ def plain_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.length(T.plain_spaces(F.col("text"))).cast("bigint").alias("n"))
 
 
-@query("R13_tag_normalisation", "SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[.,!?]', '', 'g'), '[%$#&*]+', '<noise>', 'g') AS text FROM documents WHERE lang = 'en'")
+@query("R13_tag_normalisation", "SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[.,!?]', '', 'g'), '[%$#&*]+', '<noise>', 'g') AS text FROM documents")
 def tag_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.regexp_replace(F.regexp_replace(F.lower("text"), "[.,!?]", ""), "[%$#&*]+", "<noise>")
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", t.alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("text"))
 
 
 @query("R26_id_characters", "SELECT event_id, chr((19968 + user_id)::INTEGER) AS c FROM events")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusloom.session import shared_dir
+
 
 def rechunked(chunks: DataFrame, width: int, hop: int) -> DataFrame:
     """Streams of sample chunks (key, seq, samples, is_final) as frames (key, frame, total): samples wait in the key's
@@ -64,6 +66,65 @@ def endpoints(frames: DataFrame, opens: int = 3, closes: int = 1, window: int =
     return frames.groupBy("key").applyInPandasWithState(run, "key string, first long, last long, frames long", "recent array<int>, is_open boolean, first long, held long", "append", GroupStateTimeout.NoTimeout)
 
 
+def overlap_added(chunks: DataFrame, hop: int, ramp: list[float]) -> DataFrame:
+    """Streams of sample chunks (key, seq, samples, is_final) through frames of len(ramp) samples every hop, each
+    weighted by ramp and added where they overlap: (key, at, value) of every sample, as soon as no further frame
+    reaches it. Samples that do not fill a frame, and open sums, wait in the key's state; the final chunk flushes the
+    sums and resets the key, and what has not filled a frame goes."""
+    width = len(ramp)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept, sums, at = state.get if state.exists else ([], [0.0] * (width - hop), 0)
+        kept, sums, out, final = list(kept), list(sums), [], False
+        rows = pd.concat(list(batches)).sort_values("seq")
+        for samples, last in zip(rows["samples"], rows["is_final"]):
+            kept, final = kept + [float(x) for x in samples], False
+            while len(kept) >= width:
+                sums = [a + x * r for a, x, r in zip(sums + [0.0] * hop, kept, ramp)]
+                out += [(key[0], at + i, v) for i, v in enumerate(sums[:hop])]
+                kept, sums, at = kept[hop:], sums[hop:], at + hop
+            if last:
+                out += [(key[0], at + i, v) for i, v in enumerate(sums)]
+                kept, sums, at, final = [], [0.0] * (width - hop), 0, True
+        if final:
+            state.remove()
+        else:
+            state.update((kept, sums, at))
+        yield pd.DataFrame(out, columns=["key", "at", "value"])
+
+    return chunks.groupBy("key").applyInPandasWithState(run, "key string, at long, value double", "kept array<double>, sums array<double>, at long", "append", GroupStateTimeout.NoTimeout)
+
+
+def waiting(words: DataFrame, lead: int) -> DataFrame:
+    """Streams of words (key, seq, word, is_final) through an agent that stays `lead` words behind: once it has read so
+    many, it writes a word for each that it reads, and the rest when the stream ends. (key, place, word, read): what it
+    writes, and how many words it had read by then."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, read, place = state.get if state.exists else ([], 0, 0)
+        held, out, final = list(held), [], False
+        rows = pd.concat(list(batches)).sort_values("seq")
+        for word, last in zip(rows["word"], rows["is_final"]):
+            held, read, final = [*held, word], read + 1, bool(last)
+            while held and (final or len(held) >= lead):
+                out.append((key[0], place, held.pop(0), read))
+                place += 1
+            if final:
+                held, read, place = [], 0, 0
+        if final:
+            state.remove()
+        else:
+            state.update((held, read, place))
+        yield pd.DataFrame(out, columns=["key", "place", "word", "read"])
+
+    return words.groupBy("key").applyInPandasWithState(run, "key string, place long, word string, read long", "held array<string>, read long, place long", "append", GroupStateTimeout.NoTimeout)
+
+
+def dealt(stream: DataFrame, number: str, workers: int) -> DataFrame:
+    """A stream with the worker that each row goes to: its number modulo the workers."""
+    return stream.withColumn("worker", F.pmod(F.col(number), F.lit(workers)).cast("bigint"))
+
+
 def chained(*streams: DataFrame) -> DataFrame:
     """Streams of one schema as one."""
     out = streams[0]
@@ -77,8 +138,16 @@ def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hou
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
 
-def drained(spark: SparkSession, stream: DataFrame, name: str, checkpoint: str, **options: Any) -> DataFrame:
-    """Runs a stream over all that is there now, and its result as a table: for batch use and tests."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(**options)
+def from_table(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """A stream of the rows of df by way of files in the shared folder, rows of a key together; and a folder for what
+    the stream needs besides."""
+    base = f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    df.repartition(key).write.parquet(f"{base}/in")
+    return df.sparkSession.readStream.schema(df.schema).parquet(f"{base}/in"), base
+
+
+def drained(spark: SparkSession, stream: DataFrame, base: str) -> DataFrame:
+    """Runs a stream over all that is there now; its results go to files in the folder, from which they are read."""
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
