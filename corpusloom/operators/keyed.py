@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import ranks
+from corpusloom.session import cut
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, on: str, exclude: bool = False) -> DataFrame:
@@ -105,6 +106,34 @@ def duplicate_cap(df: DataFrame, text: str, order: str, most: int) -> DataFrame:
     return drawn.filter((F.col("_n") < most) | (F.col("_draw") < most * MODULUS / F.col("_n"))).drop("_n", "_j", "_draw")
 
 
+def trials(df: DataFrame, key: str, group: str, enrols: Column, targets: int, others: int, seed: int = 0) -> DataFrame:
+    """(enroll, test, target): for each row that enrols, `targets` trials against its own group, the next ones in a fixed
+    shuffle, and `others` against the other groups, evenly apart from a fixed place on; and one trial for each row that
+    has none by then, against the enrolled rows in turn. No pairs of rows are made but these. Groups are whole numbers or
+    texts; where a group or the others are too few, a row has fewer trials."""
+    total = df.count()
+    shuffled_ = [hashed_order(key, seed), key]
+    e = within_group(df.select(key, group, enrols.alias("_enrols")), group, shuffled_, "_r")
+    e = cut(ranks.numbered(e, [group, *shuffled_], "_place"))
+    each = e.filter("_enrols").select(F.col(key).alias("enroll"), F.col(group).alias("_g"), "_r", "_size", "_place")
+    own = each.select("enroll", "_g", "_size", F.explode(F.sequence(F.lit(1), F.lit(targets))).alias("_j"), "_r").filter("_j < _size")
+    own = own.select("enroll", "_g", ((F.col("_r") + F.col("_j")) % F.col("_size")).alias("_r")).join(e.select(F.col(group).alias("_g"), "_r", F.col(key).alias("test")), ["_g", "_r"])
+    rest = F.lit(total) - F.col("_size")
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("enroll").cast("string"), F.lit("!"))), 1, 8), 16, 10).cast("bigint")
+    far = each.withColumns({"_first": F.col("_place") - F.col("_r"), "_rest": F.greatest(rest, F.lit(1)), "_j": F.explode(F.sequence(F.lit(0), F.lit(others - 1)))}).filter(F.col("_j") < rest)
+    at = (start % F.col("_rest") + F.col("_j") * F.greatest(F.floor(F.col("_rest") / others), F.lit(1))) % F.col("_rest")
+    far = far.withColumn("_at", at).select("enroll", F.when(F.col("_at") < F.col("_first"), F.col("_at")).otherwise(F.col("_at") + F.col("_size")).alias("_place")).join(e.select("_place", F.col(key).alias("test")), "_place")
+    found = own.select("enroll", "test").unionByName(far.select("enroll", "test"))
+    used = found.select(F.explode(F.array("enroll", "test")).alias(key)).distinct()
+    left = ranks.numbered(e.select(key).join(used, key, "left_anti"), [key], "_k")
+    enrolled = e.filter("_enrols").select(F.col(key).alias("enroll"))
+    turn = ranks.numbered(enrolled, ["enroll"], "_k")
+    covering = left.select(F.col(key).alias("test"), (F.col("_k") % max(1, enrolled.count())).alias("_k")).join(turn, "_k").select("enroll", "test")
+    label = e.select(F.col(key).alias("_key"), F.col(group).alias("_of"))
+    both = found.unionByName(covering).join(label.withColumnsRenamed({"_key": "enroll", "_of": "_a"}), "enroll").join(label.withColumnsRenamed({"_key": "test", "_of": "_b"}), "test")
+    return both.select("enroll", "test", (F.col("_a") == F.col("_b")).cast("int").alias("target"))
+
+
 def integrity(rows: DataFrame, groups: DataFrame, key: str, group: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose group exists, and groups that still have rows: one pass each settles it, as filtering rows by group
     cannot strand another row."""

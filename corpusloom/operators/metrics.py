@@ -92,3 +92,81 @@ def unit(a: Column) -> Column:
     """An array of length 1."""
     norm = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(a, lambda x: x / norm)
+
+
+def macro_error_rate(df: DataFrame, group: str, errors: str, n: str, worst: int = 15) -> DataFrame:
+    """(macro, std, worst): error rates averaged over a group's rows, then over groups, the groups' sample deviation, and
+    the sum of the `worst` groups over that number, however many there are. Rows with n = 0 do not count."""
+    u = df.filter(F.col(n) > 0).groupBy(group).agg(F.avg(F.col(errors) / F.col(n)).alias("m"))
+    top = u.orderBy(F.desc("m")).limit(worst).agg((F.sum("m") / worst).alias("worst"))
+    return u.agg(F.avg("m").alias("macro"), F.stddev_samp("m").alias("std")).crossJoin(top)
+
+
+def ngrams(df: DataFrame, key: str, words_: str, most: int) -> DataFrame:
+    """(key, k, pos, gram): the 1- to most-grams of word arrays, with places from 0."""
+    def of(k: int) -> Column:
+        starts = F.when(F.size(words_) >= k, F.sequence(F.lit(0), F.size(words_) - k)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(k).alias("k"), i.alias("pos"), F.array_join(F.slice(words_, i + 1, F.lit(k)), " ").alias("gram")))
+
+    each = [of(k) for k in range(1, most + 1)]
+    return df.select(key, F.explode(F.concat(*each)).alias("g")).select(key, "g.*")
+
+
+def _means(rates: DataFrame, key: str, most: int) -> DataFrame:
+    """Arithmetic and geometric mean of the rates p of k = 1 to most; one that is not there counts as 0."""
+    logs = F.when((F.count("p") == most) & (F.min("p") > 0), F.exp(F.sum(F.log("p")) / most)).otherwise(0.0)
+    return rates.groupBy(key).agg((F.sum("p") / most).alias("arithmetic"), logs.alias("geometric"))
+
+
+def self_bleu(df: DataFrame, key: str, words_: str, most: int = 2) -> DataFrame:
+    """(key, arithmetic, geometric): how many of a text's n-grams another text has, each counted as often as the text has
+    it that has it most. Only the two largest counts of an n-gram are kept, so a common one is not gathered."""
+    c = ngrams(df, key, words_, most).groupBy(key, "k", "gram").agg(F.count("*").alias("n"))
+    first = c.groupBy("k", "gram").agg(F.max(F.struct("n", key)).alias("top"))
+    second = c.join(first, ["k", "gram"]).filter(F.col(key) != F.col(f"top.{key}")).groupBy("k", "gram").agg(F.max("n").alias("next"))
+    j = c.join(first, ["k", "gram"]).join(second, ["k", "gram"], "left")
+    other = F.when(F.col(key) == F.col(f"top.{key}"), F.coalesce("next", F.lit(0))).otherwise(F.col("top.n"))
+    return _means(j.groupBy(key, "k").agg((F.sum(F.least("n", other)) / F.sum("n")).alias("p")), key, most)
+
+
+def auto_bleu(df: DataFrame, key: str, words_: str, most: int = 2) -> DataFrame:
+    """(key, arithmetic, geometric): the share of a text's n-grams that come again in it without overlap."""
+    g = ngrams(df, key, words_, most)
+    ends = g.groupBy(key, "k", "gram").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
+    again = (F.col("pos") - F.col("a") >= F.col("k")) | (F.col("b") - F.col("pos") >= F.col("k"))
+    return _means(g.join(ends, [key, "k", "gram"]).groupBy(key, "k").agg(F.avg(again.cast("int")).alias("p")), key, most)
+
+
+def bleu(df: DataFrame, ref: str, hyp: str, key: str, most: int = 4) -> DataFrame:
+    """(bleu, p1..p_most, brevity) of a corpus of word arrays with one reference each: clipped n-gram matches over all
+    rows, their geometric mean, and the brevity penalty."""
+    h = ngrams(df, key, hyp, most).groupBy(key, "k", "gram").agg(F.count("*").alias("nh"))
+    r = ngrams(df, key, ref, most).groupBy(key, "k", "gram").agg(F.count("*").alias("nr"))
+    m = h.join(r, [key, "k", "gram"], "left").agg(*[F.sum(F.when(F.col("k") == k, F.least("nh", F.coalesce("nr", F.lit(0)))).otherwise(0)).alias(f"m{k}") for k in range(1, most + 1)], *[F.sum(F.when(F.col("k") == k, F.col("nh")).otherwise(0)).alias(f"n{k}") for k in range(1, most + 1)])
+    sizes = df.agg(F.sum(F.size(ref)).alias("rw"), F.sum(F.size(hyp)).alias("hw"))
+    p = {k: F.when(F.col(f"n{k}") > 0, F.col(f"m{k}") / F.col(f"n{k}")).otherwise(0.0) for k in range(1, most + 1)}
+    brevity = F.least(F.lit(1.0), F.exp(1 - F.col("rw") / F.col("hw")))
+    mean = F.when(F.least(*p.values()) > 0, F.exp(sum((F.log(x) for x in p.values()), F.lit(0.0)) / most)).otherwise(0.0)
+    return m.crossJoin(sizes).select((brevity * mean).alias("bleu"), *[x.alias(f"p{k}") for k, x in p.items()], brevity.alias("brevity"))
+
+
+def logistic_scores(df: DataFrame, label: str, features: list[str], regularisation: float = 0.01, rounds: int = 100) -> DataFrame:
+    """df with calibrated: the probability of label 1 by a logistic regression on the features."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    x = df.withColumns({"_label": F.col(label).cast("double"), "_features": array_to_vector(F.array(*[F.col(f).cast("double") for f in features]))})
+    model = LogisticRegression(featuresCol="_features", labelCol="_label", probabilityCol="_p", maxIter=rounds, regParam=regularisation, tol=1e-10, standardization=False).fit(x)
+    return model.transform(x).withColumn("calibrated", vector_to_array("_p")[1]).drop("_label", "_features", "_p", "rawPrediction", "prediction")
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def signal_ratio(source: Column, estimate: Column) -> Column:
+    """Signal to noise in decibels after the best scaling of the source."""
+    power = _dot(source, source)
+    a = _dot(source, estimate) / power
+    rest = F.transform(F.arrays_zip(source.alias("s"), estimate.alias("e")), lambda p: p["e"] - a * p["s"])
+    return 10 * F.log10(a * a * power / _dot(rest, rest))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,3 +51,13 @@ def deltas(df: DataFrame, key: str, order: str, value: str, width: int = 2, name
     first, last = F.first(value).over(whole), F.last(value).over(whole)
     total = sum(i * (F.coalesce(F.lead(value, i).over(w), last) - F.coalesce(F.lag(value, i).over(w), first)) for i in range(1, width + 1))
     return df.withColumn(name, total / (2 * sum(i * i for i in range(1, width + 1))))
+
+
+def first_mismatch(notes: DataFrame, key: str, order: str, syllable: str, phone: str, phone_of: Callable[[Column], Column], slur: str = "—") -> DataFrame:
+    """(key, notes, mismatch): walking the notes of a key in order, the first place whose phone is not its syllable's;
+    a slur takes the phone of the last syllable before it. Null if all agree."""
+    w = Window.partitionBy(key).orderBy(order)
+    own = F.when(F.col(syllable) != slur, phone_of(F.col(syllable)))
+    want = F.coalesce(own, F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    wrong = notes.withColumn("_wrong", ~F.col(phone).eqNullSafe(want))
+    return wrong.groupBy(key).agg(F.count("*").alias("notes"), F.min(F.when(F.col("_wrong"), F.col(order))).cast("bigint").alias("mismatch"))

@@ -273,17 +273,17 @@ def mean_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("W12_deltas", """
-WITH x AS (SELECT vec_id, round_even(unnest(embedding)::DOUBLE * 1000, 0) AS x, (generate_subscripts(embedding, 1) - 1)::INTEGER AS pos FROM embeddings WHERE vec_id < 100)
+WITH x AS (SELECT vec_id, round_even(unnest(embedding)::DOUBLE * 1000, 0) AS x, (generate_subscripts(embedding, 1) - 1)::INTEGER AS pos FROM embeddings)
 SELECT vec_id, pos, ((coalesce(lead(x, 1) OVER w, last_value(x) OVER f) - coalesce(lag(x, 1) OVER w, first_value(x) OVER f)) + 2 * (coalesce(lead(x, 2) OVER w, last_value(x) OVER f) - coalesce(lag(x, 2) OVER w, first_value(x) OVER f))) / 10 AS delta
 FROM x WINDOW w AS (PARTITION BY vec_id ORDER BY pos), f AS (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "embeddings").filter("vec_id < 100").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x")).withColumn("x", F.rint(F.col("x") * 1000))
+    x = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x")).withColumn("x", F.rint(F.col("x") * 1000))
     return scans.deltas(x, "vec_id", "pos", "x").drop("x")
 
 
-@query("W13_median_filter", "SELECT vec_id, i AS pos, list_sort(embedding[i : i + 4])[3] AS median FROM embeddings, LATERAL (SELECT unnest(range(1, 61)) AS i) WHERE vec_id < 100")
+@query("W13_median_filter", "SELECT vec_id, i AS pos, list_sort(embedding[i : i + 4])[3] AS median FROM embeddings, LATERAL (SELECT unnest(range(1, 61)) AS i)")
 def median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").filter("vec_id < 100").select("vec_id", "embedding", F.explode(F.sequence(F.lit(1), F.lit(60))).alias("i"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(1), F.lit(60))).alias("i"))
     return e.select("vec_id", F.col("i").cast("bigint").alias("pos"), F.sort_array(F.slice("embedding", F.col("i"), F.lit(5)))[2].alias("median"))
 
 

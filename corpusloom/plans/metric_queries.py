@@ -11,10 +11,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import keyed, metrics
+from corpusloom.operators import keyed, metrics, ranks
 from corpusloom.plans.aggregate_queries import LABELS_SQL, SCORES_SQL, label_pairs, scores
 from corpusloom.plans.registry import query
-from corpusloom.session import table
+from corpusloom.session import shared_dir, table
 
 # A hypothesis is its reference with every seventh word left out.
 _PAIRS_SQL = """SELECT item_id, list_filter(string_split_regex(lower(text), '[ \\n]+'), lambda w: w <> '') AS r, list_filter(list_filter(string_split_regex(lower(text), '[ \\n]+'), lambda w: w <> ''), lambda w, i: i % 7 <> 0) AS h FROM benchmark"""
@@ -86,20 +86,21 @@ def area_under_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.area_under_curve(scores(spark, sf_dir).withColumn("k", F.col("event_id") % 5), "score", "label", "k")
 
 
-@query("M15_token_accuracy", "SELECT item_id, len(list_filter(list_zip(string_split(substr(text, 1, 40), ''), string_split(substr(text, 2, 40), '')), lambda x: x[1] = x[2]))::BIGINT AS same FROM benchmark")
+@query("M15_token_accuracy", "SELECT item_id, len(list_filter(list_zip(string_split(text, ''), string_split(substr(text, 2), '')), lambda x: x[1] = x[2]))::BIGINT AS same, length(text)::BIGINT AS n FROM benchmark")
 def token_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.split(F.substring("text", 1, 40), ""), F.split(F.substring("text", 2, 40), "")
+    """Characters that equal the next one: a prediction that lags by one."""
+    a, b = F.split("text", ""), F.split(F.expr("substring(text, 2)"), "")
     same = F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(same).cast("bigint").alias("same"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.size(same).cast("bigint").alias("same"), F.length("text").cast("bigint").alias("n"))
 
 
-@query("M16_positional_accuracy", "SELECT count(*) FILTER (WHERE d.lang = e.lang)::BIGINT AS same, count(*)::BIGINT AS n FROM (SELECT lang, row_number() OVER (ORDER BY doc_id) AS r FROM documents) d JOIN (SELECT lang, row_number() OVER (ORDER BY doc_id DESC) AS r FROM documents WHERE doc_id < 500) e USING (r)")
+@query("M16_positional_accuracy", "SELECT count(*) FILTER (WHERE d.lang = e.lang)::BIGINT AS same, count(*)::BIGINT AS n FROM (SELECT lang, row_number() OVER (ORDER BY doc_id) AS r FROM documents) d JOIN (SELECT lang, row_number() OVER (ORDER BY doc_id DESC) AS r FROM documents) e USING (r)")
 def positional_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows compared by place; the shorter side ends it."""
-    d = table(spark, sf_dir, "documents")
-    a = d.select("lang", F.row_number().over(Window.orderBy("doc_id")).alias("r"))
-    b = d.filter("doc_id < 500").select(F.col("lang").alias("other"), F.row_number().over(Window.orderBy(F.desc("doc_id"))).alias("r"))
-    return a.join(b, "r").agg(F.count_if(F.col("lang") == F.col("other")).alias("same"), F.count("*").alias("n"))
+    """Rows compared by place, from either end; a shorter side would end it."""
+    d = ranks.numbered(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"])
+    last = d.agg(F.max("place").alias("last"))
+    b = d.crossJoin(F.broadcast(last)).select(F.col("lang").alias("other"), (F.col("last") - F.col("place")).alias("place"))
+    return d.join(b, "place").agg(F.count_if(F.col("lang") == F.col("other")).alias("same"), F.count("*").alias("n"))
 
 
 @query("M20_metric_table", f"SELECT 'accuracy' AS metric, 'labels' AS test_set, 1 - sum((t <> p)::INT) / count(*)::DOUBLE AS value FROM ({LABELS_SQL}) UNION ALL SELECT 'rows', 'labels', count(*)::DOUBLE FROM labels")
@@ -113,18 +114,18 @@ def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("N1_global_normalise", """
 WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1)::INTEGER AS dim FROM embeddings), s AS (SELECT dim, avg(x) AS m, sqrt(greatest(sum(x * x) / count(*) - avg(x) * avg(x), 1e-20)) AS sd FROM x GROUP BY dim)
-SELECT vec_id, dim, round_even((x - m) / sd * 1e6, 0)::BIGINT AS z_ppm FROM x JOIN s USING (dim) WHERE vec_id < 50""")
+SELECT vec_id, dim, round_even((x - m) / sd * 1e6, 0)::BIGINT AS z_ppm FROM x JOIN s USING (dim)""")
 def global_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stats of all rows applied to each; the stats have one row a dimension."""
     x = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
     m = F.avg("x")
     s = x.groupBy("dim").agg(m.alias("m"), F.sqrt(F.greatest(F.sum(F.col("x") * F.col("x")) / F.count("*") - m * m, F.lit(1e-20))).alias("sd"))
-    return x.filter("vec_id < 50").join(s, "dim").select("vec_id", "dim", F.rint((F.col("x") - F.col("m")) / F.col("sd") * 1e6).cast("bigint").alias("z_ppm"))
+    return x.join(s, "dim").select("vec_id", "dim", F.rint((F.col("x") - F.col("m")) / F.col("sd") * 1e6).cast("bigint").alias("z_ppm"))
 
 
-@query("N2_row_normalise", "SELECT vec_id, dim, x - avg(x) OVER (PARTITION BY vec_id) AS centred FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1)::INTEGER AS dim FROM embeddings WHERE vec_id < 100)")
+@query("N2_row_normalise", "SELECT vec_id, dim, x - avg(x) OVER (PARTITION BY vec_id) AS centred FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1)::INTEGER AS dim FROM embeddings)")
 def row_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").filter("vec_id < 100").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")
     return e.select("vec_id", F.posexplode(F.transform("x", lambda v: v - mean)).alias("dim", "centred"))
 
@@ -168,7 +169,7 @@ def parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.regexp_extract(F.concat("p_type", "p_size"), "[0-9]+$", 0).try_cast("int").alias("size"), F.col("p_brand").try_cast("double").alias("none"))
 
 
-_COHORT_SQL = "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 10 = 0), c AS (SELECT * FROM embeddings WHERE vec_id % 10 = 5), s AS (SELECT q.vec_id, c.vec_id AS other, -sqrt(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))) AS s FROM q CROSS JOIN c), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, other) AS r FROM s)"
+_COHORT_SQL = "WITH q AS (SELECT * FROM embeddings), c AS (SELECT * FROM embeddings WHERE label % 5 = 0), s AS (SELECT q.vec_id, c.vec_id AS other, -sqrt(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))) AS s FROM q CROSS JOIN c), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, other) AS r FROM s)"
 
 
 #: Vectors of a cohort that a task holds at once; a larger cohort is scored block by block.
@@ -187,10 +188,11 @@ def _cohort_blocks(cohort: DataFrame) -> Iterator[np.ndarray]:
 
 
 def _cohort_stats(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    """(vec_id, m, s): mean and sample deviation of each vector's k best scores against the cohort. A row keeps the k
+    """(vec_id, m, s): mean and sample deviation of each vector's k best scores against the cohort, which is every fifth
+    label's vectors. A row keeps the k
     best scores of the blocks so far, which are written between blocks, so that a task holds one block only."""
     e = table(spark, sf_dir, "embeddings")
-    out = e.filter("vec_id % 10 = 0").select("vec_id", "embedding", F.array().cast("array<double>").alias("best"))
+    out = e.select("vec_id", "embedding", F.array().cast("array<double>").alias("best"))
 
     def merge(held: Broadcast) -> Callable[[pd.Series, pd.Series], pd.Series]:
         def run(vectors: pd.Series, best: pd.Series) -> pd.Series:
@@ -199,9 +201,9 @@ def _cohort_stats(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
 
         return run
 
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/corpusloom'}/cohort-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/cohort-{uuid.uuid4().hex}"
     held = None
-    for i, block in enumerate(_cohort_blocks(e.filter("vec_id % 10 = 5"))):
+    for i, block in enumerate(_cohort_blocks(e.filter("label % 5 = 0"))):
         if held is not None:
             out.write.parquet(f"{folder}/{i}")
             out = spark.read.schema(out.schema).parquet(f"{folder}/{i}")
@@ -259,12 +261,18 @@ def group_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("source").agg((F.sum("quality") * 2 >= F.count("*")).cast("int").alias("vote"))
 
 
-@query("R14_macro_by_group", "WITH u AS (SELECT lang, avg(n_chars % 100) AS m FROM documents WHERE text <> '' GROUP BY lang) SELECT avg(m) AS macro, stddev_samp(m) AS std, (SELECT sum(m) FROM (SELECT m FROM u ORDER BY m DESC LIMIT 15)) / 15 AS worst FROM u")
+_UTTERANCES = "SELECT doc_id, lang, lower(u) AS r, regexp_replace(lower(u), '[aeiou]', '', 'g') AS h FROM (SELECT doc_id, lang, unnest(regexp_extract_all(replace(text, chr(10), ' '), '.{1,120}')) AS u FROM documents)"
+
+
+@query("R14_macro_by_group", f"""
+WITH u AS (SELECT lang, avg(levenshtein(r, h) / length(r)::DOUBLE) AS m FROM ({_UTTERANCES}) WHERE r <> '' GROUP BY lang)
+SELECT avg(m) AS macro, stddev_samp(m) AS std, (SELECT sum(m) FROM (SELECT m FROM u ORDER BY m DESC LIMIT 15)) / 15 AS worst FROM u""")
 def macro_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean over groups of the groups' means, their deviation, and the worst 15 over 15, however many there are."""
-    u = table(spark, sf_dir, "documents").filter("text <> ''").groupBy("lang").agg(F.avg(F.col("n_chars") % 100).alias("m"))
-    worst = u.withColumn("r", F.row_number().over(Window.orderBy(F.desc("m"))))
-    return worst.agg(F.avg("m").alias("macro"), F.stddev_samp("m").alias("std"), (F.sum(F.when(F.col("r") <= 15, F.col("m"))) / 15).alias("worst"))
+    """Character error rate: mean over a language's utterances (stretches of 120 characters), then over languages, their
+    deviation, and the worst 15 over 15, however many there are. Empty references do not count."""
+    u = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(".{1,120}"), F.lit(0))).alias("u"))
+    u = u.select("lang", F.lower("u").alias("r")).filter("r <> ''").withColumn("h", F.regexp_replace("r", "[aeiou]", ""))
+    return metrics.macro_error_rate(u.select("lang", F.levenshtein("r", "h").alias("errors"), F.length("r").alias("n")), "lang", "errors", "n")
 
 
 @query("R15_macro_f1", f"WITH c AS ({LABELS_SQL}), k AS (SELECT t AS k FROM c UNION SELECT p FROM c), f AS (SELECT k, 2.0 * count(*) FILTER (WHERE t = k AND p = k) / (count(*) FILTER (WHERE t = k) + count(*) FILTER (WHERE p = k)) AS f1 FROM c CROSS JOIN k GROUP BY k) SELECT avg(f1) AS macro_f1 FROM f")
@@ -273,15 +281,18 @@ def macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("R16_entities", """
-WITH e AS (SELECT conv_id, role, unnest(string_split(substr(text, 1, 60), ' ')) AS w, generate_subscripts(string_split(substr(text, 1, 60), ' '), 1) AS i, turn FROM conversations),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, w ORDER BY turn, i) AS k FROM e)
-SELECT count(*)::BIGINT AS shared FROM (SELECT conv_id, w, k FROM n WHERE role = 'user' INTERSECT SELECT conv_id, w, k FROM n WHERE role = 'assistant')""")
+WITH e AS (SELECT conv_id, role, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i, turn FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, w ORDER BY turn, i) AS k FROM e), c AS (SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS a, count(*) FILTER (WHERE role = 'assistant') AS b FROM n GROUP BY conv_id),
+s AS (SELECT conv_id, count(*) AS shared FROM (SELECT conv_id, w, k FROM n WHERE role = 'user' INTERSECT SELECT conv_id, w, k FROM n WHERE role = 'assistant') GROUP BY conv_id)
+SELECT conv_id, coalesce(shared, 0)::BIGINT AS shared, a::BIGINT AS wanted, b::BIGINT AS found, CASE WHEN a + b > 0 THEN 2.0::DOUBLE * coalesce(shared, 0) / (a + b) END AS f1 FROM c LEFT JOIN s USING (conv_id)""")
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities of two sides that match with their occurrence numbers."""
-    e = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.posexplode(F.split(F.substring("text", 1, 60), " ")).alias("i", "w"))
+    """Entities of two sides that match with their occurrence numbers, of each dialogue."""
+    e = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.posexplode(F.split("text", " ")).alias("i", "w"))
     n = e.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "role", "w").orderBy("turn", "i")))
-    a, b = (n.filter(F.col("role") == r).select("conv_id", "w", "k") for r in ("user", "assistant"))
-    return a.join(b, ["conv_id", "w", "k"], "left_semi").agg(F.count("*").alias("shared"))
+    sides = n.groupBy("conv_id", "w", "k").agg(F.count_if(F.col("role") == "user").alias("a"), F.count_if(F.col("role") == "assistant").alias("b"))
+    c = sides.groupBy("conv_id").agg(F.sum(F.least("a", "b")).alias("shared"), F.sum("a").alias("wanted"), F.sum("b").alias("found"))
+    both = F.col("wanted") + F.col("found")
+    return c.withColumn("f1", F.when(both > 0, F.lit(2.0) * F.col("shared") / both))
 
 
 @query("R18_labelled_pairs", "SELECT count(*)::BIGINT AS pairs, count(*) FILTER (WHERE a.label = b.label)::BIGINT AS same FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
@@ -292,18 +303,22 @@ def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.agg(pairs(F.sum("n")).alias("pairs"), F.sum(pairs(F.col("n"))).alias("same"))
 
 
-@query("R19_trial_cover", "SELECT 500::BIGINT AS covered")
+_TRIALS = """
+WITH e AS (SELECT vec_id, label, label * 2 + CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS side, row_number() OVER (PARTITION BY label ORDER BY md5('5:' || vec_id), vec_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS size, row_number() OVER (ORDER BY label, md5('5:' || vec_id), vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings),
+p AS (SELECT vec_id, label, r, size, place, n, j FROM e, (SELECT unnest([1, 2, 3]) AS j) WHERE vec_id % 3 = 0),
+t AS (SELECT p.vec_id AS enroll, o.vec_id AS test FROM p JOIN e o ON o.label = p.label AND o.r = (p.r + p.j) % p.size WHERE p.j < p.size),
+x AS (SELECT vec_id, place - r AS first, size, (('0x' || substr(md5('5:' || vec_id || '!'), 1, 8))::BIGINT % greatest(n - size, 1) + (j - 1) * greatest((n - size) // 3, 1)) % greatest(n - size, 1) AS i, n - size AS others, j FROM p),
+f AS (SELECT x.vec_id AS enroll, o.vec_id AS test FROM x JOIN e o ON o.place = CASE WHEN x.i < x.first THEN x.i ELSE x.i + x.size END WHERE x.j <= x.others),
+u AS (SELECT enroll, test FROM t UNION ALL SELECT enroll, test FROM f), left_out AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM e WHERE vec_id NOT IN (SELECT enroll FROM u UNION SELECT test FROM u)),
+en AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k, count(*) OVER () AS n FROM e WHERE vec_id % 3 = 0), every AS (SELECT enroll, test FROM u UNION ALL SELECT en.vec_id, l.vec_id FROM left_out l JOIN en ON en.k = l.k % en.n)
+SELECT enroll, test, (a.label = b.label)::INT AS target FROM every JOIN embeddings a ON a.vec_id = enroll JOIN embeddings b ON b.vec_id = test"""
+
+
+@query("R19_trial_cover", _TRIALS)
 def trial_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector gets a trial against one of another speaker: the next in hash order of the next label."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    w = Window.partitionBy("label").orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id")
-    n = e.withColumns({"r": F.row_number().over(w) - 1, "size": F.count("*").over(Window.partitionBy("label")), "rank": F.dense_rank().over(Window.orderBy("label")) - 1})
-    sizes = n.select("rank", "size").distinct()
-    labels = F.count("*").over(Window.partitionBy())
-    after = sizes.select(F.pmod(F.col("rank") - 1, labels).alias("rank"), F.col("rank").alias("other_rank"), F.col("size").alias("other_size"))
-    t = n.join(after, "rank").withColumn("other_r", F.col("r") % F.col("other_size"))
-    others = n.select(F.col("rank").alias("other_rank"), F.col("r").alias("other_r"), F.col("vec_id").alias("other"), F.col("label").alias("other_label"))
-    return t.join(others, ["other_rank", "other_r"]).filter("label <> other_label").agg(F.countDistinct("vec_id").alias("covered"))
+    """Trials of every third vector as enrolment: three against its own speaker, three against others, and one for each
+    vector that has none yet."""
+    return keyed.trials(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", "label", F.col("vec_id") % 3 == 0, 3, 3, seed=5)
 
 
 @query("R20_every_kth", "SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings WHERE label <> 0) WHERE r % 3 = 0")
@@ -331,11 +346,12 @@ def replaced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(parts, "doc_id", "left").select(F.explode(F.coalesce("ids", F.array(F.col("doc_id").cast("string")))).alias("id"), "source")
 
 
-@query("Z1_zipped_channels", "SELECT conv_id, string_agg(role, '+' ORDER BY turn) AS channels FROM conversations WHERE turn < 2 GROUP BY conv_id")
+@query("Z1_zipped_channels", "SELECT vec_id, 'sox -M a' || vec_id || '.wav b' || label || '.wav -c 2 -t wav - |' AS command FROM embeddings")
 def zipped_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    a, b = (c.filter(F.col("turn") == t).select("conv_id", F.col("role").alias(f"r{t}")) for t in (0, 1))
-    return keyed.lockstep(a, b, "conv_id").select("conv_id", F.concat_ws("+", "r0", "r1").alias("channels"))
+    """Two lists of single channels, key by key, as commands that make two channels of them."""
+    e = table(spark, sf_dir, "embeddings")
+    a, b = e.select("vec_id", F.concat(F.lit("a"), "vec_id", F.lit(".wav")).alias("a")), e.select("vec_id", F.concat(F.lit("b"), "label", F.lit(".wav")).alias("b"))
+    return keyed.lockstep(a, b, "vec_id").select("vec_id", F.concat(F.lit("sox -M "), "a", F.lit(" "), "b", F.lit(" -c 2 -t wav - |")).alias("command"))
 
 
 @query("Z4_speed_perturbation", "SELECT 'sp0.9-' || doc_id AS utt, printf('%.2f', (doc_id % 50) / 0.9) AS st, printf('%.2f', (doc_id % 50 + doc_id % 7) / 0.9) AS en FROM documents WHERE (doc_id % 50 + doc_id % 7) / 0.9 > (doc_id % 50) / 0.9 + 0.01")
@@ -362,15 +378,23 @@ def whole_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("utt"), F.col("doc_id").alias("reco"), F.lit(0.0).alias("st"), (F.col("n_chars") * 0.01).alias("en"))
 
 
-@query("Z9_self_overlap", """
-WITH w AS (SELECT item_id, string_split_regex(text, '[ \\n]+') AS ws FROM benchmark), g AS (SELECT item_id, i AS pos, ws[i] || ' ' || ws[i + 1] AS gram FROM w, LATERAL (SELECT unnest(range(1, len(ws))) AS i)), t AS (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT item_id) > 1)
-SELECT item_id, count(*)::BIGINT AS grams, count(*) FILTER (WHERE gram IN (SELECT gram FROM t))::BIGINT AS shared FROM g GROUP BY item_id""")
-def self_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigrams of each text, and those that another text has too."""
-    w = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", "[ \n]+").alias("ws")).filter(F.size("ws") > 1)
-    g = w.select("item_id", F.explode(F.zip_with(F.slice("ws", F.lit(1), F.size("ws") - 1), F.slice("ws", F.lit(2), F.size("ws") - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("gram"))
-    both = g.groupBy("gram").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).filter("a < b").select("gram", F.lit(True).alias("found"))
-    return g.join(both, "gram", "left").groupBy("item_id").agg(F.count("*").alias("grams"), F.count_if(F.col("found")).alias("shared"))
+_GRAMS = "WITH w AS (SELECT item_id, string_split_regex(text, '[ \\n]+') AS ws FROM benchmark), g AS (SELECT item_id, k, i AS pos, array_to_string(ws[i : i + k - 1], ' ') AS gram FROM w, (SELECT unnest([1, 2]) AS k), LATERAL (SELECT unnest(range(1, len(ws) - k + 2)) AS i))"
+
+
+@query("Z9_self_bleu", f"""{_GRAMS}, c AS (SELECT item_id, k, gram, count(*) AS n FROM g GROUP BY 1, 2, 3), o AS (SELECT a.item_id, a.k, a.gram, a.n, coalesce(max(b.n), 0) AS most FROM c a LEFT JOIN c b ON a.gram = b.gram AND a.k = b.k AND a.item_id <> b.item_id GROUP BY 1, 2, 3, 4),
+p AS (SELECT item_id, k, sum(least(n, most)) / sum(n)::DOUBLE AS p FROM o GROUP BY 1, 2)
+SELECT item_id, sum(p) / 2 AS arithmetic, sqrt(CASE WHEN count(*) < 2 THEN 0 ELSE product(p) END) AS geometric FROM p GROUP BY item_id""")
+def self_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text against all others: how many of its words and pairs another text has, by either mean."""
+    return metrics.self_bleu(table(spark, sf_dir, "benchmark").select("item_id", F.split("text", "[ \n]+").alias("ws")), "item_id", "ws", 2)
+
+
+@query("Z9_auto_bleu", f"""{_GRAMS}, m AS (SELECT *, min(pos) OVER w AS a, max(pos) OVER w AS b FROM g WINDOW w AS (PARTITION BY item_id, k, gram)),
+p AS (SELECT item_id, k, avg((pos - a >= k OR b - pos >= k)::INT) AS p FROM m GROUP BY 1, 2)
+SELECT item_id, sum(p) / 2 AS arithmetic, sqrt(CASE WHEN count(*) < 2 THEN 0 ELSE product(p) END) AS geometric FROM p GROUP BY item_id""")
+def auto_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words and pairs of each text come again in it, apart from themselves."""
+    return metrics.auto_bleu(table(spark, sf_dir, "benchmark").select("item_id", F.split("text", "[ \n]+").alias("ws")), "item_id", "ws", 2)
 
 
 @query("Z12_by_language", "SELECT lang, count(*)::BIGINT AS n, min(doc_id) AS first FROM documents GROUP BY lang")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import keyed
+from corpusloom.operators import keyed, ranks
 from corpusloom.plans.registry import query
 from corpusloom.session import table
 
@@ -88,12 +88,12 @@ def segment_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("P11_vocabulary_filter", """
-WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\n]+')) AS tok, generate_subscripts(string_split_regex(text, '[ \\n]+'), 1) AS pos FROM documents WHERE doc_id < 300),
+WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\n]+')) AS tok, generate_subscripts(string_split_regex(text, '[ \\n]+'), 1) AS pos FROM documents),
 v AS (SELECT tok FROM w GROUP BY tok HAVING count(*) >= 10)
 SELECT doc_id, count(*)::BIGINT AS tokens, count(*) FILTER (WHERE v.tok IS NULL)::BIGINT AS unknown FROM w LEFT JOIN v ON w.tok = v.tok GROUP BY doc_id""")
 def vocabulary_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens outside the vocabulary become <UNK>; counted for each document."""
-    words = table(spark, sf_dir, "documents").filter("doc_id < 300").select("doc_id", F.explode(F.split("text", "[ \n]+")).alias("tok"))
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "[ \n]+")).alias("tok"))
     vocab = words.groupBy("tok").count().filter("count >= 10").select("tok", F.lit(True).alias("known"))
     out = words.join(vocab, "tok", "left").withColumn("out", F.when(F.col("known"), F.col("tok")).otherwise("<UNK>"))
     return out.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_if(F.col("out") == "<UNK>").alias("unknown"))
@@ -152,7 +152,8 @@ def multi_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J6_lookup_default", "SELECT d.doc_id, coalesce(s.sid, 0) AS sid FROM documents d LEFT JOIN (SELECT source, row_number() OVER (ORDER BY source) AS sid FROM (SELECT DISTINCT source FROM documents WHERE source < 'src5')) s USING (source)")
 def lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    sids = docs.filter("source < 'src5'").select("source").distinct().withColumn("sid", F.row_number().over(Window.orderBy("source")).cast("bigint"))
+    sids = docs.filter("source < 'src5'").select("source").distinct()
+    sids = ranks.numbered(sids, ["source"], "sid").withColumn("sid", F.col("sid") + 1)
     return keyed.lookup(docs, sids, "source", "sid", F.lit(0)).select("doc_id", "sid")
 
 
@@ -286,29 +287,25 @@ def listed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.keep_keys(table(spark, sf_dir, "documents"), spark.createDataFrame([("src1",), ("src3",)], "source string"), "source").select("doc_id")
 
 
-@query("O6_fixed_shuffle", "SELECT count(*)::BIGINT AS n, sum(doc_id)::BIGINT AS total, count(*)::BIGINT AS places FROM documents")
+@query("O6_fixed_shuffle", "SELECT doc_id, (row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) - 1)::BIGINT AS place FROM documents")
 def fixed_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A permutation: every row has one place. The order itself is the engine's hash."""
-    d = table(spark, sf_dir, "documents").select("doc_id").withColumn("place", F.row_number().over(Window.orderBy(keyed.hashed_order("doc_id", 0), "doc_id")))
-    return d.agg(F.count("*").alias("n"), F.sum("doc_id").alias("total"), F.countDistinct("place").alias("places"))
+    return keyed.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0)
 
 
-@query("O7_group_split", "SELECT (count(DISTINCT source) * 20 // 100)::BIGINT AS held_groups, 0::BIGINT AS shared FROM documents")
+@query("O7_group_split", "SELECT doc_id, CASE WHEN r <= n * 20 // 100 THEN 'cv' ELSE 'train' END AS split FROM documents JOIN (SELECT source, row_number() OVER (ORDER BY md5('1:' || source), source) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)) USING (source)")
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A share of the groups, truncated, is held out; no group is on both sides."""
+    """A share of the groups, truncated, is held out with all their rows."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id")
-    g = d.select("source").distinct().withColumn("r", F.row_number().over(Window.orderBy(keyed.hashed_order("source", 1), "source"))).withColumn("n", F.count("*").over(Window.partitionBy()))
-    held = g.filter(F.col("r") <= F.floor(F.col("n") * 20 / 100)).select("source")
-    rest = keyed.keep_keys(d, held, "source", exclude=True).select("source").distinct()
-    return held.agg(F.count("*").alias("held_groups")).crossJoin(keyed.keep_keys(rest, held, "source").agg(F.count("*").alias("shared")))
+    groups = d.select("source").distinct()
+    held = keyed.shuffled(groups, "source", 1).filter(F.col("place") < groups.count() * 20 // 100).select("source", F.lit("cv").alias("split"))
+    return d.join(held, "source", "left").select("doc_id", F.coalesce("split", F.lit("train")).alias("split"))
 
 
-@query("O8_stratified_split", "SELECT lang, count(*)::BIGINT AS n, (count(*) * 8 // 10)::BIGINT AS train FROM documents GROUP BY lang")
+@query("O8_stratified_split", "SELECT doc_id, lang, CASE WHEN r <= n * 8 // 10 THEN 'train' ELSE 'dev' END AS split FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('2:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)")
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In each stratum eight tenths, in hash order, are for training."""
-    w = Window.partitionBy("lang")
-    d = table(spark, sf_dir, "documents").select("lang", "doc_id").withColumn("r", F.row_number().over(w.orderBy(keyed.hashed_order("doc_id", 2), "doc_id"))).withColumn("n", F.count("*").over(w))
-    return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("r") <= F.floor(F.col("n") * 8 / 10)).alias("train"))
+    """In each stratum eight tenths, in a fixed shuffle, are for training."""
+    d = keyed.within_group(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", [keyed.hashed_order("doc_id", 2), "doc_id"], "r")
+    return d.select("doc_id", "lang", F.when(F.col("r") < F.floor(F.col("_size") * 8 / 10), "train").otherwise("dev").alias("split"))
 
 
 @query("O9_even_chunks", "SELECT doc_id, ntile(7) OVER (ORDER BY doc_id)::INTEGER AS split FROM documents")
@@ -326,13 +323,12 @@ def array_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.even_chunks(table(spark, sf_dir, "documents").select("source").distinct(), "source", 4)
 
 
-@query("O13_resample", "SELECT count(*) * 2 + (count(*) * 5 // 10) AS rows, count(*)::BIGINT AS keys FROM documents")
+@query("O13_resample", "SELECT doc_id, unnest(range(1, CASE WHEN r <= n * 5 // 10 THEN 4 ELSE 3 END))::INTEGER AS copy FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('3:' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM documents)")
 def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By a factor of 2.5: every row twice, and half of the rows, in hash order, once more."""
+    """By a factor of 2.5: every row twice, and half of the rows, in a fixed shuffle, once more."""
     d = table(spark, sf_dir, "documents").select("doc_id")
-    r = d.withColumn("r", F.row_number().over(Window.orderBy(keyed.hashed_order("doc_id", 3), "doc_id"))).withColumn("n", F.count("*").over(Window.partitionBy()))
-    times = F.lit(2) + (F.col("r") <= F.floor(F.col("n") * 5 / 10)).cast("int")
-    return r.select("doc_id", F.explode(F.sequence(F.lit(1), times))).agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("keys"))
+    times = F.lit(2) + (F.col("place") < d.count() * 5 // 10).cast("int")
+    return keyed.shuffled(d, "doc_id", 3).select("doc_id", F.explode(F.sequence(F.lit(1), times)).alias("copy"))
 
 
 @query("O14_rank_shard", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents) WHERE r % 8 = 3")
@@ -340,11 +336,12 @@ def rank_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.round_robin(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 8).filter("split = 3").select("doc_id")
 
 
-@query("O15_cohort", "SELECT label, least(count(*), 5)::BIGINT AS n FROM embeddings GROUP BY label")
+@query("O15_cohort", "SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('4:' || vec_id), vec_id) AS r FROM embeddings) WHERE r <= 5")
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five of each speaker in hash order."""
+    """Five of each speaker in a fixed shuffle."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return e.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(keyed.hashed_order("vec_id", 4), "vec_id"))).filter("r <= 5").groupBy("label").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("label").orderBy(keyed.hashed_order("vec_id", 4), "vec_id")  # each task keeps five of a label
+    return e.withColumn("r", F.row_number().over(w)).filter("r <= 5").drop("r")
 
 
 @query("O16_n_best", "SELECT month, v FROM (SELECT month(o_orderdate)::INTEGER AS month, sum(round_even(o_totalprice * 100, 0)::BIGINT)::BIGINT AS v FROM orders GROUP BY 1) ORDER BY v, month LIMIT 3")

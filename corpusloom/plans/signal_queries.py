@@ -5,10 +5,11 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import metrics
+from corpusloom.functions import cleaners
+from corpusloom.operators import metrics, scans, sequential, signals
 from corpusloom.plans.aggregate_queries import SCORES_SQL, scores
 from corpusloom.plans.registry import query
 from corpusloom.session import table
@@ -17,10 +18,6 @@ from corpusloom.session import table
 _SIGNALS_SQL = "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS s, list_transform(embedding, lambda x, i: x::DOUBLE + 0.1 * coalesce(embedding[i + 1], 0)::DOUBLE) AS e FROM embeddings"
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("s"))
     return x.withColumn("e", F.transform("s", lambda v, i: v + 0.1 * F.coalesce(F.get("s", i + 1), F.lit(0.0))))
@@ -31,90 +28,123 @@ WITH x AS ({_SIGNALS_SQL}), d AS (SELECT vec_id, s, e, list_sum(list_transform(l
 SELECT vec_id, round_even(10 * log10(a * a * list_sum(list_transform(s, lambda v: v * v)) / list_sum(list_transform(list_zip(s, e), lambda p: (p[2] - a * p[1]) * (p[2] - a * p[1])))) * 1e6, 0)::BIGINT AS ratio_udb FROM d""")
 def scale_invariant_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signal to noise in decibels after the best scaling of the reference."""
-    x = _signals(spark, sf_dir).withColumn("a", _dot(F.col("s"), F.col("e")) / _dot(F.col("s"), F.col("s")))
-    noise = F.aggregate(F.zip_with("s", "e", lambda s, e: (e - F.col("a") * s) * (e - F.col("a") * s)), F.lit(0.0), lambda t, v: t + v)
-    return x.select("vec_id", F.rint(10 * F.log10(F.col("a") * F.col("a") * _dot(F.col("s"), F.col("s")) / noise) * 1e6).cast("bigint").alias("ratio_udb"))
+    return _signals(spark, sf_dir).select("vec_id", F.rint(metrics.signal_ratio(F.col("s"), F.col("e")) * 1e6).cast("bigint").alias("ratio_udb"))
+
 
+# Ratio of an estimate to a source: that of M13, of any two signals.
+_RATIO = "(list_sum(list_transform(list_zip({s}, {e}), lambda p: p[1] * p[2])) / list_sum(list_transform({s}, lambda v: v * v)))"
+_RATIO = "10 * log10(pow(" + _RATIO + ", 2) * list_sum(list_transform({s}, lambda v: v * v)) / list_sum(list_transform(list_zip({s}, {e}), lambda p: pow(p[2] - " + _RATIO + " * p[1], 2))))"
 
-@query("Z10_permutation_scores", "SELECT count(*)::BIGINT AS n, true AS right FROM embeddings WHERE vec_id % 2 = 0")
+
+@query("Z10_permutation_scores", f"""
+WITH x AS ({_SIGNALS_SQL}), p AS (SELECT a.vec_id, a.s AS s1, b.s AS s2, CASE WHEN a.vec_id % 4 = 0 THEN a.e ELSE b.e END AS e1, CASE WHEN a.vec_id % 4 = 0 THEN b.e ELSE a.e END AS e2 FROM x a JOIN x b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0),
+r AS (SELECT vec_id, {_RATIO.format(s="s1", e="e1")} AS r11, {_RATIO.format(s="s2", e="e2")} AS r22, {_RATIO.format(s="s1", e="e2")} AS r12, {_RATIO.format(s="s2", e="e1")} AS r21 FROM p)
+SELECT vec_id, r12 + r21 > r11 + r22 AS crossed, round_even(greatest(r12 + r21, r11 + r22) / 2 * 1e6, 0)::BIGINT AS mean_udb FROM r""")
 def permutation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sources and two estimates in either order: the order of the larger summed correlation is the right one."""
+    """Two sources and two estimates in an order that is not known: the order of the larger mean ratio, and that."""
     x = _signals(spark, sf_dir)
-    a = x.filter("vec_id % 2 = 0").select("vec_id", F.col("s").alias("s1"), F.col("e").alias("e1"))
-    b = x.filter("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    c = lambda p, q: _dot(F.col(p), F.col(q))
-    return a.join(b, "vec_id").agg(F.count("*").alias("n"), F.bool_and(c("s1", "e1") + c("s2", "e2") > c("s1", "e2") + c("s2", "e1")).alias("right"))
+    a, b = x.select("vec_id", F.col("s").alias("s1"), F.col("e").alias("a")).filter("vec_id % 2 = 0"), x.select((F.col("vec_id") - 1).alias("vec_id"), F.col("s").alias("s2"), F.col("e").alias("b"))
+    even = F.col("vec_id") % 4 == 0
+    p = a.join(b, "vec_id").withColumns({"e1": F.when(even, F.col("a")).otherwise(F.col("b")), "e2": F.when(even, F.col("b")).otherwise(F.col("a"))})
+    same, crossed = (metrics.signal_ratio(F.col("s1"), F.col(p1)) + metrics.signal_ratio(F.col("s2"), F.col(p2)) for p1, p2 in (("e1", "e2"), ("e2", "e1")))
+    return p.select("vec_id", (crossed > same).alias("crossed"), F.rint(F.greatest(same, crossed) / 2 * 1e6).cast("bigint").alias("mean_udb"))
 
 
-@query("N7_volume_and_speed", "SELECT vec_id, round_even(embedding[1]::DOUBLE * 0.5 * 1e6, 0)::BIGINT AS first_ppm, 32::BIGINT AS length FROM embeddings")
+@query("N7_volume_and_speed", "SELECT vec_id, array_to_string(list_transform(range(0, 32), lambda i: round_even(embedding[i * 2 + 1]::DOUBLE * 0.5 * 1e6, 0)::BIGINT), ',') AS ppm FROM embeddings")
 def volume_and_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half as loud, and twice as fast by taking every second sample."""
-    x = _signals(spark, sf_dir).select("vec_id", F.filter(F.transform("s", lambda v: v * 0.5), lambda v, i: i % 2 == 0).alias("y"))
-    return x.select("vec_id", F.rint(F.col("y")[0] * 1e6).cast("bigint").alias("first_ppm"), F.size("y").cast("bigint").alias("length"))
+    """Half as loud, and twice as fast."""
+    y = signals.chained(F.col("s"), [lambda c: signals.volume(c, 0.5), lambda c: signals.speed(c, 2.0)])
+    return _signals(spark, sf_dir).select("vec_id", F.array_join(F.transform(y, lambda v: F.rint(v * 1e6).cast("bigint").cast("string")), ",").alias("ppm"))
 
 
-@query("N8_masked_spans", "SELECT vec_id, len(list_filter(embedding, lambda x, i: x <> 0 AND (i <= vec_id % 40 OR i > vec_id % 40 + 16)))::BIGINT AS kept FROM embeddings")
+@query("N7_noise_and_rooms")
+def noise_and_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A band of frequencies, the signal with another's as noise at ten decibels, and in a room; tests hold them
+    against plain sums."""
+    x = _signals(spark, sf_dir)
+    room = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.5, 0.25)])
+    return x.select("vec_id", signals.band_pass(F.col("s"), 0.1, 0.3).alias("band"), signals.noisy(F.col("s"), F.reverse("s"), 10.0).alias("noisy"), signals.reverberated(F.col("s"), room).alias("room"))
+
+
+@query("N8_masked_spans", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x, i: CASE WHEN i > vec_id % 40 AND i <= vec_id % 40 + 16 THEN 0 ELSE round_even(x::DOUBLE * 1e6, 0)::BIGINT END), ',') AS ppm FROM embeddings")
 def masked_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen samples from a place on are set to nothing."""
     at = F.col("vec_id") % 40
-    y = F.transform("embedding", lambda x, i: F.when((i >= at) & (i < at + 16), F.lit(0.0)).otherwise(x))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(F.filter(y, lambda x: x != 0)).cast("bigint").alias("kept"))
+    y = F.transform("embedding", lambda x, i: F.when((i >= at) & (i < at + 16), F.lit(0.0)).otherwise(x.cast("double")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(y, lambda v: F.rint(v * 1e6).cast("bigint").cast("string")), ",").alias("ppm"))
+
+
+@query("N8_channel", "SELECT vec_id, array_to_string(list_transform(range(0, 16), lambda i: round_even(embedding[i * 4 + 3]::DOUBLE * 1e6, 0)::BIGINT), ',') AS ppm FROM embeddings")
+def one_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third of four channels of samples in turn."""
+    y = signals.channel(F.col("s"), 2, 4)
+    return _signals(spark, sf_dir).select("vec_id", F.array_join(F.transform(y, lambda v: F.rint(v * 1e6).cast("bigint").cast("string")), ",").alias("ppm"))
 
 
-@query("N10_trained_clusters", "SELECT 5::BIGINT AS clusters, count(*)::BIGINT AS rows FROM embeddings")
+@query("N10_trained_clusters")
 def trained_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-means as the engine's library trains it: every row in one of five clusters."""
+    """K-means as the engine's library trains it: each row's cluster and its centre; tests hold it against the nearest
+    of the centres, which are their clusters' means."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    x = table(spark, sf_dir, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    p = KMeans(k=5, seed=1, maxIter=5).fit(x).transform(x)
-    return p.agg(F.countDistinct("prediction").alias("clusters"), F.count("*").alias("rows"))
+    x = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    model = KMeans(k=5, seed=1, maxIter=100, tol=1e-9).fit(x)
+    centres = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
+    return model.transform(x).select("vec_id", F.col("prediction").alias("cluster")).join(F.broadcast(centres), "cluster")
 
 
-@query("M17_score_calibration", "SELECT 1::BIGINT AS models, true AS rising")
-def score_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logistic regression of the label on the score: a higher score is likelier a target."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    x = scores(spark, sf_dir).select(F.col("label").cast("double").alias("label"), array_to_vector(F.array(F.col("score") / 10000.0)).alias("features"))
-    m = LogisticRegression(maxIter=20, regParam=0.01).fit(x)
-    return spark.createDataFrame([(1, bool(m.coefficients[0] > 0))], "models bigint, rising boolean")
+@query("N10_principal_axes")
+def principal_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors along their three axes of most variance; tests hold them against numpy."""
+    e = table(spark, sf_dir, "embeddings")
+    mean, axes = sequential.principal_axes(e, "embedding", 3)
+    return e.select("vec_id", sequential.projected(F.col("embedding"), mean, axes).alias("axes"))
 
 
-@query("M18_ngram_precision", """
-WITH r AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[ \\n]+'), lambda w: w <> '') AS r FROM benchmark), w AS (SELECT item_id, r, list_filter(r, lambda w, i: i % 7 <> 0) AS h FROM r),
-a AS (SELECT item_id, unnest(list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1])) AS g FROM w), b AS (SELECT item_id, unnest(list_transform(range(1, len(h)), lambda i: h[i] || ' ' || h[i + 1])) AS g FROM w),
-ca AS (SELECT item_id, g, count(*) AS n FROM a GROUP BY 1, 2), cb AS (SELECT item_id, g, count(*) AS n FROM b GROUP BY 1, 2)
-SELECT sum(least(cb.n, coalesce(ca.n, 0)))::BIGINT AS matched, sum(cb.n)::BIGINT AS total FROM cb LEFT JOIN ca USING (item_id, g)""")
-def ngram_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clipped bigram matches of hypotheses, the counts of a BLEU score."""
+@query("M17_score_calibration")
+def score_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities from scores and a further feature of each row by logistic regression; tests hold them against
+    Newton's method."""
+    x = scores(spark, sf_dir).select("event_id", "label", (F.col("score") / 10000.0).alias("score"), (F.col("event_id") % 40 / 40.0).alias("quality"))
+    return metrics.logistic_scores(x, "label", ["score", "quality"]).select("event_id", "label", "calibrated")
+
+
+@query("M18_bleu", """
+WITH r AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[ \\n]+'), lambda w: w <> '') AS r FROM benchmark), w AS (SELECT item_id, r, list_filter(r, lambda w, i: i % 7 <> 0) AS h FROM r), s AS (SELECT unnest([1, 2, 3, 4]) AS k),
+a AS (SELECT item_id, k, array_to_string(r[i : i + k - 1], ' ') AS g, count(*) AS n FROM w, s, LATERAL (SELECT unnest(range(1, len(r) - k + 2)) AS i) GROUP BY 1, 2, 3), b AS (SELECT item_id, k, array_to_string(h[i : i + k - 1], ' ') AS g, count(*) AS n FROM w, s, LATERAL (SELECT unnest(range(1, len(h) - k + 2)) AS i) GROUP BY 1, 2, 3),
+p AS (SELECT k, sum(least(b.n, coalesce(a.n, 0))) / sum(b.n)::DOUBLE AS p FROM b LEFT JOIN a USING (item_id, k, g) GROUP BY k), l AS (SELECT least(1, exp(1 - sum(len(r)) / sum(len(h))::DOUBLE)) AS brevity FROM w)
+SELECT any_value(brevity) * exp(avg(ln(p))) AS bleu, max(p) FILTER (WHERE k = 1) AS p1, max(p) FILTER (WHERE k = 2) AS p2, max(p) FILTER (WHERE k = 3) AS p3, max(p) FILTER (WHERE k = 4) AS p4, any_value(brevity) AS brevity FROM p, l""")
+def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLEU of hypotheses that lack every seventh word."""
     w = F.filter(F.split(F.lower("text"), "[ \n]+"), lambda x: x != "")
     d = table(spark, sf_dir, "benchmark").select("item_id", w.alias("r"), F.filter(w, lambda x, i: (i + 1) % 7 != 0).alias("h"))
+    return metrics.bleu(d, "r", "h", "item_id")
 
-    def grams(c: str, n: str) -> DataFrame:
-        pairs = F.zip_with(F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-        return d.select("item_id", F.explode(pairs).alias("g")).groupBy("item_id", "g").agg(F.count("*").alias(n))
-
-    j = grams("h", "nh").join(grams("r", "nr"), ["item_id", "g"], "left")
-    return j.agg(F.sum(F.least("nh", F.coalesce("nr", F.lit(0)))).alias("matched"), F.sum("nh").alias("total"))
 
-
-@query("M19_alignment_check", "SELECT count(*)::BIGINT AS notes, count(*) FILTER (WHERE turn % 5 = 3)::BIGINT AS mismatches FROM conversations")
+@query("M19_alignment_check", """
+WITH w AS (SELECT item_id, unnest(string_split_regex(lower(text), '[ \\n]+')) AS word, generate_subscripts(string_split_regex(lower(text), '[ \\n]+'), 1) - 1 AS i FROM benchmark),
+n AS (SELECT item_id, i, CASE WHEN i % 5 = 4 THEN '—' ELSE word END AS syllable, CASE WHEN (item_id + i) % 23 = 22 THEN 'x' WHEN i % 5 = 4 THEN lag(substr(word, length(word), 1)) OVER (PARTITION BY item_id ORDER BY i) ELSE substr(word, length(word), 1) END AS phone, lag(substr(word, length(word), 1)) OVER (PARTITION BY item_id ORDER BY i) AS before, substr(word, length(word), 1) AS own FROM w)
+SELECT item_id, count(*)::BIGINT AS notes, min(i) FILTER (WHERE phone <> CASE WHEN syllable = '—' THEN before ELSE own END)::BIGINT AS mismatch FROM n GROUP BY item_id""")
 def alignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lyrics and phones side by side in order; a slur takes the phone before, what then differs is reported."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 1, "—").otherwise(F.concat(F.lit("p"), "turn")).alias("lyric"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = c.withColumn("want", F.when(F.col("lyric") == "—", F.lag("lyric").over(w)).otherwise(F.col("lyric")))
-    phone = F.when(F.col("turn") % 5 == 3, F.lit("x")).otherwise(F.concat(F.lit("p"), (F.col("turn") - F.col("turn") % 2).cast("string")))
-    return c.withColumn("phone", phone).agg(F.count("*").alias("notes"), F.count_if(F.col("phone") != F.coalesce("want", F.col("phone"))).alias("mismatches"))
+    """Notes and phones side by side in order; a slur takes the phone before. The first place where they differ. A
+    syllable's phone is its last letter here; every fifth note is a slur, and some phones are wrong."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split(F.lower("text"), "[ \n]+")).alias("i", "word"))
+    last = F.expr("substring(word, length(word), 1)")
+    before = F.lag(last).over(Window.partitionBy("item_id").orderBy("i"))
+    slur = F.col("i") % 5 == 4
+    notes = b.select("item_id", "i", F.when(slur, "—").otherwise(F.col("word")).alias("syllable"), F.when((F.col("item_id") + F.col("i")) % 23 == 22, "x").when(slur, before).otherwise(last).alias("phone"))
+    return scans.first_mismatch(notes, "item_id", "i", "syllable", "phone", lambda s: F.substring(s, -1, 1))
 
 
-@query("R17_word_error_counts", "SELECT 0::BIGINT AS errors, sum(len(list_filter(string_split_regex(text, '[ \\n]+'), lambda w: w <> '')))::BIGINT AS words FROM benchmark")
+@query("R17_word_error_counts")
 def word_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = metrics.word_error_counts(table(spark, sf_dir, "benchmark").select("text"), "text", "text")
-    return e.agg(F.sum("errors").alias("errors"), F.sum("ref_words").alias("words"))
+    """Word errors of the whole corpus: hypotheses lack every seventh word, and every fifth of the rest is another;
+    tests hold them against plain alignments."""
+    w = F.filter(F.split("text", "[ \n]+"), lambda x: x != "")
+    h = F.transform(F.filter(w, lambda x, i: (i + 1) % 7 != 0), lambda x, i: F.when(i % 5 == 4, F.lit("other")).otherwise(x))
+    e = metrics.word_error_counts(table(spark, sf_dir, "benchmark").select(F.array_join(w, " ").alias("ref"), F.array_join(h, " ").alias("hyp")), "ref", "hyp")
+    return e.agg(F.sum("errors").alias("errors"), F.sum("ref_words").alias("words"), F.round(F.sum("errors") / F.sum("ref_words") * 100, 2).alias("wer"))
 
 
 @query("R27_score_report", f"SELECT label, count(*)::BIGINT AS n, avg(score) AS mean, stddev_pop(score) AS std FROM ({SCORES_SQL}) GROUP BY label")
@@ -141,24 +171,11 @@ def decomposed_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.pandas_udf(run, "bigint")("text").alias("composed"))
 
 
-@query("F9_word_pieces", "SELECT count(*)::BIGINT AS rows, true AS covered FROM benchmark")
+@query("F9_word_pieces")
 def word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of a vocabulary file that mark word ends: at least one a word."""
-
-    def run(texts: pd.Series) -> pd.Series:
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-        return pd.Series([len(e.ids) for e in t.encode_batch(texts.tolist(), add_special_tokens=False)])
+    """Tokens of a tokenizer file; tests hold them against the library."""
+    import public_tokenizers
 
-    b = table(spark, sf_dir, "benchmark").select(F.pandas_udf(run, "bigint")("text").alias("n"), F.size(F.split("text", "[ \n]+")).alias("words"))
-    return b.agg(F.count("*").alias("rows"), F.bool_and(F.col("n") >= F.col("words")).alias("covered"))
+    return table(spark, sf_dir, "benchmark").select("item_id", "text", cleaners.tokens(F.col("text"), "whisper", public_tokenizers.path("byte_bpe_50k.json")).alias("tokens"))
 
 
-@query("S20_artifacts", "SELECT vec_id, 'array' AS kind, 64::BIGINT AS size FROM embeddings UNION ALL SELECT doc_id, 'text', 1 FROM documents")
-def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of several types in one typed sink: arrays as numbers, others as JSON."""
-    a = table(spark, sf_dir, "embeddings").select("vec_id", F.lit("array").alias("kind"), F.size("embedding").cast("bigint").alias("size"))
-    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.lit("text").alias("kind"), F.json_array_length(F.to_json(F.array(F.col("lang")))).cast("bigint").alias("size"))
-    return a.unionByName(t)

@@ -170,3 +170,10 @@ def _mapped(f):
         return xs.map(f)
 
     return F.pandas_udf(run, "string")
+
+
+def synthetic(key: Column, n: Column, seed: int) -> Column:
+    """n values in [0, 1) that depend on the key and the seed alone."""
+    said = lambda i: F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"), F.lit(":"), i.cast("string")))
+    value = lambda i: F.conv(F.substring(said(i), 1, 8), 16, 10).cast("double") / 2.0**32
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n.cast("int") - 1), value)).otherwise(F.array().cast("array<double>"))
