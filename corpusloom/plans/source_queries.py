@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import cleaners
 from corpusloom.functions import text as T
 from corpusloom.operators import keyed
 from corpusloom.plans.registry import query
-from corpusloom.session import table
-from corpusloom.sources import binary, manifests
+from corpusloom.session import shared_dir, table
+from corpusloom.sources import binary, manifests, packages
 
 
 def _lines(spark: SparkSession, sf_dir: str, name: str, *parts) -> DataFrame:
@@ -97,12 +100,13 @@ def synthetic_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", F.size("x").cast("bigint").alias("length"), total.alias("total"))
 
 
-@query("S8_arrays", "SELECT vec_id, 64::BIGINT AS length, round_even(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) * 1e6, 0)::BIGINT AS sum_ppm FROM embeddings")
+@query("S8_arrays", "SELECT vec_id::VARCHAR AS key, '8,8' AS shape, array_to_string(list_transform(embedding, lambda x: round_even(x::DOUBLE * 1e6, 0)::BIGINT), ',') AS ppm FROM embeddings")
 def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors written as array files and read again."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", binary.npy_values(binary.npy_bytes(F.col("embedding"))).alias("a"))
-    total = F.aggregate("a.values", F.lit(0.0), lambda s, x: s + x)
-    return e.select("vec_id", F.col("a.shape")[0].alias("length"), F.rint(total * 1e6).cast("bigint").alias("sum_ppm"))
+    """Vectors as matrices in array files and back."""
+    x = F.col("embedding").cast("array<double>")
+    square = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(x, i * 8 + 1, F.lit(8)))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("key"), binary.npy_values(binary.npy_matrix_bytes(square)).alias("a"))
+    return e.select("key", F.array_join(F.col("a.shape").cast("array<string>"), ",").alias("shape"), _ppm("a.values"))
 
 
 @query("S9_sound_ranges", "SELECT conv_id, turn, 16000 AS rate, 160::BIGINT AS length, (320 + conv_id + turn)::INTEGER AS first, (479 + conv_id + turn)::INTEGER AS last FROM conversations")
@@ -131,18 +135,80 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", "s.tempo", F.size("s.notes").cast("bigint").alias("notes"), F.array_max(pitches).alias("top"), F.aggregate(pitches, F.lit(0).cast("bigint"), lambda a, p: a + p).alias("pitches"))
 
 
-@query("S14_matrix_archives", "SELECT vec_id::VARCHAR AS key, '8,8' AS shape, round_even(embedding[1]::DOUBLE * 1e6, 0)::BIGINT AS first_ppm FROM embeddings")
-def matrix_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as matrices in archives, one a batch of rows, and back."""
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as matrices in archives, one a batch of rows: (archive, content, keys)."""
 
     def write(batches):
         for pdf in batches:
             rows = [(str(i), np.reshape(v, (8, 8))) for i, v in zip(pdf["vec_id"], pdf["embedding"])]
-            yield pd.DataFrame({"content": [binary.archive_bytes(rows)]})
+            yield pd.DataFrame({"archive": [f"a-{rows[0][0]}"], "content": [binary.archive_bytes(rows)], "keys": [[k for k, _ in rows]]})
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(write, "archive string, content binary, keys array<string>")
+
+
+def _ppm(values: str) -> Column:
+    return F.array_join(F.transform(values, lambda v: F.rint(v * 1e6).cast("bigint").cast("string")), ",").alias("ppm")
+
 
-    archives = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(write, "content binary")
-    m = binary.archive_rows(archives)
-    return m.select("key", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), F.rint(F.col("values")[0] * 1e6).cast("bigint").alias("first_ppm"))
+_VECTORS_SQL = "SELECT vec_id::VARCHAR AS key, '8,8' AS shape, array_to_string(list_transform(embedding, lambda x: round_even(x::DOUBLE * 1e6, 0)::BIGINT), ',') AS ppm FROM embeddings"
+
+
+@query("S14_matrix_archives", _VECTORS_SQL)
+def matrix_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as matrices in archives, and back."""
+    m = binary.archive_rows(_archives(spark, sf_dir))
+    return m.select("key", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), _ppm("values"))
+
+
+@query("S18_indexed_archives", _VECTORS_SQL)
+def indexed_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same matrices, each by its line in an index: archive and byte."""
+    a = _archives(spark, sf_dir)
+    # A matrix of 8 x 8 takes a key, a space, 15 bytes of mark and sizes, and 256 of numbers.
+    before = F.transform("keys", lambda k, i: F.aggregate(F.slice("keys", F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x) + 272) + F.length(k) + 1)
+    line = F.explode(F.arrays_zip(F.col("keys").alias("k"), before.alias("at"))).alias("x")
+    index = a.select("archive", line).select(F.concat("x.k", F.lit(" "), "archive", F.lit(":"), F.col("x.at").cast("string")).alias("value"))
+    m = packages.matrices_at(packages.archive_index(index), a.select("archive", "content"))
+    return m.select("key", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), _ppm("values"))
+
+
+@query("S18_cut_manifest", "SELECT 'cut' || conv_id || '-' || turn AS id, (160 + conv_id)::INTEGER AS first, 80::BIGINT AS length FROM conversations WHERE turn % 2 = 0")
+def cut_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts of five milliseconds out of sounds whose samples count up, those of even turns."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    source = F.struct(F.lit("file").alias("type"), F.array(F.lit(0)).alias("channels"), F.concat(F.lit("r"), "conv_id").alias("source"))
+    recording = F.struct(F.concat(F.lit("r"), "conv_id").alias("id"), F.lit(16000).alias("sampling_rate"), F.lit(0.0625).alias("duration"), F.array(source).alias("sources"))
+    named = F.concat(F.lit("cut"), "conv_id", F.lit("-"), "turn")
+    rows = c.select(F.to_json(F.struct(named.alias("id"), F.lit(0.01).alias("start"), F.lit(0.005).alias("duration"), recording.alias("recording"))).alias("value"))
+    sounds = c.select("conv_id").distinct().select(F.concat(F.lit("r"), "conv_id").alias("key"), binary.wav_bytes(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: (i + F.col("conv_id")).cast("int"))).alias("content"))
+    s = packages.sound_of(packages.cuts(rows, c.filter("turn % 2 = 0").select(named.alias("key"))), sounds)
+    return s.select("id", F.col("samples")[0].alias("first"), F.size("samples").cast("bigint").alias("length"))
+
+
+@query("S19_converted_files", _VECTORS_SQL)
+def converted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives read, written again as array files, and read."""
+    m = binary.archive_rows(_archives(spark, sf_dir))
+    square = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("values", i * 8 + 1, F.lit(8)))
+    a = m.select("key", binary.npy_values(binary.npy_matrix_bytes(square)).alias("a"))
+    return a.select("key", F.array_join(F.col("a.shape").cast("array<string>"), ",").alias("shape"), _ppm("a.values"))
+
+
+@query("S20_artifacts", "SELECT vec_id::VARCHAR AS key, 'embedding' AS field, 'npy' AS kind, array_to_string(list_transform(embedding, lambda x: round_even(x::DOUBLE * 1e6, 0)::BIGINT), ',') AS said FROM embeddings UNION ALL SELECT vec_id::VARCHAR, 'label', 'json', '{\"value\":' || label || '}' FROM embeddings UNION ALL SELECT vec_id::VARCHAR, 'meta', 'json', '{\"id\":' || vec_id || ',\"label\":' || label || '}' FROM embeddings")
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of several types written to one typed sink and read again: arrays as array files, others as JSON."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label", F.struct(F.col("vec_id").alias("id"), "label").alias("meta"))
+    a = packages.write_artifacts(e, "vec_id", f"{shared_dir(spark)}/artifacts-{uuid.uuid4().hex}")
+    arrays_ = a.filter("kind = 'npy'").select("key", "field", "kind", binary.npy_values(F.col("content")).alias("a")).select("key", "field", "kind", _ppm("a.values").alias("said"))
+    return arrays_.unionByName(a.filter("kind = 'json'").select("key", "field", "kind", F.col("content").cast("string").alias("said")))
+
+
+@query("S21_packed_texts", "SELECT 'docs/' || doc_id || '.txt' AS name, text FROM documents")
+def packed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as files in archives, half of them tar and half zip, and out of them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("docs/"), "doc_id", F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"))
+    tars, zips = (packages.packed(d.filter(F.col("doc_id") % 2 == k), "name", "content", kind) for k, kind in ((0, "tar"), (1, "zip")))
+    return packages.members(tars.unionByName(zips)).select("name", F.col("content").cast("string").alias("text"))
 
 
 @query("S5_random_lines", "SELECT doc_id, text FROM documents ORDER BY md5('11:' || doc_id), doc_id LIMIT 20")
@@ -151,12 +217,16 @@ def random_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text").orderBy(keyed.hashed_order("doc_id", 11), "doc_id").limit(20)
 
 
-@query("S22_dataset_registry", "SELECT 'docs' AS dataset, count(*)::BIGINT AS rows FROM documents WHERE lang = 'en' UNION ALL SELECT 'items', count(*) FROM benchmark")
+@query("S22_dataset_registry", "SELECT 'docs' AS dataset, count(*)::BIGINT AS rows FROM benchmark UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'events', count(*) FROM events")
 def dataset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Named datasets; a later registration of a name replaces the earlier one."""
-    known = {"docs": table(spark, sf_dir, "documents")} | {"docs": table(spark, sf_dir, "documents").filter("lang = 'en'"), "items": table(spark, sf_dir, "benchmark")}
-    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("dataset"), "rows") for name, df in known.items()]
-    return counts[0].unionByName(counts[1])
+    """Datasets named in two YAML files; the later file replaces a name of the earlier one."""
+    base = f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}"
+    path = lambda name: f"{{path: '{sf_dir.rstrip('/')}/{name}.parquet'}}"
+    for i, text in enumerate((f"docs: {path('documents')}\nlabels: {path('labels')}\nold: {{note: none}}\n", f"docs: {path('benchmark')}\nevents: {path('events')}\n")):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{base}/{i}.yaml")
+    known = packages.registry(spark, [f"{base}/0.yaml", f"{base}/1.yaml"])
+    counts = [spark.read.parquet(p).agg(F.count("*").alias("rows")).select(F.lit(name).alias("dataset"), "rows") for name, p in sorted(known.items())]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("F6_sentence_pieces")
@@ -182,3 +252,24 @@ def token_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.select("item_id", T.word_errors(F.col("r"), F.col("h")).cast("bigint").alias("errors"), F.size("r").cast("bigint").alias("tokens"))
     whole = e.agg(F.lit(None).cast("bigint").alias("item_id"), F.sum("errors").alias("errors"), F.sum("tokens").alias("tokens"))
     return e.unionByName(whole).withColumn("ter", F.round(F.col("errors") / F.col("tokens") * 100, 2))
+
+
+@query("S11_midi_scores", "SELECT user_id, 120 AS tempo, count(*)::BIGINT AS notes, sum(60 + event_id % 12)::BIGINT AS pitches, string_agg('l' || event_id, ' ' ORDER BY event_id) AS lyrics, round_even(count(*) * 0.5, 3) AS seconds FROM events GROUP BY user_id")
+def midi_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as notes of a MIDI file, one after another, and back."""
+    e = keyed.within_group(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", ["event_id"], "r")
+    note = F.struct((F.col("r") * 0.5).alias("start"), (F.col("r") * 0.5 + 0.5).alias("end"), F.concat(F.lit("l"), "event_id").alias("lyric"), (F.col("event_id") % 12 + 60).cast("int").alias("pitch"))
+    m = e.groupBy("user_id").agg(F.array_sort(F.collect_list(note)).alias("notes")).select("user_id", packages.score_of_midi(packages.midi_of(120, F.col("notes"))).alias("s"))
+    total = F.aggregate("s.notes", F.lit(0).cast("bigint"), lambda a, n: a + n["pitch"])
+    return m.select("user_id", "s.tempo", F.size("s.notes").cast("bigint").alias("notes"), total.alias("pitches"), F.array_join(F.transform("s.notes", lambda n: n["lyric"]), " ").alias("lyrics"), F.round(F.array_max(F.transform("s.notes", lambda n: n["end"])), 3).alias("seconds"))
+
+
+@query("S15_range_fetch", "SELECT doc_id, (doc_id % 7 * 16 + doc_id % 100)::INTEGER AS first, (n_chars % 5 + 1) * 16 AS length FROM documents SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) v USING (doc_id)")
+def range_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the rows that a list of valid ids keeps, a range of a sound each, by start and end in the manifest."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    start = F.col("doc_id") % 7 * 0.001 + 0.00001
+    ranges = d.select(F.col("doc_id").alias("id"), "n_chars", F.col("doc_id").cast("string").alias("source"), start.alias("start"), (start + (F.col("n_chars") % 5 + 1) * 0.001).alias("end"))
+    sounds = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), binary.wav_bytes(F.transform(F.sequence(F.lit(0), F.lit(400)), lambda i: (i + F.col("doc_id") % 100).cast("int"))).alias("content"))
+    s = packages.sound_of(ranges, sounds)
+    return s.select(F.col("id").alias("doc_id"), F.col("samples")[0].alias("first"), F.size("samples").cast("bigint").alias("length"))

@@ -36,6 +36,20 @@ def npy_bytes(values: Column) -> Column:
     return F.pandas_udf(run, "binary")(values)
 
 
+def npy_matrix_bytes(values: Column) -> Column:
+    """The same of matrices: arrays of rows of one length."""
+
+    def run(xs: pd.Series) -> pd.Series:
+        out = []
+        for x in xs:
+            held = io.BytesIO()
+            np.save(held, np.array([np.asarray(r, np.float64) for r in x]), allow_pickle=False)
+            out.append(held.getvalue())
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "binary")(values)
+
+
 def npy_values(content: Column) -> Column:
     """struct(shape, values): the array's shape and its values, row by row."""
 
@@ -64,20 +78,22 @@ def wav_bytes(samples: Column, rate: int = 16000, channels: int = 1) -> Column:
     return F.pandas_udf(run, "binary")(samples)
 
 
+def read_range(content: bytes, start: float = 0.0, end: float = -1.0) -> tuple[int, int, list[int]]:
+    """Rate, channels and samples of 16-bit sound from start to end seconds; end -1 is the end of the file."""
+    with wave.open(io.BytesIO(content)) as f:
+        if f.getsampwidth() != 2:
+            raise ValueError("16-bit sound is needed")
+        first = int(start * f.getframerate())
+        f.setpos(min(first, f.getnframes()))
+        n = f.getnframes() - first if end < 0 else int(end * f.getframerate()) - first
+        return f.getframerate(), f.getnchannels(), np.frombuffer(f.readframes(max(0, n)), "<i2").astype(int).tolist()
+
+
 def wav_samples(content: Column, start: float = 0.0, end: float = -1.0) -> Column:
     """struct(rate, channels, samples) of 16-bit sound from start to end seconds; end -1 is the end of the file."""
 
     def run(xs: pd.Series) -> pd.DataFrame:
-        out = []
-        for x in xs:
-            with wave.open(io.BytesIO(x)) as f:
-                if f.getsampwidth() != 2:
-                    raise ValueError("16-bit sound is needed")
-                first = int(start * f.getframerate())
-                f.setpos(min(first, f.getnframes()))
-                n = f.getnframes() - first if end < 0 else int(end * f.getframerate()) - first
-                out.append((f.getframerate(), f.getnchannels(), np.frombuffer(f.readframes(max(0, n)), "<i2").astype(int).tolist()))
-        return pd.DataFrame(out, columns=["rate", "channels", "samples"])
+        return pd.DataFrame([read_range(x, start, end) for x in xs], columns=["rate", "channels", "samples"])
 
     return F.pandas_udf(run, "rate int, channels int, samples array<int>")(content)
 
@@ -98,23 +114,28 @@ def archive_bytes(rows: list[tuple[str, np.ndarray]]) -> bytes:
     return out
 
 
+def matrix_at(content: bytes, at: int) -> tuple[np.ndarray, int]:
+    """The float or double matrix or vector whose mark is at a byte, and the byte after it."""
+    if content[at : at + 2] != b"\0B":
+        raise ValueError("only binary archives are read")
+    kind, at = content[at + 2 : at + 4], at + 5
+    sizes = []
+    for _ in range(2 if kind[1:2] == b"M" else 1):
+        sizes.append(struct.unpack_from("<i", content, at + 1)[0])
+        at += 5
+    dtype = {b"F": "<f4", b"D": "<f8"}[kind[:1]]
+    n = int(np.prod(sizes))
+    return np.frombuffer(content, dtype, n, at).reshape(sizes), at + n * np.dtype(dtype).itemsize
+
+
 def archive_matrices(content: bytes) -> list[tuple[str, np.ndarray]]:
     """(key, matrix) of an archive of float or double matrices or vectors."""
     out, at = [], 0
     while at < len(content):
         space = content.index(b" ", at)
-        key, at = content[at:space].decode(), space + 1
-        if content[at : at + 2] != b"\0B":
-            raise ValueError("only binary archives are read")
-        kind, at = content[at + 2 : at + 4], at + 5
-        sizes = []
-        for _ in range(2 if kind[1:2] == b"M" else 1):
-            sizes.append(struct.unpack_from("<i", content, at + 1)[0])
-            at += 5
-        dtype = {b"F": "<f4", b"D": "<f8"}[kind[:1]]
-        n = int(np.prod(sizes))
-        out.append((key, np.frombuffer(content, dtype, n, at).reshape(sizes)))
-        at += n * np.dtype(dtype).itemsize
+        key = content[at:space].decode()
+        matrix, at = matrix_at(content, space + 1)
+        out.append((key, matrix))
     return out
 
 

@@ -1,12 +1,11 @@
 """Binary sources, streams and sequential operators on hand-made rows."""
 
-import uuid
-
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import sequential
-from corpusloom.sources import binary, manifests
+from corpusloom.sources import binary, manifests, packages
 from corpusloom.streaming import stateful
 
 
@@ -44,25 +43,19 @@ def test_evenly_spread_places(spark):
         assert sequential.evenly_spread(df, "id", n).count() == n
 
 
-def test_groups_stay_whole_and_balanced():
-    parts = sequential.balanced_groups([("a", 10), ("b", 9), ("c", 2), ("d", 1)], 2)
-    load = {p: sum(n for g, n in (("a", 10), ("b", 9), ("c", 2), ("d", 1)) if parts[g] == p) for p in (0, 1)}
-    assert load == {0: 11, 1: 11}
-
-
 def test_carried_samples_over_micro_batches(spark, tmp_path):
     rows = [("a", i, [float(i)] * 3, i == 4) for i in range(5)]
     for i, r in enumerate(rows):
         spark.createDataFrame([r], "key string, seq long, samples array<double>, is_final boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key string, seq long, samples array<double>, is_final boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = stateful.drained(spark, stateful.rechunked(stream, 4, 4), f"t{uuid.uuid4().hex}", str(tmp_path / "state")).orderBy("frame").collect()
+    got = stateful.drained(spark, stateful.rechunked(stream, 4, 4), str(tmp_path)).orderBy("frame").collect()
     assert [r.frame for r in got] == [0, 1, 2, 3] and sum(r.total for r in got) == 30.0
 
 
 def test_watermarked_windows(spark, tmp_path):
     spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS event_type UNION ALL SELECT timestamp'2024-01-01 05:00:00', 'a'").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "in"))
-    got = stateful.drained(spark, stateful.windowed_counts(stream), f"t{uuid.uuid4().hex}", str(tmp_path / "state")).collect()
+    got = stateful.drained(spark, stateful.windowed_counts(stream), str(tmp_path)).collect()
     assert [(r.event_type, r.n) for r in got] == [("a", 1)]
 
 
@@ -71,17 +64,79 @@ def test_rows_are_spread_over_the_whole_table(spark, tmp_path):
 
     spark.range(5000, 9000).selectExpr("id * 3 AS doc_id").write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.queries()["O3_evenly_spread"](spark, str(tmp_path)).collect()
-    assert [tuple(r) for r in got] == [(100, True)]
+    assert len(got) == 100 and [sum(15000 + q * 3000 <= r.doc_id < 18000 + q * 3000 for r in got) for q in range(4)] == [25] * 4
 
 
 def test_cohorts_of_several_blocks(spark, tmp_path, monkeypatch):
     from corpusloom.plans import metric_queries
 
     x = np.random.default_rng(4).normal(size=(80, 6))
-    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, v.tolist(), i % 10) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     monkeypatch.setattr(metric_queries, "COHORT", 3)
     got = {r.vec_id: (r.m, r.s) for r in metric_queries._cohort_stats(spark, str(tmp_path), k=5).collect()}
-    assert set(got) == set(range(0, 80, 10))
+    assert set(got) == set(range(80))
     for i, (m, s) in got.items():
-        best = np.sort(-np.linalg.norm(x[5::10] - x[i], axis=1))[-5:]
+        best = np.sort(-np.linalg.norm(x[::5] - x[i], axis=1))[-5:]
         assert np.allclose((m, s), (best.mean(), best.std(ddof=1)))
+
+
+def test_archives_of_files(spark, tmp_path):
+    rows = [(f"d/{i}.txt", bytes([i]) * i) for i in range(20)]
+    df = spark.createDataFrame(rows, "name string, content binary")
+    for kind in ("tar", "zip"):
+        got = packages.members(packages.packed(df, "name", "content", kind)).collect()
+        assert sorted((r.name, bytes(r.content)) for r in got) == sorted(rows)
+    raw = packages.packed(df.coalesce(1), "name", "content").first().content
+    (tmp_path / "a.tar").write_bytes(bytes(raw))
+    assert packages.members(binary.files(spark, str(tmp_path), "*.tar")).count() == 20
+
+
+def test_artifacts_of_every_kind(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.5, 2.0], ("x", 3), "t", [4, -5], None), (2, None, None, None, [6], ["z"])], "k long, a array<double>, s struct<p:string,q:int>, t string, w array<int>, l array<string>")
+    got = packages.write_artifacts(df.drop("l"), "k", str(tmp_path / "out"), {"w": "wav"}).collect()
+    assert sorted((r.key, r.field, r.kind) for r in got) == [("1", "a", "npy"), ("1", "s", "json"), ("1", "t", "json"), ("1", "w", "wav"), ("2", "w", "wav")]
+    by = {(r.key, r.field): bytes(r.content) for r in got}
+    assert by["1", "s"] == b'{"p":"x","q":3}' and by["1", "t"] == b'{"value":"t"}' and binary.read_range(by["1", "w"]) == (16000, 1, [4, -5])
+    with pytest.raises(ValueError, match="list"):
+        packages.artifact(df, "l")
+
+
+def test_registries(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.yaml").write_text("one: {path: /x}\ntwo: {path: /y, kind: z}\nthree: 5\n")
+    (tmp_path / "b.yaml").write_text("two: {path: /w}\nfour: {other: 1}\n")
+    monkeypatch.setenv(packages.REGISTRY, f"{tmp_path}/a.yaml: {tmp_path}/b.yaml:")
+    assert packages.registry(spark) == {"one": "/x", "two": "/w"} and packages.registry(spark, []) == {}
+
+
+def test_files_of_a_kind(spark, tmp_path):
+    m = np.arange(6, dtype="<f4").reshape(2, 3)
+    (tmp_path / "m.ark").write_bytes(binary.archive_bytes([("u1", m), ("u2", m + 1)]))
+    np.save(tmp_path / "n.npy", m)
+    got = {r.key: (r.shape, r["values"]) for r in packages.arrays_of(spark, str(tmp_path), "ark").collect()}
+    assert got == {"u1": ([2, 3], m.ravel().tolist()), "u2": ([2, 3], (m + 1).ravel().tolist())}
+    (r,) = packages.arrays_of(spark, str(tmp_path), "npy").collect()
+    assert (r.key, r.shape, r["values"]) == ("n", [2, 3], m.ravel().tolist())
+    for kind in ("hdf5", "other"):
+        with pytest.raises(ValueError):
+            packages.arrays_of(spark, str(tmp_path), kind)
+
+
+def test_recordings(spark):
+    line = '{"id": "r1", "sampling_rate": 8000, "duration": 1.5, "sources": [{"type": "file", "channels": [0], "source": "a/r1.wav"}]}'
+    rows = spark.createDataFrame([(line,), ("no json",)], "value string")
+    assert [tuple(r) for r in packages.recordings(rows).collect()] == [("r1", "a/r1.wav", 0.0, 1.5, 8000)]
+    assert packages.recordings(rows, spark.createDataFrame([("r2",)], "key string")).count() == 0
+
+
+def test_midi(spark):
+    notes = [(0.0, 0.5, "do", 60), (0.5, 1.25, "ré", 62), (2.0, 2.5, "", 64)]
+    raw = packages.midi_bytes(120, notes)
+    assert packages.midi_notes(raw) == (120, notes)
+    # Two tracks, running status, a note that ends by velocity 0, and a change of tempo at the second beat.
+    tempo = b"\x00\xff\x51\x03\x07\xa1\x20" + b"\x60\xff\x51\x03\x0f\x42\x40" + b"\x00\xff\x2f\x00"
+    track = b"\x00\x90\x3c\x40" + b"\x81\x40\x3c\x00" + b"\x00\xff\x2f\x00"
+    chunk = lambda t: b"MTrk" + len(t).to_bytes(4, "big") + t
+    raw = b"MThd\x00\x00\x00\x06\x00\x01\x00\x02\x00\x60" + chunk(tempo) + chunk(track)
+    assert packages.midi_notes(raw) == (120, [(0.0, 0.5 + 1.0, "", 60)])
+    with pytest.raises(ValueError):
+        packages.midi_notes(b"RIFF")
