@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import word_errors, words
+from corpusloom.operators import ranks
 
 
 def _or_dot(text: Column) -> Column:
@@ -31,20 +32,19 @@ def char_error_counts(df: DataFrame, ref: str, hyp: str) -> DataFrame:
 
 
 def detection_curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(score, tps, fps, p, n): at each distinct score, from the highest down, how many of either label have at least
-    this score. Rows are added up by score before the running sums."""
-    g = df.groupBy(score).agg(F.sum(F.col(label).cast("bigint")).alias("_p"), F.sum(1 - F.col(label).cast("bigint")).alias("_q"))
-    w, whole = Window.orderBy(F.desc(score)), Window.partitionBy()
-    return g.select(F.col(score).alias("score"), F.sum("_p").over(w).alias("tps"), F.sum("_q").over(w).alias("fps"), F.sum("_p").over(whole).alias("p"), F.sum("_q").over(whole).alias("n"))
+    """(score, at_p, at_n, tps, fps, p, n): at each distinct score, how many of either label have it, how many have at
+    least it, and how many there are. Rows are added up by score before the running sums, which go slice by slice."""
+    g = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("bigint")).alias("at_p"), F.sum(1 - F.col(label).cast("bigint")).alias("at_n"))
+    whole = g.agg(F.sum("at_p").alias("p"), F.sum("at_n").alias("n"))
+    return ranks.running_all(g, [-F.col("score")], {"tps": F.col("at_p"), "fps": F.col("at_n")}).crossJoin(F.broadcast(whole))  # broadcast: one row
 
 
 def equal_error_rate(df: DataFrame, score: str, label: str) -> DataFrame:
     """Where misses and false alarms are nearest on the curve without its collinear points, the larger of both in per
-    cent."""
-    c = detection_curve(df, score, label)
-    w = Window.orderBy(F.desc("score"))
-    bend = lambda x: F.lead(x).over(w) - 2 * F.col(x) + F.coalesce(F.lag(x).over(w), F.lit(0))
-    kept = c.withColumns({"_b": bend("tps"), "_f": bend("fps")}).filter("_b IS NULL OR _b <> 0 OR _f <> 0")
+    cent. A point bends the curve if the next one adds other numbers of either label; the last one stays too."""
+    c = ranks.numbered(detection_curve(df, score, label), [-F.col("score")], "place")
+    after = c.select((F.col("place") - 1).alias("place"), F.col("at_p").alias("next_p"), F.col("at_n").alias("next_n"))
+    kept = c.join(after, "place", "left").filter(F.col("next_p").isNull() | (F.col("next_p") != F.col("at_p")) | (F.col("next_n") != F.col("at_n")))
     start = c.agg(F.max("p").alias("p"), F.max("n").alias("n")).select(F.lit(0).cast("bigint").alias("tps"), F.lit(0).cast("bigint").alias("fps"), "p", "n")
     rates = kept.select("tps", "fps", "p", "n").unionByName(start).select((1 - F.col("tps") / F.col("p")).alias("fnr"), (F.col("fps") / F.col("n")).alias("fpr"))
     best = F.min_by(F.greatest("fnr", "fpr"), F.struct(F.abs(F.col("fnr") - F.col("fpr")).alias("gap"), "fpr"))

@@ -37,16 +37,24 @@ def _slice(df: DataFrame, order: list[Column]) -> Column:
     return between(0, len(fixed))
 
 
-def running(df: DataFrame, order: Sequence[str | Column], value: Column, name: str) -> DataFrame:
-    """Adds the sum of value (whole numbers, no nulls) over all rows up to this one in ascending order. Rows that tie in
-    the order come in any order."""
-    order = _columns(order)
-    sliced = df.withColumns({"_value": value.cast("bigint"), "_slice": _slice(df, order)})
-    sums = {r["_slice"]: r["n"] for r in sliced.groupBy("_slice").agg(F.sum("_value").alias("n")).collect()}  # a row a slice
-    before = list(accumulate((sums.get(i, 0) for i in range(max(sums, default=0) + 1)), initial=0))
-    carried = F.array(*[F.lit(b).cast("bigint") for b in before])[F.col("_slice")]
+def running_all(df: DataFrame, order: Sequence[str | Column], values: dict[str, Column]) -> DataFrame:
+    """Adds, for each name, the sum of its value (whole numbers, no nulls) over all rows up to this one in ascending
+    order. Rows that tie in the order come in any order."""
+    order, names = _columns(order), list(values)
+    sliced = df.withColumns({**{f"_value{i}": values[n].cast("bigint") for i, n in enumerate(names)}, "_slice": _slice(df, order)})
+    sums = {r["_slice"]: r for r in sliced.groupBy("_slice").agg(*[F.sum(f"_value{i}").alias(f"n{i}") for i in range(len(names))]).collect()}  # a row a slice
     w = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return sliced.withColumn(name, F.sum("_value").over(w) + carried).drop("_value", "_slice")
+    out = {}
+    for i, name in enumerate(names):
+        before = list(accumulate((sums[k][f"n{i}"] if k in sums else 0 for k in range(max(sums, default=0) + 1)), initial=0))
+        carried = F.array(*[F.lit(b).cast("bigint") for b in before])[F.col("_slice")]
+        out[name] = F.sum(f"_value{i}").over(w) + carried
+    return sliced.withColumns(out).drop(*[f"_value{i}" for i in range(len(names))], "_slice")
+
+
+def running(df: DataFrame, order: Sequence[str | Column], value: Column, name: str) -> DataFrame:
+    """The same of one value."""
+    return running_all(df, order, {name: value})
 
 
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "place") -> DataFrame:

@@ -61,3 +61,14 @@ def first_mismatch(notes: DataFrame, key: str, order: str, syllable: str, phone:
     want = F.coalesce(own, F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     wrong = notes.withColumn("_wrong", ~F.col(phone).eqNullSafe(want))
     return wrong.groupBy(key).agg(F.count("*").alias("notes"), F.min(F.when(F.col("_wrong"), F.col(order))).cast("bigint").alias("mismatch"))
+
+
+def real_time_factors(lines: DataFrame, frame: float = 0.01) -> DataFrame:
+    """(log, busy_us, parts, rtf) of log lines (column value: dec.NAME.log:time number text): each line that states a
+    speech length begins a part, the next line of its log ends it; the parts' time in all, and over that of their frames."""
+    part = lambda i: F.regexp_extract("value", r"^dec\.([^:]*)\.log:(\S+ \S+) (\d+) (.*)$", i)
+    rows = lines.select(part(1).alias("log"), F.unix_micros(F.to_timestamp(part(2), "yyyy-MM-dd HH:mm:ss,SSSSSS")).alias("at"), part(3).cast("bigint").alias("number"), F.try_to_number(F.regexp_extract("value", r"speech length: (\d+)", 1), F.lit("999999999999")).cast("bigint").alias("frames"))
+    w = Window.partitionBy("log").orderBy("at", "number")
+    ended = rows.withColumn("end", F.lead("at").over(w)).filter("frames IS NOT NULL AND end IS NOT NULL")
+    busy = F.sum(F.col("end") - F.col("at"))
+    return ended.groupBy("log").agg(busy.alias("busy_us"), F.count("*").alias("parts"), (busy / (F.sum("frames") * frame * 1e6)).alias("rtf"))

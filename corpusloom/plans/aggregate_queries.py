@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import keyed, scans
+from corpusloom.operators import keyed, metrics, scans, sequential
 from corpusloom.plans.registry import query
 from corpusloom.session import table
 
@@ -73,10 +73,15 @@ def means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("event_type").agg(F.avg(F.when(~F.isnan("v"), F.col("v"))).alias("plain"), (F.sum(F.when(ok, F.col("v") * F.col("w"))) / F.sum(F.when(ok, F.col("w")))).alias("weighted"))
 
 
-@query("A9_error_rate", "SELECT source, sum(doc_id % 3 + doc_id % 5)::DOUBLE / sum(n_chars) AS rate, avg(n_chars) AS mean FROM documents GROUP BY source")
+@query("A9_error_rate", """
+WITH p AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[ \\n]+'), lambda w: w <> '') AS r FROM benchmark)
+SELECT item_id % 5 AS test_set, sum(len(r) // 7) / sum(len(r))::DOUBLE AS rate, avg(len(r)) AS mean_words FROM p GROUP BY 1""")
 def error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.groupBy("source").agg((F.sum(F.col("doc_id") % 3 + F.col("doc_id") % 5) / F.sum("n_chars")).alias("rate"), F.avg("n_chars").alias("mean"))
+    """Errors of alignments over the words of their references, by test set; here every seventh word is deleted."""
+    w = F.filter(F.split(F.lower("text"), "[ \n]+"), lambda x: x != "")
+    b = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 5).alias("test_set"), sequential.edit_counts(w, F.filter(w, lambda x, i: (i + 1) % 7 != 0)).alias("c"), F.size(w).alias("n")).select("test_set", "n", "c.*")
+    errors, words_ = F.sum(F.col("insertions") + F.col("deletions") + F.col("substitutions")), F.sum(F.col("hits") + F.col("deletions") + F.col("substitutions"))
+    return b.groupBy("test_set").agg((errors / words_).alias("rate"), F.avg("n").alias("mean_words"))
 
 
 @query("A10_duration_by_pair", "SELECT coalesce(l_returnflag, 'all') AS src, coalesce(l_linestatus, 'all') AS tgt, sum(l_quantity)::BIGINT AS total FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -135,13 +140,16 @@ def collapsed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("score"), F.min_by("o_orderstatus", "o_orderkey").alias("label"))
 
 
-@query("A16_real_time_factor", "SELECT user_id, sum(epoch_us(b) - epoch_us(a))::BIGINT AS busy_us, count(*)::BIGINT AS parts FROM (SELECT user_id, ts AS a, lead(ts) OVER w AS b, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE r % 2 = 1 AND b IS NOT NULL GROUP BY user_id")
+@query("A16_real_time_factor", "SELECT user_id, sum(epoch_us(b) - epoch_us(a))::BIGINT AS busy_us, count(*)::BIGINT AS parts, sum(epoch_us(b) - epoch_us(a)) / (sum(v) * 1e4)::DOUBLE AS rtf FROM (SELECT user_id, event_id % 1000 + 1 AS v, ts AS a, lead(ts) OVER w AS b, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE r % 2 = 1 AND b IS NOT NULL GROUP BY user_id")
 def real_time_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Start and end lines of a log paired by order, and the time between them."""
+    """Start and end lines of decoders' logs, read by patterns, paired by order; the time between them, and over that of
+    the frames (10 ms each) that the start lines name."""
+    e = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    e = table(spark, sf_dir, "events").select("user_id", t.alias("a"), F.lead(t).over(w).alias("b"), F.row_number().over(w).alias("r"))
-    return e.filter("r % 2 = 1 AND b IS NOT NULL").groupBy("user_id").agg(F.sum(F.col("b") - F.col("a")).alias("busy_us"), F.count("*").alias("parts"))
+    place = F.row_number().over(w)
+    said = F.when(place % 2 == 1, F.concat(F.lit("INFO: speech length: "), (F.col("event_id") % 1000 + 1).cast("string"))).otherwise("INFO: best hypo: x")
+    lines = e.withColumn("said", said).select(F.concat(F.lit("dec."), "user_id", F.lit(".log:"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss,SSSSSS"), F.lit(" "), F.col("event_id").cast("string"), F.lit(" "), "said").alias("value"))
+    return scans.real_time_factors(lines).select(F.col("log").cast("bigint").alias("user_id"), "busy_us", "parts", "rtf")
 
 
 @query("A17_perplexity", "SELECT source, round_even(exp(sum(n_chars * 0.25) / sum(n_chars % 97 + n_chars)) * 1e6, 0)::BIGINT AS ppl_ppm FROM documents GROUP BY source")
@@ -202,9 +210,9 @@ SELECT score, sum(p) OVER (ORDER BY score) / sum(p) OVER ()::DOUBLE AS fnr, 1 -
 def error_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Miss and false-alarm rates at every threshold. Scores are added up first, so the running sums, which need one
     order, run over distinct scores alone."""
-    g = scores(spark, sf_dir).groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-    w, whole = Window.orderBy("score"), Window.partitionBy()
-    return g.select("score", (F.sum("p").over(w) / F.sum("p").over(whole)).alias("fnr"), (1 - F.sum("q").over(w) / F.sum("q").over(whole)).alias("fpr"))
+    c = metrics.detection_curve(scores(spark, sf_dir), "score", "label")
+    below = lambda at, tps, p: (F.col(p) - F.col(tps) + F.col(at)) / F.col(p)  # noqa: E731  of the scores up to this one
+    return c.select("score", below("at_p", "tps", "p").alias("fnr"), (1 - below("at_n", "fps", "n")).alias("fpr"))
 
 
 @query("W2_merged_runs", "SELECT user_id, min(event_id) AS first_event, event_type, count(*)::BIGINT AS n, avg(value) AS mean FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, island, event_type")

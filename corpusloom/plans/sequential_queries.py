@@ -107,9 +107,10 @@ def interpolated_eer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the straight line between curve points meets equal misses and false alarms."""
     from corpusloom.plans.aggregate_queries import scores
 
-    c = metrics.detection_curve(scores(spark, sf_dir), "score", "label").select("score", (F.col("tps") / F.col("p")).alias("tpr"), (F.col("fps") / F.col("n")).alias("fpr"))
-    w = Window.orderBy(F.desc("score"))
-    l = c.withColumns({"t0": F.coalesce(F.lag("tpr").over(w), F.lit(0.0)), "f0": F.coalesce(F.lag("fpr").over(w), F.lit(0.0))}).filter("tpr + fpr >= 1").orderBy(F.desc("score")).limit(1)
+    c = metrics.detection_curve(scores(spark, sf_dir), "score", "label")
+    rate = lambda x, total: F.col(x) / F.col(total)
+    c = c.select("score", rate("tps", "p").alias("tpr"), rate("fps", "n").alias("fpr"), ((F.col("tps") - F.col("at_p")) / F.col("p")).alias("t0"), ((F.col("fps") - F.col("at_n")) / F.col("n")).alias("f0"))
+    l = c.filter("tpr + fpr >= 1").orderBy(F.desc("score")).limit(1)
     step = F.col("tpr") - F.col("t0") + F.col("fpr") - F.col("f0")
     x = F.when(step == 0, F.col("fpr")).otherwise(F.col("f0") + (F.col("fpr") - F.col("f0")) * (1 - F.col("f0") - F.col("t0")) / step)
     return l.select(F.rint(x * 1e9).cast("bigint").alias("eer_ppb"))
