@@ -2,7 +2,8 @@
 in toxic texts, a vector of its own; a window is the mean of its words, and a linear softmax over that mean tells toxic windows. Vectors and
 softmax are trained jointly in numpy.
 
-A text is as toxic as its worst window, so one insult in a long text is not averaged away. Labels are of texts, so
+A text is as toxic as its worst window (an extension of the averaged bag: over a whole text, one insult among a
+thousand words would be averaged away). Labels are of texts, so
 windows of toxic texts count as toxic if they hold a word that is far more common in toxic texts; windows of clean
 texts are drawn at random and, as training goes on, where the model errs. Half of the words are replaced by misspelt
 variants, which have no vector of their own, so that n-grams have to carry the meaning. As all is linear up to the
@@ -34,8 +35,9 @@ WINDOW = 3
 SAMPLE, MORE_CLEAN = 800, 6000
 SAMPLE_CHARS = 6_000
 PIECE = 500
-#: Log odds from which a word tells toxic texts, and where REJECT lies between the labels.
-TELLING, MARGIN = 2.3, 0.3
+#: Log odds from which a word tells toxic texts, where REJECT lies between the labels, and the share of clean labels
+#: that may be doubted.
+TELLING, MARGIN, DOUBTFUL = 2.3, 0.3, 0.015
 #: Share of words that training takes for words never seen.
 UNSEEN = 0.3
 REJECT = 0.7
@@ -349,7 +351,7 @@ def fit(texts: list[str], labels: np.ndarray, more_clean: Iterable[str] = (), ro
     del vectors, own, held, local, doc_of, room, clean, once  # scoring takes memory of its own
     # From the worst window to the text: a logistic curve that has REJECT a little above nearly all clean texts.
     s = model.worst([texts[i] for i in kept])
-    low = max(np.quantile(s[labels == 0], 0.998), np.quantile(s[unlearnt], 0.97) if unlearnt.any() else -np.inf)
+    low = max(np.quantile(s[labels == 0], 1 - DOUBTFUL), np.quantile(s[unlearnt], 0.97) if unlearnt.any() else -np.inf)
     gap = max(np.quantile(s[labels == 1], 0.5) - low, 0.5)
     a = 6 / gap
     return Model(logit, *words_own, model.bias, float(np.median(s[labels == 0])), float(a), float(np.log(REJECT / (1 - REJECT)) - a * (low + MARGIN * gap)))
