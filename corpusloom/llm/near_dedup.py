@@ -302,13 +302,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row of each group of near duplicates, that of the smallest id; null ids come last, and of rows with one id any
     stays. Rows with one id, null too, are rows of their own here; texts without words all stay."""
     number = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    if not docs.groupBy(number.alias("_id")).count().filter("count > 1").head(1):
-        keep = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id")).distinct()
-        return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
+    own, row = "_own", "_row"  # names that docs does not have
+    while own in docs.columns or row in docs.columns:
+        own, row = own + "_", row + "_"
+    ids = docs.select(number.alias(own))
+    if not ids.groupBy(own).count().filter("count > 1").head(1):
+        keep = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(own)).distinct()
+        return docs.join(keep, F.col(id_col).eqNullSafe(F.col(own)), "left_semi")
     rows = kept(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     groups = near_duplicates(rows, row, text_col).select(row, "component_id")
-    keep = groups.join(rows.select(row, number.alias("_id")), row).groupBy("component_id").agg(F.min(F.struct("_id", row)).alias("_least"))
-    return rows.join(keep.select(F.col("_least")[row].alias(row)), row, "left_semi").select(*docs.columns)
+    keep = groups.join(rows.select(row, number.alias(own)), row).groupBy("component_id").agg(F.min(F.struct(own, row)).alias("least"))
+    return rows.join(keep.select(F.col("least")[row].alias(row)), row, "left_semi").select(*docs.columns)

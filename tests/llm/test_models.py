@@ -417,6 +417,51 @@ def test_pieces_come_from_all_over_a_text(spark):
     assert found == sorted(found) and max(np.diff([0, *found, 9000])) < 1200
 
 
+def plain_scores(model, texts):
+    """Each text's score word by word, with whole numbers, from the model's tables."""
+    mask, odd = (1 << 64) - 1, int(toxicity._ODD)
+    values, seeds = [int(v) for v in common.stream(256, 21)], [int(v) for v in common.stream(16, 22)]
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    known = dict(zip(model.known.tolist(), model.own.tolist()))
+    letter = lambda c: c >= 128 or chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789"
+    out = []
+    for text in texts:
+        b = [c if letter(c) else 32 for c in (text or "").encode().lower()]
+        words = bytes(b).split()
+        logits = []
+        for w in words:
+            padded, total, n = b" " + w + b" ", 0.0, 0
+            for size in toxicity.GRAMS:
+                for i in range(len(padded) - size + 1):
+                    h = 0
+                    for c in padded[i : i + size]:
+                        h = (h * odd + values[c]) & mask
+                    total, n = total + model.bucket[mixed((h + seeds[size]) & mask) >> (64 - toxicity.BUCKETS_LOG2)], n + 1
+            h = sum(values[c] * pow(odd, k, 1 << 64) for k, c in enumerate(w)) & mask
+            logits.append(total / max(1, n) + known.get(mixed((h + len(w)) & mask), 0.0))
+        k = toxicity.WINDOW
+        windows = [sum(logits[i : i + k]) / k for i in range(len(logits) - k + 1)] if len(logits) > k else [sum(logits) / len(logits)] if logits else []
+        worst = model.bias + max(windows) if windows else model.empty
+        out.append(1 / (1 + math.exp(-min(40, max(-40, model.a * worst + model.b)))))
+    return out
+
+
+def test_scores_are_those_of_a_plain_scorer(spark, small):
+    df, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = toxicity.trained(df, labels)
+    texts = {r.doc_id: r.text for r in df.collect()}
+    got = {r.doc_id: r.score for r in queries.op9_toxicity(spark, small).collect()}
+    some = sorted((i for i, t in texts.items() if len(t or "") < 3000))[:60]
+    assert np.allclose([got[i] for i in some], plain_scores(model, [texts[i] for i in some]), atol=1e-9)
+    odd = ["", None, "a", "A b!", "é" * 9, "x y z w", " \n "]
+    assert np.allclose(model.score(odd), plain_scores(model, odd), atol=1e-9)
+
+
 # --- language model
 
 
@@ -519,6 +564,40 @@ def test_pipeline_stage_by_stage(spark):
     assert sorted({r.doc_id for r in packed.collect()}) == ids(masked)
 
 
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, clashing columns: every stage keeps the columns and what is clean."""
+    words_ = [f"w{i}" for i in range(60)]
+    text = lambda k: " ".join(words_[(k * 7 + i * i) % 60] for i in range(40))
+    rows = [(None, text(1)), (None, text(2)), (5, text(3)), (5, text(3)), (5, text(4)), (6, None), (6, None), (7, ""), (8, text(5) + " mail a.b@c.de")]
+    names = "_id long, _text string, _row long, item_id long, toxic int, score double, rank int, length long"
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5, 6.0, 7, 8) for i, t in rows], f"doc_id long, text string, {names}")
+    spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    key = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=repr)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, df, str(tmp_path))
+        assert after.columns == df.columns, name
+        want = rows if name != "minhash_near_dedup" else rows[:3] + rows[4:]
+        if name == "pii":
+            assert [t for _, t in key(after) if t and "[EMAIL]" in t] and len(key(after)) == len(rows)
+        else:
+            assert key(after) == sorted(want, key=repr), name
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in packed) == sorted(str(i) for i, _ in rows) and all(r.length >= 1 for r in packed)
+
+
+def test_pipeline_leaves_no_scratch(spark, small):
+    import os
+    from urllib.parse import urlparse
+
+    base = urlparse(common.shared_dir(spark)).path
+    before = set(os.listdir(base))
+    corpus_pipeline.run(spark, small).write.format("noop").mode("overwrite").save()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(base)) - before}
+    assert left <= {"pipeline-pii"}  # what the last stage reads
+
+
 def test_pipeline_of_an_empty_table(spark, small, tmp_path):
     import shutil
 

@@ -133,6 +133,18 @@ def test_all_documents_for_personal_data(spark, small):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in want) for x in PLAIN]
 
 
+def test_keys_and_tokens():
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert [x[:3] for x in pii.find(f'a token = "{key}" b')] == [("secret", 11, 51)]
+    assert pii.find(f"commit {key} of") == [] and pii.find("token: " + "a" * 40) == [] and pii.find("password " + "ab1" * 200) == []
+    assert pii.redacted(f"key {key}!", pii.find(f"key {key}!")) == "key [SECRET]!"
+    began = time.time()
+    assert pii.find("token " + "ab1-" * 300_000) == [] and time.time() - began < 5
+    many = " ".join(f"u{i}@m{i}.org 123-45-6789 ssn" for i in range(20_000))
+    began = time.time()
+    assert sum(k == "ssn" for k, *_ in pii.find(many)) == 20_000 and time.time() - began < 20
+
+
 def test_personal_data_of_odd_rows(spark):
     got = pii.digest(docs(spark, (1, None), (1, ""), (None, "x@y.z"), (1, "x@y.z"))).collect()
     assert len(got) == 4 and sum(r.n_email for r in got) == 2
@@ -252,6 +264,30 @@ def test_jump_hashing_moves_rows_to_the_new_shard_only():
         assert ((a == b) | (b == n)).all() and abs((b == n).mean() - 1 / (n + 1)) < 0.02 and a.max() < n
 
 
+def plain_jump(key, shards):
+    """The published loop, one key at a time."""
+    b, j = -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) & ((1 << 64) - 1)
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_shards_of_the_table(spark, small):
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    hashes = {r.doc_id: r.h & ((1 << 64) - 1) for r in table.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in table.collect()}
+    got = queries.op7_sharding(spark, small).collect()
+    slots = {}
+    for r in got:
+        raw = texts[r.doc_id]
+        assert (r.size, r.text_crc32, r.law) == (len(raw) + 16, zlib.crc32(raw), "key")
+        assert (r.shard, r.grown_shard) == (plain_jump(hashes[r.doc_id], 40), plain_jump(hashes[r.doc_id], 41)) and r.grown_shard in (r.shard, 40)
+        slots.setdefault(r.shard, []).append((r.doc_id, r.slot))
+    assert len(got) == len(texts) and all([s for _, s in sorted(x)] == list(range(len(x))) for x in slots.values())
+
+
 def test_shards_of_odd_rows(spark):
     df = docs(spark, (1, None), (1, "é"), (1, "é"), (None, "a"), (None, "b"), *((i, "t") for i in range(2, 400)))
     got = sharding.assign(df, 7).collect()
@@ -312,6 +348,22 @@ def test_both_tokenizer_libraries_agree(text):
     assert packing.token_ids(text) == packing._slow(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
 
 
+def test_libraries_agree_over_the_border(monkeypatch):
+    """Texts just below and above the length from which the slower library takes over."""
+    monkeypatch.setattr(packing, "LONG", 4000)
+    base = "Näive  text, 12 ſ!\n\tand\u00a0more… ééé 日本語 " * 140
+    for n in (3990, 3999, 4000, 4001, 4010, 5000):
+        text = base[:n]
+        slow = packing._slow(packing_vocabulary()).encode(text, add_special_tokens=False).ids
+        assert packing.token_ids(text) == slow == packing._fast(packing_vocabulary("tiktoken")).encode_ordinary(text)
+
+
+def packing_vocabulary(kind="json"):
+    import public_tokenizers
+
+    return public_tokenizers.path(f"byte_bpe_50k.{kind}")
+
+
 def test_packed_documents(spark, small):
     import numpy as np
     import public_tokenizers
