@@ -130,12 +130,15 @@ def _modelled(encode: Callable[[list[str]], list[list[str]]]) -> Callable[[Colum
 
 
 def tokens(text: Column, kind: str, model: str | None = None, delimiter: str | None = None, lexicon: dict[str, list[str]] | None = None) -> Column:
-    """Tokens by a kind of tokenizer: word, char, phn (phones by the lexicon, or parted by spaces), bpe (a piece model),
+    """Tokens by a kind of tokenizer: word, char, jaso (letters and marks of the characters), phn (phones by the lexicon, or parted by spaces), bpe (a piece model),
     hugging_face, whisper or qwen2audio (a tokenizer file). The last three need the path of their file."""
     if kind == "word":
         return T.words(text, delimiter)
     if kind == "char":
         return T.chars(text)
+    if kind == "jaso":
+        apart = _each(lambda t: unicodedata.normalize("NFKD", t))
+        return T.chars(apart(text))
     if kind == "phn":
         parts = T.words(text)
         if not lexicon:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import keyed, scans, sequential
+from corpusloom.operators import keyed, scans, sequential, signals
 from corpusloom.plans.registry import query
 from corpusloom.session import table
 
@@ -38,9 +38,12 @@ def chained_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch")).groupBy("epoch").agg(F.count("*").alias("n"))
 
 
-@query("Z2_shapes", "SELECT vec_id::VARCHAR || ' ' || len(embedding) || ',1' AS line FROM embeddings")
+@query("Z2_shapes", "SELECT vec_id::VARCHAR || ' 7,4' AS line FROM embeddings")
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(" "), F.size("embedding").cast("string"), F.lit(",1")).alias("line"))
+    """Shapes of feature matrices as a manifest's lines, of the matrices themselves."""
+    m = signals.log_mel(sequential.spectrogram(F.col("embedding")), bands=4)
+    size = F.concat(F.size("m").cast("string"), F.lit(","), F.size(F.col("m")[0]).cast("string"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", m.alias("m")).select(F.concat(F.col("vec_id").cast("string"), F.lit(" "), size).alias("line"))
 
 
 @query("Z3_silence_trimming", """

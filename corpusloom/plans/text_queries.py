@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import cleaners
 from corpusloom.functions import text as T
 from corpusloom.operators import ranks
 from corpusloom.plans.registry import query
@@ -240,3 +241,16 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("G3_map_inversion", "SELECT lang, list_sort(list(DISTINCT source)) AS sources FROM documents GROUP BY lang")
 def map_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, "lang", "source").groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+
+
+@query("F7_lexicon_phones", "SELECT item_id, array_to_string(list_transform(list_filter(string_split_regex(lower(text), '[ \\n]+'), lambda w: w <> ''), lambda w: CASE w WHEN 'the' THEN 'DH AH' WHEN 'of' THEN 'AH V' WHEN 'der' THEN 'D EH R' ELSE '<unk>' END), ' ') AS phones FROM benchmark")
+def lexicon_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phones of words by a lexicon; words that it lacks are marked."""
+    lexicon = {"the": ["DH", "AH"], "of": ["AH", "V"], "der": ["D", "EH", "R"]}
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(cleaners.tokens(F.lower("text"), "phn", lexicon=lexicon), " ").alias("phones"))
+
+
+@query("F8_jaso")
+def jaso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters taken apart into letters and marks; tests hold them against the Unicode tables."""
+    return table(spark, sf_dir, "benchmark").select("item_id", "text", cleaners.tokens(F.concat("text", F.lit(" 한국")), "jaso").alias("tokens"))

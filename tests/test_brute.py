@@ -1,6 +1,7 @@
 """Queries that SQL cannot state, over whole tables, against plain versions in Python."""
 
 import math
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -90,6 +91,11 @@ def test_tokens_by_name(spark):
             of(kind)
 
 
+def test_letters_and_marks(spark, small, bench):
+    for r in found(spark, small, "F8_jaso"):
+        assert r.tokens == ["<space>" if c == " " else c for c in unicodedata.normalize("NFKD", r.text + " 한국")] and len(r.tokens) > len(r.text) + 3
+
+
 def test_edit_counts(spark, small, bench):
     rows = found(spark, small, "F20_edit_counts")
     assert len(rows) == len(bench)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import keyed, metrics, ranks, scans, sequential
+from corpusloom.operators import jobs, keyed, metrics, ranks, scans, sequential
 from corpusloom.sources import manifests
 
 
@@ -143,3 +143,59 @@ def test_the_rest_stands_without_the_optional_subpackage(tmp_path):
     shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env=os.environ | {"PYTHONPATH": str(tmp_path / "repo")})
+
+
+def test_user_code_on_samples(spark):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(2500)], "k long, t string")
+    one = jobs.each_sample(df, "k", lambda k, r: {"k": k, "n": len(r["t"])}, "k long, n int")
+    assert {(r.k, r.n) for r in one.collect()} == {(i, len(f"t{i}")) for i in range(2500)}
+    many = jobs.each_sample(df, "k", lambda k, r: None if k % 2 else ({"k": k, "n": j} for j in range(k % 3)), "k long, n int")
+    assert many.count() == sum(i % 3 for i in range(0, 2500, 2))
+    for f, says in ((lambda k, r: {"other": 1}, "no \\['other'\\]"), (lambda k, r: {"n": "x"}, None)):
+        with pytest.raises(Exception, match=says):
+            jobs.each_sample(df, "k", f, "k long, n int").collect()
+    both = jobs.transformed(df, None, lambda d: d.filter("k < 10"), lambda d: d.withColumn("u", F.upper("t")))
+    assert {r.u for r in both.collect()} == {f"T{i}" for i in range(10)}
+
+
+def test_jobs_and_measures(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 3) for i in range(30)], "k long, g long")
+    got = jobs.map_merge(df, "k", lambda k, r: {"g": r["g"], "x": float(k)}, "g long, x double", str(tmp_path / "out"), lambda d: d.groupBy("g").agg(F.sum("x").alias("x")))
+    assert {r.g: r.x for r in got.collect()} == {g: float(sum(range(g, 30, 3))) for g in range(3)}
+    m = jobs.measured({"size": lambda d: d.agg(F.count("*").alias("n"), F.max("k").alias("top"))}, {"a": df, "b": df.filter("k < 5")})
+    assert sorted(map(tuple, m.collect())) == [("size", "a", "n", 30.0), ("size", "a", "top", 29.0), ("size", "b", "n", 5.0), ("size", "b", "top", 4.0)]
+
+
+def test_datasets_that_build_themselves(spark, tmp_path):
+    class Numbers:
+        def __init__(self, works=True):
+            self.source, self.works, self.calls = False, works, []
+
+        def is_source_prepared(self):
+            return self.source
+
+        def prepare_source(self):
+            self.calls.append("prepare")
+            self.source = self.works
+
+        def is_built(self):
+            return (tmp_path / "t").exists()
+
+        def build(self, spark):
+            self.calls.append("build")
+            spark.range(5).write.parquet(self.path())
+
+        def path(self):
+            return str(tmp_path / "t")
+
+    with pytest.raises(RuntimeError):
+        jobs.built(spark, Numbers(works=False))
+    n = Numbers()
+    assert jobs.built(spark, n).count() == jobs.built(spark, n).count() == 5 and n.calls == ["prepare", "build"]
+
+
+def test_things_named_in_a_configuration():
+    made = jobs.from_config({"a": {"_target_": "datetime.date", "year": 2020, "month": 1, "day": 2}, "b": [1, {"c": 2}]}, ("datetime",))
+    assert str(made["a"]) == "2020-01-02" and made["b"] == [1, {"c": 2}]
+    with pytest.raises(ValueError, match="not under"):
+        jobs.from_config({"_target_": "os.system", "command": "true"}, ("datetime",))
