@@ -134,10 +134,10 @@ def stream(n: int, seed: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-@lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(2)
+def _tables(chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Values of bytes, powers of an odd number and of its inverse, and which bytes separate words."""
-    n = CHUNK + 1
+    n = chunk + 1
     up, down = np.full(n, _ODD, np.uint64), np.full(n, pow(_ODD, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     apart = np.zeros(256, bool)
@@ -145,9 +145,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return stream(256, 1), np.multiply.accumulate(up), np.multiply.accumulate(down), apart
 
 
-def _hashed(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes and word starts of at most CHUNK bytes."""
-    value, up, down, apart = _tables()
+def _hashed(buf: bytes, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes and word starts of at most `chunk` bytes."""
+    value, up, down, apart = _tables(chunk)
     b = np.frombuffer(buf, np.uint8)
     gap = np.concatenate(([True], apart[b], [True]))
     edge = np.flatnonzero(gap[1:] != gap[:-1])
@@ -163,46 +163,47 @@ PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() els
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def word_hashes(texts: list[str | None], spelling: bytes = _LOWER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_hashes(texts: list[str | None], spelling: bytes = _LOWER, chunk: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yields (first, last, hashes, bounds) for runs of texts: 64-bit hashes of their words, after each byte's change by
     `spelling`, where
-    text first + i has the words bounds[i]:bounds[i + 1]. A run has about CHUNK bytes; a longer text is hashed in
-    pieces cut at white space, and a word of more than CHUNK bytes by Python."""
+    text first + i has the words bounds[i]:bounds[i + 1]. A run has about `chunk` bytes, CHUNK by default; a longer text
+    is hashed in pieces cut at white space, and a word of more bytes by Python."""
+    chunk = chunk or CHUNK
     with np.errstate(over="ignore"):
         at = 0
         while at < len(texts):
             parts, size, end = [], 0, at
-            while end < len(texts) and (not parts or size < CHUNK):
+            while end < len(texts) and (not parts or size < chunk):
                 parts.append((texts[end] or "").encode("utf-8", "surrogatepass").translate(spelling))
                 size += len(parts[-1]) + 1
-                if size > CHUNK and len(parts) > 1:
+                if size > chunk and len(parts) > 1:
                     parts.pop()
                     break
                 end += 1
-            if len(parts) == 1 and len(parts[0]) >= CHUNK:
-                h = np.concatenate(list(_pieces(parts[0])))
+            if len(parts) == 1 and len(parts[0]) >= chunk:
+                h = np.concatenate(list(_pieces(parts[0], chunk)))
                 yield at, end, h, np.array([0, len(h)])
             else:
-                h, start = _hashed(b" ".join(parts))
+                h, start = _hashed(b" ".join(parts), chunk)
                 offsets = np.cumsum([0] + [len(p) + 1 for p in parts])
                 yield at, end, h, np.searchsorted(start, offsets)
             at = end
 
 
-def _pieces(b: bytes) -> Iterator[np.ndarray]:
+def _pieces(b: bytes, chunk: int) -> Iterator[np.ndarray]:
     """Hashes of the words of a text of any length."""
-    value, up, down, apart = _tables()
+    value, up, down, apart = _tables(chunk)
     at = 0
     while at < len(b):
-        end = min(len(b), at + CHUNK)
+        end = min(len(b), at + chunk)
         if end < len(b):
             near = np.flatnonzero(apart[np.frombuffer(b, np.uint8, end - at, at)])
             if len(near):
                 end = at + int(near[-1]) + 1
-            else:  # one word of more than CHUNK bytes: the same sum, block by block
+            else:  # one word of more than a chunk: the same sum, block by block
                 total, power, done = 0, 1, at
                 while done < len(b):
-                    block = np.frombuffer(b, np.uint8, min(CHUNK, len(b) - done), done)
+                    block = np.frombuffer(b, np.uint8, min(chunk, len(b) - done), done)
                     stop = np.flatnonzero(apart[block])
                     block = block[: stop[0]] if len(stop) else block
                     total = (total + power * int(np.sum(value[block] * up[: len(block)], dtype=np.uint64))) & _MASK
@@ -212,7 +213,7 @@ def _pieces(b: bytes) -> Iterator[np.ndarray]:
                 yield mix(np.array([(total + done - at) & _MASK], np.uint64))
                 at = done
                 continue
-        yield _hashed(b[at:end])[0]
+        yield _hashed(b[at:end], chunk)[0]
         at = end
 
 

@@ -24,6 +24,8 @@ from corpusloom.llm.common import kept, mix, new_folder, small_batches, text_sli
 
 #: Tokens counted at once by a task, and tokens for each shard.
 BUFFER, PER_SHARD = 1_200_000, 1_500_000
+#: Bytes of text that are looked up together: a word of all of them is looked up once.
+RUN = 1 << 20
 #: 2 ** MOST_BITS shards at most, so they grow beyond 1e11 tokens (some 500 GB of text); partitions that make them.
 MOST_BITS, MOST_PARTS = 16, 20_000
 #: A context of at least 1/HOT of all tokens is dealt over all shards; at most HOT contexts are.
@@ -43,7 +45,7 @@ def _ids(hashes: np.ndarray) -> np.ndarray:
 
 def _tokens(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, last, token hashes, contexts, bounds) of runs of texts: a text's words and END, after BEGIN."""
-    for first, last, words, bounds in word_hashes(texts):
+    for first, last, words, bounds in word_hashes(texts, chunk=RUN):
         n = len(bounds) - 1
         tokens = np.insert(words, bounds[1:], END)
         bounds = bounds + np.arange(n + 1)
