@@ -12,9 +12,13 @@ maximum, scoring needs one number for each n-gram bucket and each known word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import pickle
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -173,13 +177,14 @@ def _flat(text: str) -> str:
     return np.where(_LETTER[b], b, np.uint8(32)).tobytes().decode("utf-8", "replace")
 
 
-def _word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _word_features(words: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """N-gram buckets of the words one after another, how many each word has, and the words' hashes; block by block, as
     features takes some hundred bytes for each of the text."""
-    buckets, per, hashes = [], [], []
-    for at in range(0, len(words), 8192):
-        bucket, word, own, start = features(" ".join(words[at : at + 8192]).encode("utf-8", "surrogatepass"))
-        if len(start) != len(words[at : at + 8192]):
+    buckets, per, hashes = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    words = iter(words)
+    while some := list(islice(words, 4096)):
+        bucket, word, own, start = features(" ".join(some).encode("utf-8", "surrogatepass"))
+        if len(start) != len(some):
             raise AssertionError("words and features do not agree")
         buckets.append(bucket[np.argsort(word, kind="stable")])
         per.append(np.bincount(word, minlength=len(start)))
@@ -187,6 +192,13 @@ def _word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.concatenate(buckets), np.concatenate(per), np.concatenate(hashes)
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system where the C library can; else a worker keeps it while others need it."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _once(texts: list[str]) -> list[int]:
     """Places of texts of which no earlier one is a near copy, by eight minima of their words' hashes; else the words of
     a copied toxic text would count as common in toxic texts."""
@@ -216,14 +228,14 @@ def fit(texts: list[str], labels: np.ndarray, more_clean: Iterable[str] = (), ro
     numbers: dict[str, int] = {}
     docs = []
     for t in texts:
-        docs.append(np.array([numbers.setdefault(w, len(numbers)) for w in _flat(t).split(" ") if w], np.int64))
+        docs.append(np.array([numbers.setdefault(w, len(numbers)) for w in _flat(t).split(" ") if w], np.int32))
     kept = [i for i, d in enumerate(docs) if len(d)]
     docs, labels = [docs[i] for i in kept], labels[kept]
     if not len(docs) or labels.min() == labels.max():
         return _constant(float(np.mean(labels)) if len(labels) else 0.01)
     vocabulary = list(numbers)
     n_words = len(vocabulary)
-    bucket, per, hashes = _word_features(vocabulary + [_misspelt(w, rng) for w in vocabulary])
+    bucket, per, hashes = _word_features(chain(vocabulary, (_misspelt(w, rng) for w in vocabulary)))
     hashes = hashes[:n_words]
     first = np.concatenate(([0], np.cumsum(per)))
     used = np.flatnonzero(np.bincount(bucket, minlength=1 << BUCKETS_LOG2))  # only buckets that occur have to be trained
@@ -233,9 +245,10 @@ def fit(texts: list[str], labels: np.ndarray, more_clean: Iterable[str] = (), ro
     del bucket, numbers
 
     flat_words, bounds = np.concatenate(docs), np.concatenate(([0], np.cumsum([len(d) for d in docs])))
-    doc_of = np.repeat(np.arange(len(docs)), np.diff(bounds))
-    room = np.minimum(WINDOW, bounds[doc_of + 1] - np.arange(len(flat_words)))  # a window ends with its text
-    once = np.unique(doc_of * n_words + flat_words)
+    doc_of = np.repeat(np.arange(len(docs), dtype=np.int32), np.diff(bounds))
+    room = np.minimum(WINDOW, bounds[doc_of + 1] - np.arange(len(flat_words))).astype(np.int8)  # a window ends with its text
+    del docs
+    once = np.unique(doc_of.astype(np.int64) * n_words + flat_words)
     in_texts = [np.bincount((once % n_words)[labels[once // n_words] == k], minlength=n_words) for k in (0, 1)]
     doubtful = {w: i for i, w in enumerate(vocabulary) if in_texts[1][i] >= 3 and in_texts[0][i] < in_texts[1][i]}
     n_more = 0
@@ -389,6 +402,8 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
             if clean == sample:
                 break
         model = fit([t for _, t in taken], np.array([y for y, _ in taken], np.int64), (t for _, t in found))
+        del taken
+        _give_back()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     said = together.mapInArrow(run, "model binary").collect()
