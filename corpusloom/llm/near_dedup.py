@@ -17,6 +17,7 @@ threshold is ruled out in 1e-6 of cases), so that texts which only share a passa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -37,8 +38,8 @@ SKETCHED, LEAST_AGREEING = 192, 130
 SKETCH = tuple(f"s{i}" for i in range(SKETCHED // 32))
 #: Members compared with one hub in one task.
 PER_HUB = 256
-#: Members on either side of a block.
-BLOCK = 256
+#: Members on either side of a block, and members of a group beyond which it is parted by set sizes.
+BLOCK, BANDED = 256, 1024
 #: Stands for a null id inside; the largest, so it never names a component that has another id.
 NO_ID = (1 << 63) - 1
 
@@ -178,19 +179,34 @@ def _largest(members: DataFrame) -> DataFrame:
     return parts.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("group"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
 
 
+def _in_bands(members: DataFrame) -> DataFrame:
+    """Members of groups of more than BANDED by their set sizes, as cells of a group: a size is in one band, a band is in
+    two cells, and sets that can be similar are in one band or in neighbouring ones, so they share the cell of the larger
+    one. Smaller groups are one cell, -1."""
+    sizes = members.groupBy("group").agg(F.count("*").alias("_all"))
+    # A band is a little wider than the ratio of sizes that can be similar, so rounding does not part two of them.
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.005 * 100 / PERCENT)).cast("int")
+    banded = members.join(sizes, "group").withColumn("band", F.when(F.col("_all") > BANDED, band).otherwise(-1))
+    cells = F.when(F.col("band") < 0, F.array(F.lit(-1))).otherwise(F.array(F.col("band"), F.col("band") + 1))
+    return banded.drop("_all").withColumn("cell", F.explode(cells))
+
+
 def _blocks(members: DataFrame, *more: str) -> DataFrame:
-    """Members of groups dealt into blocks of at most about BLOCK strays (left) against BLOCK members (right), sorted
-    by block. A group that fits one block has all its members on the right, strays marked."""
-    sizes = members.groupBy("group").agg(F.ceil(F.sum(F.col("stray").cast("int")) / BLOCK).cast("int").alias("_s"), F.ceil(F.count("*") / BLOCK).cast("int").alias("_a"))
-    sized = members.join(sizes, "group")
+    """Members of groups' cells dealt into blocks of at most about BLOCK strays (left) against BLOCK members (right),
+    sorted by block. A cell that fits one block has all its members on the right, strays marked; one without strays has
+    nothing to compare."""
+    members = _in_bands(members)
+    strays = F.sum(F.col("stray").cast("int"))
+    sizes = members.groupBy("group", "cell").agg(F.ceil(strays / BLOCK).cast("int").alias("_s"), F.ceil(F.count("*") / BLOCK).cast("int").alias("_a")).filter("_s > 0")
+    sized = members.join(sizes, ["group", "cell"])
     single = (F.col("_s") <= 1) & (F.col("_a") <= 1)
     own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.greatest(F.col(n), F.lit(1))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
-    row = ["group", "_i", "_j", "left", "id", "comp", "stray", "n", *SKETCH, *more]
+    row = ["group", "cell", "_i", "_j", "left", "id", "comp", "stray", "n", "band", *SKETCH, *more]
     right = sized.withColumns({"_j": own("_a", 1), "left": F.lit(False)}).withColumn("_i", every("_s"))
     left = sized.filter(F.col("stray") & ~single).withColumns({"_i": own("_s", 2), "left": F.lit(True)}).withColumn("_j", every("_a"))
     both = right.select(row).unionByName(left.select(row))
-    return both.repartition("group", "_i", "_j").sortWithinPartitions("group", "_i", "_j", "id", "left")
+    return both.repartition("group", "cell", "_i", "_j").sortWithinPartitions("group", "cell", "_i", "_j", "id", "left")
 
 
 def _each_block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -198,10 +214,10 @@ def _each_block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+        keys = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
         edges = [0, *(np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1), batch.num_rows]
         for a, b in zip(edges[:-1], edges[1:]):
-            if held and any(held[-1].column(i)[0] != batch.column(i)[a] for i in range(3)):
+            if held and any(held[-1].column(i)[0] != batch.column(i)[a] for i in range(4)):
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(a, b - a))
@@ -211,7 +227,9 @@ def _each_block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _meeting(block: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """Row numbers of the pairs in a block, stray first, that sizes and sketches allow; and the block's columns."""
-    col = {x: block.column(x).to_numpy() for x in ("id", "comp", "n", "left", "stray")}
+    col = {x: block.column(x).to_numpy() for x in ("id", "comp", "n", "left", "stray", "band")}
+    cell = block.column("cell")[0].as_py()
+    larger = col["band"] == cell  # of a pair, one at least: both in the band before meet in the cell before
     sketch = np.stack([block.column(x).to_numpy() for x in SKETCH], 1).view(np.uint64)
     right = np.flatnonzero(~col["left"])
     left = np.flatnonzero(col["left"]) if col["left"].any() else right[col["stray"][right]]
@@ -220,6 +238,7 @@ def _meeting(block: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndar
         a = left[at : at + 64]
         n_a, n_b = col["n"][a][:, None], col["n"][right][None, :]
         ok = (col["comp"][a][:, None] != col["comp"][right][None, :]) & (100 * n_a >= PERCENT * n_b) & (100 * n_b >= PERCENT * n_a)
+        ok &= larger[a][:, None] | larger[right][None, :]
         i, j = np.nonzero(ok & (~col["stray"][right][None, :] | (col["id"][a][:, None] < col["id"][right][None, :])))
         x = sketch[a[i]] ^ sketch[right[j]]
         agree = SKETCHED - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1)

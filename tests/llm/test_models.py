@@ -100,8 +100,17 @@ def edited(w, rnd, n):
     return w
 
 
-def test_near_duplicates_by_brute_force(spark, monkeypatch):
+def test_sizes_that_can_be_similar_share_a_cell():
+    band = lambda n: math.floor(math.log(n) / math.log(1.005 * 100 / near_dedup.PERCENT))
+    for n in [*range(1, 3000), *(10**k + d for k in range(4, 9) for d in (-1, 0, 1))]:
+        most = 100 * n // near_dedup.PERCENT
+        assert band(most) - band(n) in (0, 1)
+
+
+@pytest.mark.parametrize("banded", [1024, 2])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, banded):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "BANDED", banded)
     monkeypatch.setattr(near_dedup, "PER_HUB", 4)
     rnd = random.Random(3)
     base = [[f"w{rnd.randrange(3000)}" for _ in range(rnd.randrange(60, 200))] for _ in range(8)]
