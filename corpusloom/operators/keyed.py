@@ -100,10 +100,11 @@ MULTIPLIER, MODULUS = 103349, 71147
 def duplicate_cap(df: DataFrame, text: str, order: str, most: int) -> DataFrame:
     """Rows whose text comes fewer than `most` times stay; of the others each stays with probability most / count, by
     a fixed linear congruential sequence that advances over those rows in order."""
-    counts = df.groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("_n"))
-    over = df.join(counts, F.col(text).eqNullSafe(F.col("_text"))).drop("_text")
-    drawn = ranks.running(over, [order], (F.col("_n") >= most).cast("int"), "_j").withColumn("_draw", F.col("_j") * MULTIPLIER % MODULUS)
-    return drawn.filter((F.col("_n") < most) | (F.col("_draw") < most * MODULUS / F.col("_n"))).drop("_n", "_j", "_draw")
+    common = df.groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= most)
+    same = F.col(text).eqNullSafe(F.col("_text"))
+    over = ranks.numbered(cut(df.join(common, same).drop("_text")), [order], "_j")
+    drawn = over.filter((F.col("_j") + 1) * MULTIPLIER % MODULUS < most * MODULUS / F.col("_n")).drop("_n", "_j")
+    return df.join(common.drop("_n"), same, "left_anti").unionByName(drawn)
 
 
 def trials(df: DataFrame, key: str, group: str, enrols: Column, targets: int, others: int, seed: int = 0) -> DataFrame:
