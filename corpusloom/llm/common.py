@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -15,6 +14,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import shared_dir
+
 #: White space that separates words: space and U+0009 to U+000D.
 SPACES = bytes([9, 10, 11, 12, 13, 32])
 #: Bytes of text hashed at once; bounds the memory of a Python worker.
@@ -53,25 +54,12 @@ def text_slices(column: pa.Array, rows: int = 1000) -> Iterator[tuple[int, list[
         at = end
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where a local session has none (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known is None:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not held.isDefined() and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        known = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(known)
-    return known
-
-
 #: Folders and broadcasts made so far that release() has not taken away.
 _SCRATCH: list = []
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _SCRATCH.append(path)
     return path
 
