@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a slice, slices at most, and rows that are looked at for each bound between slices.
-PER_SLICE, MOST_SLICES, LOOKED_AT = 1_000_000, 1000, 32
+PER_SLICE, MOST_SLICES, LOOKED_AT = 100_000, 1000, 32
+#: Bounds up to which a row's slice is found by compiled conditions.
+COMPILED = 128
 
 
 def _columns(order: Sequence[str | Column]) -> list[Column]:
@@ -27,14 +29,32 @@ def _slice(df: DataFrame, order: list[Column]) -> Column:
     types = [f.dataType for f in some.schema["k"].dataType.fields]
     bounds = [r.k for r in some.orderBy("k").collect()][LOOKED_AT - 1 :: LOOKED_AT][: n - 1]
     fixed = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))]) for b in bounds]
+    return _compiled(key, fixed) if len(bounds) <= COMPILED else _interpreted(key, fixed)
+
+
+def _compiled(key: Column, bounds: list[Column]) -> Column:
+    """How many bounds are below the key, as nested conditions."""
 
     def between(first: int, last: int) -> Column:
         if first == last:
             return F.lit(first)
         half = (first + last) // 2
-        return F.when(key <= fixed[half], between(first, half)).otherwise(between(half + 1, last))
+        return F.when(key <= bounds[half], between(first, half)).otherwise(between(half + 1, last))
+
+    return between(0, len(bounds))
+
+
+def _interpreted(key: Column, bounds: list[Column]) -> Column:
+    """The same by halving over one constant array: conditions for each bound would outgrow what the engine compiles."""
+    held = F.array(*bounds)
+    state = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def halve(x: Column, _: Column) -> Column:
+        mid = F.floor((x["lo"] + x["hi"]) / 2).cast("int")
+        down = F.struct(x["lo"].alias("lo"), mid.alias("hi"))
+        return F.when(x["lo"] >= x["hi"], x).when(key <= F.get(held, mid), down).otherwise(F.struct((mid + 1).alias("lo"), x["hi"].alias("hi")))
 
-    return between(0, len(fixed))
+    return F.aggregate(F.array(*[F.lit(0)] * len(bounds).bit_length()), state, halve, lambda x: x["lo"])
 
 
 def running_all(df: DataFrame, order: Sequence[str | Column], values: dict[str, Column]) -> DataFrame:

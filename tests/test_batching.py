@@ -147,7 +147,7 @@ def test_mixed_order():
 def test_places_and_running_sums(spark, rows, monkeypatch):
     df = spark.createDataFrame([*rows, (None, 3), (None, None)], "id long, n long")
     want = [(r, i) for r, i in enumerate(sorted([n, i] for i, n in rows))]
-    for per in (10_000, 25):
+    for per in (10_000, 25, 2):
         monkeypatch.setattr(ranks, "PER_SLICE", per)
         got = ranks.numbered(df.dropna(), ["n", "id"]).orderBy("place").collect()
         assert [(r.place, [r.n, r.id]) for r in got] == want
