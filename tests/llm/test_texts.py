@@ -2,7 +2,6 @@
 
 import hashlib
 import html
-import json
 import re
 import time
 import zlib
