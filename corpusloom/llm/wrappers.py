@@ -17,10 +17,9 @@ from __future__ import annotations
 import html
 import json
 import re
-from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import Counter, OrderedDict, defaultdict
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from math import isqrt
 from typing import NamedTuple
 from zlib import crc32
 
@@ -278,13 +277,16 @@ def _same(a: list, b: list) -> bool:
 
 def _raised(a: list, b: list) -> list:
     """a with what b knows as a repeated group and a has once turned into that group."""
+    single = {(x[0], x[1]) for x in a if x[0] != "r"}
     for group in b:
         if group[0] != "r":
             continue
         n, i, out = len(group[1]), 0, []
         first = group[1][0][:2]
+        if first[0] == "r" or tuple(first) not in single:
+            continue  # a has nothing that it begins with
         while i < len(a):
-            if a[i][0] != "r" and (a[i][:2] == first or first[0] == "r") and _same(a[i : i + n], group[1]):
+            if a[i][0] != "r" and a[i][:2] == first and _same(a[i : i + n], group[1]):
                 out.append(["r", [list(x) for x in a[i : i + n]], all(x[2] for x in a[i : i + n])])
                 i += n
             else:
@@ -303,56 +305,73 @@ def _like(a: tuple, b: tuple) -> bool:
     return bool(a[1] & b[1]) if a[0] == b[0] == "r" else a == b
 
 
-#: Cells of an alignment's table; longer streams are aligned greedily, in time in proportion to their length.
-CELLS, AHEAD = 1_000_000, 1000
+#: Bits of an alignment's rows that are held at once, if they are more than a row for each of their number's root.
+BITS = 1 << 26
+#: A sign at more places than one in so many has their bits kept; those of a rarer one are set when they are needed.
+RARE = 1000
 
 
 def _aligned(x: list[tuple], y: list[tuple]) -> Iterator[tuple[int | None, int | None]]:
-    """A longest common alignment of signs."""
-    n, m = len(x), len(y)
-    if n * m > CELLS:
-        yield from _greedy(x, y)
-        return
-    step = [bytearray(m) for _ in range(n)]  # 0: both, 1: x alone, 2: y alone
-    below = [0] * (m + 1)
-    for i in range(n - 1, -1, -1):
-        row, own, a = [0] * (m + 1), step[i], x[i]
-        for j in range(m - 1, -1, -1):
-            if _like(a, y[j]):
-                row[j] = below[j + 1] + 1
-            elif below[j] >= row[j + 1]:
-                row[j], own[j] = below[j], 1
-            else:
-                row[j], own[j] = row[j + 1], 2
-        below = row
-    i = j = 0
-    while i < n or j < m:
-        k = 2 if i == n else 1 if j == m else step[i][j]
-        yield (i if k < 2 else None), (j if k != 1 else None)
-        i, j = i + (k < 2), j + (k != 1)
+    """A longest common alignment of signs, for any lengths: two that are alike go together, or else x's goes alone if
+    the rest has as much in common without it, or else y's.
 
-
-def _greedy(x: list[tuple], y: list[tuple]) -> Iterator[tuple[int | None, int | None]]:
-    where: dict = defaultdict(list)
+    The table of what x[i:] and y[j:] have in common is made row by row as bits (after Hyyro, 2004): bit n - 1 - i of
+    row j is 0 if x[i:] has one sign more in common with y[j:] than x[i + 1:]. Some rows are held, and the ones between
+    are made again from them, so that memory grows with the root of the rows only.
+    """
+    n, m = len(x), len(y)
     names = lambda s: [("r", p) for p in s[1]] if s[0] == "r" else [s]
+    where: dict = defaultdict(list)
     for i, s in enumerate(x):
         for k in names(s):
-            where[k].append(i)
+            where[k].append(n - 1 - i)
+    often: dict[tuple, int] = {}
+
+    def alike(s: tuple) -> int:
+        if s in often:
+            return often[s]
+        places = [at for k in names(s) for at in where.get(k, ())]
+        bits = bytearray(n // 8 + 1)
+        for at in places:
+            bits[at >> 3] |= 1 << (at & 7)
+        out = int.from_bytes(bits, "little")
+        if len(places) * RARE > n:
+            often[s] = out
+        return out
+
+    whole = (1 << n) - 1
+
+    def above(row: int, match: int) -> int:
+        both = row & match
+        return ((row + both) | (row - both)) & whole
+
+    step = max(isqrt(m) + 1, BITS // (n + 1))
+    held, row = {}, whole
+    for j in range(m - 1, step - 1, -1):
+        if (j + 1) % step == 0 or j == m - 1:
+            held[j + 1] = row
+        row = above(row, alike(y[j]))
+    held.setdefault(min(step, m), row)
     i = 0
-    for j, s in enumerate(y):
-        best = None
-        for k in names(s):
-            at = bisect_left(where.get(k, ()), i)
-            if at < len(where.get(k, ())) and where[k][at] - i <= AHEAD:
-                best = min(best, where[k][at]) if best is not None else where[k][at]
-        if best is None:
-            yield None, j
-            continue
-        for k in range(i, best):
-            yield k, None
-        yield best, j
-        i = best + 1
-    for k in range(i, len(x)):
+    for first in range(0, m, step):
+        last = min(first + step, m)
+        row, rows = held.pop(last), []
+        for j in range(last - 1, first - 1, -1):
+            match = alike(y[j])
+            row = above(row, match)
+            rows.append((match, match | (row ^ whole)))  # where x goes with y[j], and where it does not go alone
+        for j in range(first, last):
+            match, stop = rows.pop()
+            to = (stop & ((1 << (n - i)) - 1)).bit_length()
+            for k in range(i, n - to):
+                yield k, None
+            i = n - to
+            if to and match >> (to - 1) & 1:
+                yield i, j
+                i += 1
+            else:
+                yield None, j
+    for k in range(i, n):
         yield k, None
 
 
@@ -553,28 +572,17 @@ def labels(k: Known) -> Labels:
 
     return Labels(said(k.wrapper), at, but)
 
-#: Entries of a wrapper that pages are aligned with; of a longer one the entries go that one page alone has, as such a
-#: page's blocks count by their paths.
-ENTRIES = 3000
-
 
 def _to_text(x: Labels) -> str:
     """As JSON: what a page needs of its host."""
     return json.dumps([x.wrapper, x.region, sorted(x.but)], separators=(",", ":"))
 
 
-@lru_cache(1024)
 def _from_text(said: str) -> Labels:
     wrapper, region, but = json.loads(said)
     return Labels(wrapper, region, frozenset(but))
 
 
-def _slim(wrapper: list, most: int = ENTRIES) -> list:
-    if sum(1 for _ in slots(wrapper)) <= most:
-        return wrapper
-    return [e for e in wrapper if not e[2]][:most]
-
-
 def _flags(wrapper: list, shape: list) -> Iterator[tuple[int, tuple[int, int]]]:
     """(number of a text entry of the page, labels of the slot that it falls into)."""
     page = _raised(shape, wrapper)
@@ -599,10 +607,44 @@ def _numbered(shape: tuple, counter: list[int]) -> list:
     return out
 
 
-@lru_cache(4096)
-def _of_shape(said: str, shape: tuple) -> dict[int, tuple[int, int]]:
-    """Labels of the page's text entries, by aligning its stream with the wrapper."""
-    return dict(_flags(_from_text(said).wrapper, _numbered(shape, [0])))
+#: Characters of hosts' labels that a worker holds, where an entry of a page's shape counts as SHAPE of them; the host
+#: in use stays, whatever its size.
+WORKER, SHAPE = 8_000_000, 50
+
+
+class _Hosts:
+    """The hosts a worker has met last: labels, and those of the text entries of their pages' shapes."""
+
+    def __init__(self) -> None:
+        self.held: OrderedDict[str, tuple[Labels, dict[tuple, dict[int, tuple[int, int]]], list[int]]] = OrderedDict()
+        self.size = 0
+
+    def of(self, said: str, shape: tuple) -> tuple[Labels, dict[int, tuple[int, int]]]:
+        """Labels of the host, and of the page's text entries by aligning its stream with the wrapper."""
+        if said in self.held:
+            self.held.move_to_end(said)
+        else:
+            self.held[said] = _from_text(said), {}, [len(said)]
+            self.size += len(said)
+        own, shapes, size = self.held[said]
+        found = shapes.get(shape)
+        if found is None:
+            found = shapes[shape] = dict(_flags(own.wrapper, _numbered(shape, [0])))
+            size[0] += SHAPE * _entries(shape)
+            self.size += SHAPE * _entries(shape)
+        while self.size > WORKER and len(self.held) > 1:
+            self.size -= self.held.popitem(last=False)[1][2][0]
+        if self.size > WORKER and shapes:
+            shapes.clear()
+            self.size = size[0] = len(said)
+        return own, found
+
+
+_HOSTS = _Hosts()
+
+
+def _entries(shape: tuple) -> int:
+    return sum(1 + (_entries(e[1]) if e[0] == "r" else 0) for e in shape)
 
 
 def _texts(entries: Iterable[tuple]) -> Iterator[tuple]:
@@ -616,9 +658,8 @@ def _texts(entries: Iterable[tuple]) -> Iterator[tuple]:
 def main_text(page: Page, said: str) -> str:
     """The main text of a page by the labels of its host. A block for which the wrapper has no slot counts by where it
     is: in an article element, or else in the region, and in nothing that is barred."""
-    own = _from_text(said)
     entries, shape = stream(page)
-    found = _of_shape(said, shape) if len(shape) <= ENTRIES else _of_shape.__wrapped__(said, shape)
+    own, found = _HOSTS.of(said, shape)
     flags: list[tuple[int, int]] = [(0, 0)] * len(page.blocks)
     by_path: dict[int, tuple[int, int]] = {}
     for n, e in enumerate(_texts(entries)):
@@ -690,14 +731,7 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
 
 
 def _said(found: pd.Series) -> pd.Series:
-    def one(text: str) -> str:
-        k = _from_json(text)
-        own = labels(k)
-        if sum(1 for _ in slots(k.wrapper)) > ENTRIES:
-            own = labels(k._replace(wrapper=_slim(k.wrapper)))._replace(region=own.region, but=own.but)
-        return _to_text(own)
-
-    return found.map(one)
+    return found.map(lambda text: _to_text(labels(_from_json(text))))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -705,8 +739,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     text is the article, block by block (see main_text). Null and empty pages, and pages without main text, have the
     empty text; very long and very deep pages are read whole, in time in proportion to their size (what is nested deeper
-    than DEEPEST counts to the element there); rows with one id, null too, stay rows of their own; other columns are not
-    read; an empty table gives an empty result.
+    than DEEPEST counts to the element there), and aligned whole with their host's whole wrapper, in time that grows with
+    the product of their lengths where they differ; rows with one id, null too, stay rows of their own; other columns
+    are not read; an empty table gives an empty result.
     """
     rows = small_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), _host(url_col), F.col(html_col).cast("string").alias("html"))
     said = cut(infer(pages, url_col, html_col).select("host", F.pandas_udf(_said, "string")("known").alias("said")))

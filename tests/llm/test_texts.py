@@ -245,6 +245,53 @@ def test_labels_too_large_to_broadcast(spark, small, monkeypatch):
     assert sorted(map(tuple, queries.op2_html_extraction(spark, small).collect())) == want
 
 
+def test_texts_do_not_depend_on_how_long_the_wrapper_is(spark):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    page = "<body><div class=qa><p>Signed in</p><h1>{}</h1><p>{}</p>{}</div></body>"
+    few = [page.format(f"A{i}", f"one {i}", "<h4>Share this</h4>" if i % 2 else "") for i in range(4)]
+    long = page.format("A4", "one 4", "".join(f"<div class=z{name(i)}><p>part {i}</p></div>" for i in range(3100)))
+    df = spark.createDataFrame([(i, "http://h/", x) for i, x in enumerate([*few, long])], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(df).collect()}
+    assert [got[i] for i in range(4)] == [f"A{i}\none {i}" for i in range(4)]
+
+
+@pytest.mark.parametrize("bits", [1, 1 << 26])
+def test_alignment_is_a_longest_one_of_any_size(bits, monkeypatch):
+    import random
+
+    def plain(x, y):
+        like = lambda a, b: bool(a[1] & b[1]) if a[0] == b[0] == "r" else a == b
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if like(x[i], y[j]) else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < len(x) or j < len(y):
+            both = i < len(x) and j < len(y) and like(x[i], y[j])
+            alone = i < len(x) and (j == len(y) or best[i + 1][j] >= best[i][j + 1])
+            yield (i if both or alone else None), (j if both or not alone else None)
+            i, j = i + (both or alone), j + (both or not alone)
+
+    monkeypatch.setattr(wrappers, "BITS", bits, raising=False)
+    draw = random.Random(5)
+    sign = lambda k: ("r", frozenset(draw.sample(range(k), draw.randrange(min(3, k))))) if draw.random() < 0.3 else (draw.choice("oct"), draw.randrange(k))
+    for _ in range(400):
+        k = draw.choice((1, 3, 20))
+        x, y = ([sign(k) for _ in range(draw.randrange(25))] for _ in range(2))
+        assert list(wrappers._aligned(x, y)) == list(plain(x, y))
+    x = [("t", i) for i in range(1500)]
+    assert sum(i is not None and j is not None for i, j in wrappers._aligned(x, [x[900], *x])) == 1500
+
+
+def test_what_a_worker_holds_of_hosts_is_bounded(monkeypatch):
+    hosts = [[f"<body><div class=h{h}><p>Signed in</p><h1>A{i}</h1>{'<p>x</p>' * i}</div></body>" for i in range(3)] for h in "abc"]
+    want = [main_text(*pages)[1] for pages in hosts]
+    monkeypatch.setattr(wrappers, "WORKER", 0)
+    monkeypatch.setattr(wrappers, "_HOSTS", wrappers._Hosts())
+    assert [main_text(*pages)[1] for pages in hosts] == want
+    assert len(wrappers._HOSTS.held) == 1 and wrappers._HOSTS.size == sum(map(len, wrappers._HOSTS.held))
+
+
 def test_pages_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "<article>a</article>", 1), (1, "x", None, 1), (None, "http://h/", "", 1)], "page_id long, url string, html string, host int")
     assert sorted((str(r.page_id), r.text) for r in wrappers.extract(df).collect()) == [("1", ""), ("1", "a"), ("None", "")]
