@@ -136,14 +136,17 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as matrices in archives, one a batch of rows: (archive, content, keys)."""
+    """Vectors as matrices in archives, one a batch of rows: (archive, content, lines), a line for each key and the byte
+    of its matrix."""
 
     def write(batches):
         for pdf in batches:
             rows = [(str(i), np.reshape(v, (8, 8))) for i, v in zip(pdf["vec_id"], pdf["embedding"])]
-            yield pd.DataFrame({"archive": [f"a-{rows[0][0]}"], "content": [binary.archive_bytes(rows)], "keys": [[k for k, _ in rows]]})
+            if rows:
+                name, (content, offsets) = f"a-{rows[0][0]}", binary.archive_of(rows)
+                yield pd.DataFrame({"archive": [name], "content": [content], "lines": [[f"{k} {name}:{at}" for (k, _), at in zip(rows, offsets)]]})
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(write, "archive string, content binary, keys array<string>")
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(write, "archive string, content binary, lines array<string>")
 
 
 def _ppm(values: str) -> Column:
@@ -164,10 +167,7 @@ def matrix_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indexed_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same matrices, each by its line in an index: archive and byte."""
     a = _archives(spark, sf_dir)
-    # A matrix of 8 x 8 takes a key, a space, 15 bytes of mark and sizes, and 256 of numbers.
-    before = F.transform("keys", lambda k, i: F.aggregate(F.slice("keys", F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x) + 272) + F.length(k) + 1)
-    line = F.explode(F.arrays_zip(F.col("keys").alias("k"), before.alias("at"))).alias("x")
-    index = a.select("archive", line).select(F.concat("x.k", F.lit(" "), "archive", F.lit(":"), F.col("x.at").cast("string")).alias("value"))
+    index = a.select(F.explode("lines").alias("value"))
     m = packages.matrices_at(packages.archive_index(index), a.select("archive", "content"))
     return m.select("key", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), _ppm("values"))
 

@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, NumericType, StructType
@@ -152,16 +153,27 @@ def archive_index(rows: DataFrame) -> DataFrame:
     return manifests.two_columns(rows).select("key", F.regexp_extract("value", r"^(.*):(\d+)$", 1).alias("archive"), F.regexp_extract("value", r"^(.*):(\d+)$", 2).cast("bigint").alias("offset"))
 
 
-def matrices_at(index: DataFrame, archives: DataFrame) -> DataFrame:
-    """(key, shape, values) of the matrices that an index (key, archive, offset) points to in archives (archive,
-    content)."""
+#: Matrices that are read out of an archive at once.
+READ = 1000
 
-    def run(contents: pd.Series, offsets: pd.Series) -> pd.DataFrame:
-        found = [binary.matrix_at(bytes(c), int(o))[0] for c, o in zip(contents, offsets)]
-        return pd.DataFrame({"shape": [list(m.shape) for m in found], "values": [m.ravel().astype(float).tolist() for m in found]})
 
-    j = index.join(archives, "archive")
-    return j.select("key", F.pandas_udf(run, "shape array<bigint>, values array<double>")("content", "offset").alias("m")).select("key", "m.*")
+def matrices_at(index: DataFrame, archives: DataFrame) -> DataFrame:
+    """(key, shape, values) of the matrices that an index (key, archive, offset) points to in archives (archive,
+    content). An archive meets all its lines at once, so its content is moved once, however many they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # one archive's content and lines
+                content, lines = batch.column(0)[i].as_py(), batch.column(1)[i].values
+                keys, offsets = lines.field("key"), lines.field("offset").to_pylist()
+                for first in range(0, len(offsets), READ):
+                    found = [binary.matrix_at(content, o)[0] for o in offsets[first : first + READ]]
+                    shapes = pa.array([m.shape for m in found], pa.list_(pa.int64()))
+                    values = pa.array([m.ravel().astype(float) for m in found], pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([keys.slice(first, READ), shapes, values], names=["key", "shape", "values"])
+
+    lines = index.groupBy("archive").agg(F.collect_list(F.struct("key", "offset")).alias("lines"))  # as long as an index file
+    return lines.join(archives, "archive").select("content", "lines").mapInArrow(run, "key string, shape array<bigint>, values array<double>")
 
 
 def arrays_of(spark: SparkSession, path: str, kind: str) -> DataFrame:

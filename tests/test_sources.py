@@ -91,6 +91,16 @@ def test_archives_of_files(spark, tmp_path):
     assert packages.members(binary.files(spark, str(tmp_path), "*.tar")).count() == 20
 
 
+def test_an_archive_is_moved_once_for_all_its_lines(spark):
+    n = 2500  # as many copies of the archive would be 1.7 GB
+    raw, offsets = binary.archive_of([(f"u{i}", np.full((8, 8), i)) for i in range(n)])
+    archives = spark.createDataFrame([("a", raw)], "archive string, content binary")
+    index = spark.createDataFrame([(f"u{i} a:{at}",) for i, at in enumerate(offsets)], "value string")
+    got = packages.matrices_at(packages.archive_index(index), archives)
+    assert sorted((r.key, r.shape, set(r["values"])) for r in got.collect()) == sorted((f"u{i}", [8, 8], {float(i)}) for i in range(n))
+    assert "collect_list" in got._jdf.queryExecution().optimizedPlan().toString()  # lines meet before they meet the content
+
+
 def test_artifacts_of_every_kind(spark, tmp_path):
     df = spark.createDataFrame([(1, [1.5, 2.0], ("x", 3), "t", [4, -5], None), (2, None, None, None, [6], ["z"])], "k long, a array<double>, s struct<p:string,q:int>, t string, w array<int>, l array<string>")
     got = packages.write_artifacts(df.drop("l"), "k", str(tmp_path / "out"), {"w": "wav"}).collect()
