@@ -64,6 +64,14 @@ def word_errors(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(said["ref"], said["hyp"])
 
 
+def character(n: Column) -> Column:
+    """The character of a number; null if there is none."""
+    known, over = n.between(0, 0x10FFFF) & ~n.between(0xD800, 0xDFFF), n - 0x10000
+    pair = F.concat(F.hex(F.shiftright(over, 10) + 0xD800), F.hex(over.bitwiseAND(0x3FF) + 0xDC00))
+    units = F.when(n > 0xFFFF, pair).otherwise(F.lpad(F.hex(n), 4, "0"))
+    return F.when(known, F.decode(F.unhex(units), "UTF-16BE"))  # UTF-32 would take U+FEFF for a mark of order
+
+
 def time_token(seconds: Column, resolution: float = 0.02) -> Column:
     """<%.2f> of the time rounded half to even to the resolution."""
     return F.format_string("<%.2f>", F.rint(seconds / resolution) * resolution)

@@ -210,8 +210,9 @@ def tag_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("R26_id_characters", "SELECT event_id, chr((19968 + user_id)::INTEGER) AS c FROM events")
 def id_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids as characters of the CJK block."""
-    c = F.decode(F.unhex(F.hex(F.col("user_id") + 0x4E00)), "UTF-16BE")
+    """Ids as characters from the CJK block on, whatever the plane; null for numbers that are none (surrogates, and
+    beyond U+10FFFF)."""
+    c = T.character(F.col("user_id") + 0x4E00)
     return table(spark, sf_dir, "events").select("event_id", c.alias("c"))
 
 

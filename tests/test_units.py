@@ -68,6 +68,15 @@ def test_word_errors(spark):
     assert got == [1, 0, 1, 2]
 
 
+def test_characters_of_any_plane(spark, tmp_path):
+    from corpusloom.plans import registry
+
+    ids = [0, 1499, 0xFEFF - 0x4E00, 45_567, 45_568, 89_999, 559_999]  # the last three are beyond U+FFFF
+    spark.createDataFrame(list(enumerate([*ids, 0xD800 - 0x4E00, 0x110000 - 0x4E00])), "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.c for r in registry.queries()["R26_id_characters"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate([*(chr(19968 + i) for i in ids), None, None]))
+
+
 def test_tokens_of_blank_texts(spark):
     df = spark.createDataFrame([("",), ("  ",), (" a  b",)], "t string")
     assert [r[0] for r in df.select(T.words(F.col("t"))).collect()] == [[], [], ["a", "b"]]
