@@ -174,13 +174,13 @@ def indexed_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("S18_cut_manifest", "SELECT 'cut' || conv_id || '-' || turn AS id, (160 + conv_id)::INTEGER AS first, 80::BIGINT AS length FROM conversations WHERE turn % 2 = 0")
 def cut_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cuts of five milliseconds out of sounds whose samples count up, those of even turns."""
+    """Cuts of five milliseconds out of sounds of 32 bits whose samples count up, those of even turns."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
     source = F.struct(F.lit("file").alias("type"), F.array(F.lit(0)).alias("channels"), F.concat(F.lit("r"), "conv_id").alias("source"))
     recording = F.struct(F.concat(F.lit("r"), "conv_id").alias("id"), F.lit(16000).alias("sampling_rate"), F.lit(0.0625).alias("duration"), F.array(source).alias("sources"))
     named = F.concat(F.lit("cut"), "conv_id", F.lit("-"), "turn")
     rows = c.select(F.to_json(F.struct(named.alias("id"), F.lit(0.01).alias("start"), F.lit(0.005).alias("duration"), recording.alias("recording"))).alias("value"))
-    sounds = c.select("conv_id").distinct().select(F.concat(F.lit("r"), "conv_id").alias("key"), binary.wav_bytes(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: (i + F.col("conv_id")).cast("int"))).alias("content"))
+    sounds = c.select("conv_id").distinct().select(F.concat(F.lit("r"), "conv_id").alias("key"), binary.wav_bytes(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: (i + F.col("conv_id")).cast("int")), bits=32).alias("content"))
     s = packages.sound_of(packages.cuts(rows, c.filter("turn % 2 = 0").select(named.alias("key"))), sounds)
     return s.select("id", F.col("samples")[0].alias("first"), F.size("samples").cast("bigint").alias("length"))
 

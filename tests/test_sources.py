@@ -16,6 +16,24 @@ def test_sound_files(spark, tmp_path):
     assert (r.key, r.w.rate, r.w.channels, r.w.samples) == ("a", 8000, 2, list(range(160, 400)))
 
 
+@pytest.mark.parametrize("name", ["S18_cut_manifest"])
+def test_sounds_of_large_samples(spark, tmp_path, name):
+    from corpusloom.plans import registry
+
+    ids = [5, 32_200, 70_000, 2_000_000]  # the second one's samples pass 16 bits within the sound
+    spark.createDataFrame([(c, t) for c in ids for t in (0, 1)], "conv_id long, turn long").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = sorted((r["first"], r["length"]) for r in registry.queries()[name](spark, str(tmp_path)).collect())
+    assert rows == ([(320 + c + t, 160) for c in ids for t in (0, 1)] if name == "S9_sound_ranges" else [(160 + c, 80) for c in ids])
+
+
+def test_samples_that_do_not_fit(spark):
+    df = spark.createDataFrame([([0, 1 << 15],)], "x array<int>")
+    with pytest.raises(Exception, match="do not fit 16 bits"):
+        df.select(binary.wav_bytes(F.col("x"))).collect()
+    w = df.select(binary.wav_samples(binary.wav_bytes(F.col("x"), bits=32)).alias("w")).first().w
+    assert w.samples == [0, 1 << 15]
+
+
 def test_archives_of_matrices_and_vectors():
     m = np.arange(6, dtype="<f4").reshape(2, 3)
     raw = binary.archive_bytes([("u1", m), ("u2", m + 1)])
