@@ -111,9 +111,9 @@ def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("S9_sound_ranges", "SELECT conv_id, turn, 16000 AS rate, 160::BIGINT AS length, (320 + conv_id + turn)::INTEGER AS first, (479 + conv_id + turn)::INTEGER AS last FROM conversations")
 def sound_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 0.02 to 0.03 seconds of sounds whose samples count up."""
+    """From 0.02 to 0.03 seconds of sounds of 32 bits whose samples count up."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: (i + F.col("conv_id") + F.col("turn")).cast("int")).alias("x"))
-    w = c.select("conv_id", "turn", binary.wav_samples(binary.wav_bytes(F.col("x")), 0.02, 0.03).alias("w"))
+    w = c.select("conv_id", "turn", binary.wav_samples(binary.wav_bytes(F.col("x"), bits=32), 0.02, 0.03).alias("w"))
     return w.select("conv_id", "turn", "w.rate", F.size("w.samples").cast("bigint").alias("length"), F.col("w.samples")[0].alias("first"), F.element_at("w.samples", -1).alias("last"))
 
 

@@ -16,7 +16,7 @@ def test_sound_files(spark, tmp_path):
     assert (r.key, r.w.rate, r.w.channels, r.w.samples) == ("a", 8000, 2, list(range(160, 400)))
 
 
-@pytest.mark.parametrize("name", ["S18_cut_manifest"])
+@pytest.mark.parametrize("name", ["S9_sound_ranges", "S18_cut_manifest"])
 def test_sounds_of_large_samples(spark, tmp_path, name):
     from corpusloom.plans import registry
 
