@@ -9,7 +9,7 @@ are those of going through all rows one by one.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -218,8 +218,8 @@ def category_balanced(df: DataFrame, key: str, category: str, size: int, seed: i
     return placed.filter((F.col("_n") >= size) & (F.col("pos") < size)).drop("_n")
 
 
-def power_draws(df: DataFrame, key: str, group: list[str], weights: DataFrame, draws: int, seed: int = 0) -> DataFrame:
-    """(draw, group..., key): `draws` draws of a group by its weight p (weights: group..., p; few rows, adding up to
+def power_draws(df: DataFrame, key: str, group: list[str], weights: DataFrame, draws: int, seed: int = 0, others: Sequence[str] = ()) -> DataFrame:
+    """(draw, group..., key, others...): `draws` draws of a group by its weight p (weights: group..., p; few rows, adding up to
     1), each taking the group's next row in a fixed shuffle, from the first again after the last."""
     rows = sorted(map(tuple, weights.select(*group, "p").collect()))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
@@ -230,11 +230,11 @@ def power_draws(df: DataFrame, key: str, group: list[str], weights: DataFrame, d
     drawn = df.sparkSession.range(draws).select(F.col("id").alias("draw")).withColumn("_g", chosen)
     drawn = keyed.within_group(drawn, "_g", ["draw"], "_nth").drop("_size")
     named = df.sparkSession.createDataFrame([(i, *r[:-1]) for i, r in enumerate(rows)], "_g int, " + ", ".join(f"{g} {dict(df.dtypes)[g]}" for g in group))
-    pool = df.join(F.broadcast(named), group).select("_g", key, *group)
+    pool = df.join(F.broadcast(named), group).select("_g", key, *group, *others)
     pool = keyed.within_group(pool, "_g", [keyed.hashed_order(key, seed), key], "_place")
     sizes = pool.select(F.col("_g").alias("_of"), F.col("_size")).distinct()
     turn = drawn.join(F.broadcast(sizes), F.col("_g") == F.col("_of")).withColumn("_place", F.col("_nth") % F.col("_size")).select("draw", "_g", "_place")
-    return turn.join(pool.drop("_size"), ["_g", "_place"]).select("draw", *group, key)
+    return turn.join(pool.drop("_size"), ["_g", "_place"]).select("draw", *group, key, *others)
 
 
 # --- packing

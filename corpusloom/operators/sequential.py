@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.operators import ranks
+from corpusloom.session import cut
 
 
 def streamed(df: DataFrame, key: str, order: list[str], step: Callable[[object, tuple], tuple[object, tuple]], start: object, columns: list[str], schema: str) -> DataFrame:
@@ -51,18 +52,64 @@ def groups_by_duration(df: DataFrame, key: str, order: str, duration: str, most:
     return streamed(df, key, [order], step, (0, 0.0), [order, duration], f"{key} {types[key]}, {order} {types[order]}, {name} bigint")
 
 
-def batches_of_draws(df: DataFrame, key: str, order: str, size: str, bins: int, least: int = 1, most: int | None = None) -> DataFrame:
-    """(key, order, batch_id) of rows in order: a batch is closed by the row that takes it beyond bins if it has at least
-    `least` rows, or that is its most-th."""
+#: Draws that a task folds at once.
+BLOCK = 100_000
 
-    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
-        batch, n, total = state
-        n, total = n + 1, total + row[1]
-        full = (total > bins and n >= least) or (most is not None and n >= most)
-        return ((batch + 1, 0, 0) if full else (batch, n, total)), (row[0], batch)
 
-    types = dict(df.dtypes)
-    return streamed(df, key, [order], step, (0, 0, 0), [order, size], f"{key} {types[key]}, {order} {types[order]}, batch_id bigint")
+def next_starts(sizes: np.ndarray, bins: int, least: int, most: int) -> np.ndarray:
+    """For a batch begun at each row, the row after the one that closes it. A batch is closed by the row that takes it
+    beyond bins if it has at least `least` rows, or that is its most-th; one that the rows end is closed after `most`."""
+    sums = np.concatenate(([0], np.cumsum(sizes)))
+    out, at = np.arange(len(sizes)) + most, np.arange(len(sizes))
+    for n in range(most - 1, max(1, least) - 1, -1):
+        fit = at[: max(0, len(at) - n + 1)]
+        full = fit[sums[fit + n] - sums[fit] > bins]
+        out[full] = full + n
+    return out
+
+
+def batches_of_draws(df: DataFrame, order: str, size: str, bins: int, least: int, most: int) -> DataFrame:
+    """df with batch_id: batches of next_starts over all rows in order, which counts them from 0. No task holds more
+    than a block of rows. Where a block's first batch begins, `most` places can be; tasks tell for each how many batches
+    begin in the block and where the next block's first one does, the driver follows these from block to block, and
+    rows are then numbered block by block."""
+    if most > BLOCK:
+        raise ValueError(f"a batch of {most} rows is longer than a block of {BLOCK}")
+    block, place = F.floor(F.col(order) / BLOCK), F.col(order) % BLOCK
+    rows = cut(df.withColumn("_block", block))
+    # The first rows of a block close the last batch of the one before.
+    seen = rows.select(F.explode(F.when((place < most) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))).alias("_block"), order, F.col(size).cast("bigint").alias(size))
+
+    def ways(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        b = int(pdf["_block"].iloc[0])
+        rows_, after = int((pdf[order] < (b + 1) * BLOCK).sum()), next_starts(_whole(pdf[size]), bins, least, most).tolist()
+        n, last = [0] * (rows_ + most), list(range(rows_ + most))
+        for i in range(rows_ - 1, -1, -1):
+            n[i], last[i] = n[after[i]] + 1, last[after[i]]
+        return pd.DataFrame({"b": [b], "n": [n[:most]], "next": [[x - rows_ for x in last[:most]]]})
+
+    first, at, batch = {}, 0, 0
+    for r in seen.groupBy("_block").applyInPandas(ways, "b bigint, n array<bigint>, next array<bigint>").orderBy("b").toLocalIterator():
+        first[r.b] = at, batch
+        at, batch = r.next[at], batch + r.n[at]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        at, batch = first[int(pdf["_block"].iloc[0])]
+        after, begins = next_starts(_whole(pdf[size]), bins, least, most).tolist(), np.zeros(len(pdf), np.int64)
+        while at < len(pdf):
+            begins[at], at = 1, after[at]
+        return pdf.drop(columns="_block").assign(batch_id=batch - 1 + np.cumsum(begins))
+
+    schema = StructType([*df.schema.fields, StructField("batch_id", LongType())])
+    return rows.groupBy("_block").applyInPandas(fold, schema)
+
+
+def _whole(sizes: pd.Series) -> np.ndarray:
+    if sizes.isna().any():
+        raise ValueError("a row has no size")
+    return sizes.to_numpy(np.int64)
 
 
 def long_form(df: DataFrame, key: str, start: str, end: str, text: str, longest: float) -> DataFrame:

@@ -128,13 +128,11 @@ f(draw, batch, n, total) AS (SELECT draw, 0::BIGINT, 1::BIGINT, n_chars::BIGINT
 UNION ALL SELECT o.draw, f.batch + (f.total > 50000 AND f.n >= 2 OR f.n >= 40)::INT, CASE WHEN f.total > 50000 AND f.n >= 2 OR f.n >= 40 THEN 1 ELSE f.n + 1 END, CASE WHEN f.total > 50000 AND f.n >= 2 OR f.n >= 40 THEN o.n_chars ELSE f.total + o.n_chars END FROM f JOIN drawn o ON o.draw = f.draw + 1)
 SELECT draw, doc_id, batch AS batch_id FROM f JOIN drawn USING (draw)""")
 def category_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows drawn by their language's weight, a fifth more than there are, in batches of 50,000 characters. Draws go
-    through the batches in blocks of 100,000."""
+    """Rows drawn by their language's weight, a fifth more than there are, in batches of 50,000 characters over all draws
+    in turn."""
     d = _docs(spark, sf_dir)
-    drawn = batching.power_draws(d, "doc_id", ["lang"], _power(d), _draws(d), seed=7)
-    rows = drawn.join(d.select("doc_id", "n_chars"), "doc_id").withColumn("block", F.floor(F.col("draw") / 100_000))
-    batches = sequential.batches_of_draws(rows, "block", "draw", "n_chars", 50000, 2, 40)
-    return batches.join(drawn, "draw").select("draw", "doc_id", "batch_id")
+    drawn = batching.power_draws(d, "doc_id", ["lang"], _power(d), _draws(d), seed=7, others=["n_chars"])
+    return sequential.batches_of_draws(drawn.select("draw", "doc_id", "n_chars"), "draw", "n_chars", 50000, 2, 40).select("draw", "doc_id", "batch_id")
 
 
 @query("B8_dataset_power", f"WITH {_DRAWS.format(group='source, lang', weights=_DATASET_POWER, seed=8)} SELECT draw, source, lang, doc_id FROM drawn")

@@ -235,3 +235,20 @@ def test_least_assignment():
             cost = rng.integers(0, 20, (n, m)).astype(float)
             got = sequential.least_assignment(cost)
             assert len(set(got)) == n and sum(cost[i, j] for i, j in enumerate(got)) == min(sum(cost[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_batches_of_draws_run_on_over_blocks(spark, monkeypatch, seed):
+    random = np.random.default_rng(seed)
+    bins, least, most, n = [(30, 2, 5), (9, 1, 40), (10**9, 3, 7), (0, 4, 4)][seed] + ([101, 250, 140, 7][seed],)
+    sizes = random.integers(0, [20, 3, 9, 5][seed], n).tolist()
+    want, batch, held, total = [], 0, 0, 0
+    for x in sizes:
+        want.append(batch)
+        held, total = held + 1, total + x
+        if total > bins and held >= least or held >= most:
+            batch, held, total = batch + 1, 0, 0
+    monkeypatch.setattr(sequential, "BLOCK", [10, 50, 7, 100][seed])
+    df = spark.createDataFrame(list(enumerate(sizes)), "draw long, n int").repartition(3)
+    got = sequential.batches_of_draws(df, "draw", "n", bins, least, most).orderBy("draw").collect()
+    assert [(r.draw, r.n, r.batch_id) for r in got] == list(zip(range(n), sizes, want))
