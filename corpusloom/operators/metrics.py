@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +97,19 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x / norm)
 
 
+def near_distances(rows: np.ndarray, others: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """For each row the distances to its k nearest of the others, and to some more where these are hardly farther. A
+    product of matrices finds which they may be, with room for its rounding; distances are those of the differences."""
+    a, b = (rows**2).sum(1)[:, None], (others**2).sum(1)
+    squares = a + b - 2 * rows @ others.T
+    far = np.zeros(squares.shape, bool)
+    if len(b) > k:
+        room = 1e-13 * rows.shape[1] * (a + b.max())
+        far = squares > np.partition(squares, k - 1, axis=1)[:, k - 1 : k] + 2 * room  # never, where something is no number
+    for row, out in zip(rows, far):
+        yield np.sqrt(((others[~out] - row) ** 2).sum(1))
+
+
 def macro_error_rate(df: DataFrame, group: str, errors: str, n: str, worst: int = 15) -> DataFrame:
     """(macro, std, worst): error rates averaged over a group's rows, then over groups, the groups' sample deviation, and
     the sum of the `worst` groups over that number, however many there are. Rows with n = 0 do not count."""

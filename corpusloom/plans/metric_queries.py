@@ -174,6 +174,8 @@ _COHORT_SQL = "WITH q AS (SELECT * FROM embeddings), c AS (SELECT * FROM embeddi
 
 #: Vectors of a cohort that a task holds at once; a larger cohort is scored block by block.
 COHORT = 10_000
+#: Rows that are scored against a block at once.
+AT_ONCE = 128
 
 
 def _cohort_blocks(cohort: DataFrame) -> Iterator[np.ndarray]:
@@ -187,19 +189,25 @@ def _cohort_blocks(cohort: DataFrame) -> Iterator[np.ndarray]:
         yield np.array(block, float)
 
 
+def _best_scores(vectors: pd.Series, best: pd.Series, block: np.ndarray, k: int) -> pd.Series:
+    """The k best of each row's best scores so far and those against a block."""
+    out: list[np.ndarray] = []
+    for i in range(0, len(vectors), AT_ONCE):
+        x = np.array([np.asarray(v, float) for v in vectors[i : i + AT_ONCE]])
+        for b, d in zip(best[i : i + AT_ONCE], metrics.near_distances(x, block, k)):
+            out.append(np.sort(np.concatenate((np.asarray(b, float), -d)))[::-1][:k].copy())  # a view would hold all scores
+    return pd.Series(out, dtype=object)
+
+
 def _cohort_stats(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     """(vec_id, m, s): mean and sample deviation of each vector's k best scores against the cohort, which is every fifth
-    label's vectors. A row keeps the k
-    best scores of the blocks so far, which are written between blocks, so that a task holds one block only."""
+    label's vectors. A row keeps the k best scores of the blocks so far, which are written between blocks, so that a task
+    holds one block and the scores of AT_ONCE rows against it only."""
     e = table(spark, sf_dir, "embeddings")
     out = e.select("vec_id", "embedding", F.array().cast("array<double>").alias("best"))
 
     def merge(held: Broadcast) -> Callable[[pd.Series, pd.Series], pd.Series]:
-        def run(vectors: pd.Series, best: pd.Series) -> pd.Series:
-            found = (np.concatenate((np.asarray(b, float), -np.sqrt(((held.value - np.asarray(v, float)) ** 2).sum(1)))) for v, b in zip(vectors, best))
-            return pd.Series([np.sort(x)[::-1][:k] for x in found], dtype=object)
-
-        return run
+        return lambda vectors, best: _best_scores(vectors, best, held.value, k)
 
     folder = f"{shared_dir(spark)}/cohort-{uuid.uuid4().hex}"
     held = None

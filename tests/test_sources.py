@@ -1,10 +1,14 @@
 """Binary sources, streams and sequential operators on hand-made rows."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import sequential
+from corpusloom.plans import metric_queries
 from corpusloom.sources import binary, manifests, packages
 from corpusloom.streaming import stateful
 
@@ -98,6 +102,20 @@ def test_cohorts_of_several_blocks(spark, tmp_path, monkeypatch):
         assert np.allclose((m, s), (best.mean(), best.std(ddof=1)))
 
 
+def test_scores_of_a_cohort_hold_the_best_alone():
+    x = np.random.default_rng(5).normal(size=(1000, 8)).round(1)
+    x[40:90] = x[3]  # more copies than are kept
+    for block in (x[:900], x[:4]):
+        before = [np.array([-0.1, -9.0])] * len(x)
+        tracemalloc.start()
+        got = metric_queries._best_scores(pd.Series(list(x)), pd.Series(before), block, 5)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 5_000_000  # all scores would be 7 MB
+        for v, best in zip(x, got):
+            assert np.array_equal(best, np.sort(np.concatenate((before[0], -np.sqrt(((block - v) ** 2).sum(1)))))[::-1][:5])
+
+
 def test_archives_of_files(spark, tmp_path):
     rows = [(f"d/{i}.txt", bytes([i]) * i) for i in range(20)]
     df = spark.createDataFrame(rows, "name string, content binary")
