@@ -64,6 +64,56 @@ def word_errors(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(said["ref"], said["hyp"])
 
 
+#: Product of two texts' lengths from which bits in Python are faster than the built-in distance.
+BITS_FROM = 40_000
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Edit distance of two texts, a column of the table of all pairs at once as the bits of whole numbers (Myers,
+    Hyyro). A text that the other one holds in order is as far as it is shorter."""
+    if len(a) < len(b):
+        a, b = b, a
+    if in_order(b, a):
+        return len(a) - len(b)
+    at, bit = {}, 1
+    for c in a:
+        at[c] = at.get(c, 0) | bit
+        bit <<= 1
+    mask = bit - 1
+    up, down = mask, 0  # where the table rises and falls from one character of a to the next
+    for c in b:
+        eq = at.get(c, 0)
+        same = (((eq & up) + up) ^ up | eq | down) & mask
+        right = (down | mask ^ (same | up)) << 1 | 1
+        down, up = right & same, ((same & up) << 1 | mask ^ (same | right) & mask) & mask
+    return len(b) + up.bit_count() - down.bit_count()
+
+
+def in_order(part: str, whole: str) -> bool:
+    """Whether all characters of a text come in another one in the same order."""
+    rest = iter(whole)
+    return all(c in rest for c in part)
+
+
+def _quick_errors(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Distances of pairs that are long or where one text is in the other; null for the others."""
+
+    def quick(a: str | None, b: str | None) -> int | None:
+        if a is None or b is None:
+            return None
+        if len(a) * len(b) >= BITS_FROM:
+            return edit_distance(a, b)
+        a, b = (a, b) if len(a) >= len(b) else (b, a)
+        return len(a) - len(b) if in_order(b, a) else None
+
+    return pd.Series([quick(a, b) for a, b in zip(ref, hyp)], dtype="Int32")
+
+
+def letter_errors(ref: Column, hyp: Column) -> Column:
+    """Edit distance of two texts: F.levenshtein, whose time is the product of the lengths, where nothing is faster."""
+    return F.coalesce(F.pandas_udf(_quick_errors, "int")(ref, hyp), F.levenshtein(ref, hyp))
+
+
 def character(n: Column) -> Column:
     """The character of a number; null if there is none."""
     known, over = n.between(0, 0x10FFFF) & ~n.between(0xD800, 0xDFFF), n - 0x10000

@@ -1,6 +1,7 @@
 """Queries that SQL cannot state, over whole tables, against plain versions in Python."""
 
 import math
+import time
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -113,6 +114,22 @@ def test_edit_counts(spark, small, bench):
     assert (r.errors, r.words, r.wer) == (errors, words, round(errors / words * 100, 2))
 
 
+def test_letter_errors_of_pairs_of_any_length(spark):
+    from corpusloom.functions import text as T
+
+    random = np.random.default_rng(8)
+    texts = ["".join(random.choice(list("abcé😀"), n)) for n in (0, 1, 2, 31, 64, 65, 200, 300, 700)]
+    texts += [t[::2] for t in texts] + [t[1:] + "b" for t in texts]
+    pairs = [(a, b) for a in texts for b in texts]
+    want = [distance(a, b) for a, b in pairs if len(a) * len(b) < 30_000]
+    assert [T.edit_distance(a, b) for a, b in pairs if len(a) * len(b) < 30_000] == want
+    df = spark.createDataFrame([*pairs, (None, "a"), ("a", None)], "r string, h string").select(T.letter_errors(F.col("r"), F.col("h")), F.levenshtein("r", "h"))
+    assert all(a == b for a, b in df.collect())
+    began = time.time()
+    a, b = ("".join(random.choice(list("abcdefgh"), n)) for n in (60_000, 50_000))
+    assert 10_000 < T.edit_distance(a, b) < 60_000 and time.time() - began < 15  # 3e9 pairs of letters
+
+
 def test_words_of_very_long_pairs(spark):
     n = 60_000  # over what two bytes could name, with one word lost
     df = spark.createDataFrame([([f"w{i}" for i in range(n)], [f"w{i}" for i in range(n) if i != n - 2], 1)], "r array<string>, h array<string>, k int")
