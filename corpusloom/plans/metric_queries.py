@@ -11,6 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import keyed, metrics, ranks
 from corpusloom.plans.aggregate_queries import LABELS_SQL, SCORES_SQL, label_pairs, scores
 from corpusloom.plans.registry import query
@@ -280,7 +281,7 @@ def macro_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     deviation, and the worst 15 over 15, however many there are. Empty references do not count."""
     u = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(".{1,120}"), F.lit(0))).alias("u"))
     u = u.select("lang", F.lower("u").alias("r")).filter("r <> ''").withColumn("h", F.regexp_replace("r", "[aeiou]", ""))
-    return metrics.macro_error_rate(u.select("lang", F.levenshtein("r", "h").alias("errors"), F.length("r").alias("n")), "lang", "errors", "n")
+    return metrics.macro_error_rate(u.select("lang", T.letter_errors(F.col("r"), F.col("h")).alias("errors"), F.length("r").alias("n")), "lang", "errors", "n")
 
 
 @query("R15_macro_f1", f"WITH c AS ({LABELS_SQL}), k AS (SELECT t AS k FROM c UNION SELECT p FROM c), f AS (SELECT k, 2.0 * count(*) FILTER (WHERE t = k AND p = k) / (count(*) FILTER (WHERE t = k) + count(*) FILTER (WHERE p = k)) AS f1 FROM c CROSS JOIN k GROUP BY k) SELECT avg(f1) AS macro_f1 FROM f")

@@ -130,6 +130,16 @@ def test_letter_errors_of_pairs_of_any_length(spark):
     assert 10_000 < T.edit_distance(a, b) < 60_000 and time.time() - began < 15  # 3e9 pairs of letters
 
 
+def test_texts_in_order_need_no_table(spark, small):
+    import pandas as pd
+
+    from corpusloom.functions import text as T
+
+    quick = T._quick_errors(pd.Series(["abcd", "bd", "ab", None]), pd.Series(["bd", "abcd", "xy", "a"]))
+    assert quick[:2].tolist() == [2, 2] and quick[2:].isna().all()  # the others are left to the built-in distance
+    assert "_quick_errors" in registry.queries()["R14_macro_by_group"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_words_of_very_long_pairs(spark):
     n = 60_000  # over what two bytes could name, with one word lost
     df = spark.createDataFrame([([f"w{i}" for i in range(n)], [f"w{i}" for i in range(n) if i != n - 2], 1)], "r array<string>, h array<string>, k int")
