@@ -280,17 +280,17 @@ def midi_notes(content: bytes) -> tuple[int, list[tuple[float, float, str, int]]
 def score_of_midi(content: Column) -> Column:
     """Tempo and notes of a MIDI file, as binary.score_of_json gives them."""
 
-    def read(xs: pd.Series) -> pd.Series:
-        return pd.Series([json.dumps(dict(zip(("tempo", "note"), midi_notes(bytes(x))))) for x in xs])
+    def read(xs: pa.Array) -> pa.Array:
+        return pa.array((json.dumps(dict(zip(("tempo", "note"), midi_notes(x.as_py())))) for x in xs), pa.string())
 
-    return binary.score_of_json(F.pandas_udf(read, "string")(content))
+    return binary.score_of_json(F.arrow_udf(read, "string")(content))
 
 
 def midi_of(tempo: int, notes: Column) -> Column:
-    """MIDI files of arrays of (start, end, lyric, pitch)."""
+    """MIDI files of arrays of (start, end, lyric, pitch). One file's notes at a time are Python's, not a batch's."""
 
-    def write(xs: pd.Series) -> pd.Series:
-        return pd.Series([midi_bytes(tempo, [(n["start"], n["end"], n["lyric"], int(n["pitch"])) for n in x]) for x in xs])
+    def write(xs: pa.Array) -> pa.Array:
+        return pa.array((midi_bytes(tempo, [(n["start"], n["end"], n["lyric"], n["pitch"]) for n in x.as_py()]) for x in xs), pa.binary())
 
-    return F.pandas_udf(write, "binary")(notes)
+    return F.arrow_udf(write, "binary")(notes)
 

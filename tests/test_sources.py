@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,19 @@ def test_midi(spark):
     assert packages.midi_notes(raw) == (120, [(0.0, 0.5 + 1.0, "", 60)])
     with pytest.raises(ValueError):
         packages.midi_notes(b"RIFF")
+
+
+def test_midi_files_take_the_notes_of_one_at_a_time(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(packages.F, "arrow_udf", lambda f, t, real=F.arrow_udf: made.append(f) or real(f, t))
+    packages.score_of_midi(packages.midi_of(120, F.col("notes")))
+    write, read = made
+    notes = [{"start": i * 0.5, "end": i * 0.5 + 0.5, "lyric": f"l{i}", "pitch": 60 + i % 12} for i in range(100)]
+    held = pa.array([notes] * 500)
+    tracemalloc.start()
+    files = write(held)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 5_000_000  # the notes of all would be over 15 MB
+    assert [packages.midi_notes(f.as_py()) for f in files[:2]] == [(120, [tuple(n.values()) for n in notes])] * 2
+    assert len(set(read(files).to_pylist())) == 1
