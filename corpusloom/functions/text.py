@@ -25,6 +25,13 @@ def words(text: Column, delimiter: str | None = None) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def split_words(text: str) -> list[str]:
+    """A text between runs of spaces and line ends, as a split by [ \\n]+ gives it, though in another order: empty words
+    stand for a run at an end, and for an empty text."""
+    ends = text[:1] in ("", " ", "\n"), text[-1:] in (" ", "\n")
+    return [w for w in text.replace("\n", " ").split(" ") if w] + [""] * sum(ends)
+
+
 def without_punctuation(text: Column) -> Column:
     """No punctuation but apostrophes and <space>; spaces squeezed."""
     held = F.replace(text, F.lit("<space>"), F.lit("\ue000"))

@@ -5,6 +5,10 @@ Order that decides a result is always an explicit column. Nothing is broadcast b
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +97,48 @@ def within_group(df: DataFrame, group: str, order: list[str | Column], name: str
     return placed.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col(name) - F.col("_first")).drop("_group", "_first")
 
 
+#: Tokens that every task knows, the most common ones; the others' occurrences are moved to meet their counts. Distinct
+#: tokens that a task counts before it gives their counts on. Texts that it takes apart at once.
+COMMON, HELD, AT_ONCE = 400_000, 200_000, 200
+
+
+def unknown_tokens(df: DataFrame, key: str, text: str, tokens: Callable[[str], list[str]], least: int) -> DataFrame:
+    """(key, tokens, unknown): how many tokens each key's texts have and how many of them come fewer than `least` times
+    in all. Tasks count tokens before they are shuffled, and of the occurrences only those of tokens that are not among
+    the COMMON most common ones are."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[str] = Counter()
+        for batch in batches:
+            for t in batch.column(0):
+                if t.is_valid:
+                    n.update(tokens(t.as_py()))
+                if len(n) > HELD:
+                    yield pa.RecordBatch.from_pydict({"_tok": list(n), "_n": list(n.values())})
+                    n.clear()
+        yield pa.RecordBatch.from_pydict({"_tok": pa.array(n, pa.string()), "_n": pa.array(n.values(), pa.int64())})
+
+    counts = cut(df.select(text).mapInArrow(count, "_tok string, _n bigint").groupBy("_tok").agg(F.sum("_n").alias("_n")))
+    top = counts.filter(F.col("_n") >= least).orderBy(F.desc("_n"), "_tok").limit(COMMON)
+    known = df.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in top.select("_tok").collect()))
+
+    def others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = known.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, AT_ONCE):
+                keys, texts = batch.slice(i, AT_ONCE).columns
+                said = [tokens(t) if t is not None else [] for t in texts.to_pylist()]
+                rest = pa.array([[w for w in words if w not in common] for words in said], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(map(len, said), pa.int64()), rest], names=[key, "tokens", "_rest"])
+
+    held = cut(df.select(key, text).mapInArrow(others, f"{key} {dict(df.dtypes)[key]}, tokens bigint, _rest array<string>")).filter("tokens > 0")
+    rare = counts.filter(F.col("_n") < least).select("_tok")
+    met = held.select(key, F.explode("_rest").alias("_tok")).join(rare, "_tok", "left_semi")
+    none = F.lit(0).cast("bigint")
+    parts = held.select(key, "tokens", none.alias("unknown")).unionByName(met.select(key, none.alias("tokens"), F.lit(1).cast("bigint").alias("unknown")))
+    return parts.groupBy(key).agg(F.sum("tokens").alias("tokens"), F.sum("unknown").alias("unknown"))
+
+
 #: Multiplier and modulus of the sequence that thins out duplicates.
 MULTIPLIER, MODULUS = 103349, 71147
 

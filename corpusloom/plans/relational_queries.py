@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import keyed, ranks
 from corpusloom.plans.registry import query
 from corpusloom.session import table
@@ -93,10 +94,7 @@ v AS (SELECT tok FROM w GROUP BY tok HAVING count(*) >= 10)
 SELECT doc_id, count(*)::BIGINT AS tokens, count(*) FILTER (WHERE v.tok IS NULL)::BIGINT AS unknown FROM w LEFT JOIN v ON w.tok = v.tok GROUP BY doc_id""")
 def vocabulary_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens outside the vocabulary become <UNK>; counted for each document."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "[ \n]+")).alias("tok"))
-    vocab = words.groupBy("tok").count().filter("count >= 10").select("tok", F.lit(True).alias("known"))
-    out = words.join(vocab, "tok", "left").withColumn("out", F.when(F.col("known"), F.col("tok")).otherwise("<UNK>"))
-    return out.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_if(F.col("out") == "<UNK>").alias("unknown"))
+    return keyed.unknown_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", T.split_words, 10)
 
 
 @query("P12_key_tokens", "SELECT c_custkey, array_to_string(list_filter(string_split(c_name || '#a#b', '#'), lambda x, i: i <> 2), '_') AS key FROM customer")

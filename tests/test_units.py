@@ -1,6 +1,7 @@
 """Operators on hand-made rows with known results."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,23 @@ def test_duplicate_cap_follows_its_sequence(spark, monkeypatch):
     assert kept == [i for i in range(60) if i >= 40 or (i + 1) * 103349 % 71147 < 5 * 71147 / 20]
 
 
+@pytest.mark.parametrize("text", ["", " ", "\n \n", "a", " a", "a\n", "\n a  b\n\nc ", "a\tb c\u00a0d"])
+def test_split_words(spark, text):
+    assert sorted(T.split_words(text)) == sorted(re.split("[ \n]+", text))
+    assert sorted(T.split_words(text)) == sorted(spark.createDataFrame([(text,)], "t string").select(F.split("t", "[ \n]+")).first()[0])
+
+
+def test_unknown_tokens(spark, monkeypatch):
+    rows = [(1, "a b a "), (2, "a b c"), (2, "c"), (3, None), (5, "d"), (None, "a  d")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    for common, held in ((0, 1), (1, 2), (50, 50)):
+        monkeypatch.setattr(keyed, "COMMON", common)
+        monkeypatch.setattr(keyed, "HELD", held)
+        got = keyed.unknown_tokens(df, "k", "t", T.split_words, 3)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 4, 2), (2, 4, 3), (5, 1, 1), (None, 2, 1)], key=str)
+    assert "regexp" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "split" not in plan  # no row a word there
+
+
 def test_trials(spark):
     df = spark.createDataFrame([(i, "abc"[i % 3] if i < 30 else "d") for i in range(31)], "id long, spk string")
     got = [tuple(r) for r in keyed.trials(df, "id", "spk", F.col("id") % 4 == 0, 3, 5, seed=1).collect()]
